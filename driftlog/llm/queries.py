@@ -15,9 +15,24 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", fp_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.quality import quality_report
+
+    q = quality_report(table(spark, sf_dir, "documents"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.pii import digest, with_spans
+
+    return digest(with_spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op7_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from driftlog.llm import quality
+
+    return {"op7_quality_rules": quality.ORACLE}
