@@ -15,6 +15,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", fp_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.kdtree import kd_shards
+
+    s = kd_shards(table(spark, sf_dir, "documents"), 24)
+    null = F.lit(None).cast("int")
+    return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", null.alias("grown_shard"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.quality import quality_report
 
@@ -29,7 +37,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op7_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op7_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
