@@ -23,6 +23,12 @@ def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", null.alias("grown_shard"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.quality import quality_report
 
@@ -37,7 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op7_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
