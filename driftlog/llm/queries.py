@@ -23,6 +23,16 @@ def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", null.alias("grown_shard"))
 
 
+#: A public model's file; its path on the driver is a parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.segment import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2, with_ids=False)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.decontaminate import contamination
 
@@ -43,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
