@@ -46,6 +46,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.common import held_out
+    from driftlog.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, *train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), "score", "predicted")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.pii import digest, with_spans
 
@@ -53,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
