@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field, document scores from its marginals.
 
-Labels mark documents, so token labels are derived: a word is a suspect if it occurs in far more toxic training
+Labels mark documents, so token labels are derived: a word, or a beginning of words, is a suspect if it occurs in far more toxic training
 documents than its share of others explains, and a suspect's tokens in toxic documents are labelled toxic. The field has
 two states; a token's features are its word, if it is a suspect, and otherwise the same bias for all, so long runs of
 plain tokens act as powers of one 2 x 2 matrix: forward and backward sums only visit suspects, exactly. Marginals of
@@ -23,8 +23,31 @@ def norm_words(text: str | None) -> list[bytes]:
     return [w.strip(TRIM) for w in text.encode("utf-8", "surrogatepass").lower().split()] if text else []
 
 
+#: Bytes of the word beginnings that are features besides whole words; a beginning is written with a star.
+PREFIXES = (9, 7, 6, 5)
+
+
+def features(word: bytes) -> list[bytes]:
+    """The word and its beginnings, the most specific first."""
+    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) >= n)]
+
+
+class Lookup(dict):
+    """Word -> its most specific suspect feature, or None; remembers a bounded number of words."""
+
+    def __init__(self, index: dict[bytes, int], limit: int = 200_000):
+        super().__init__()
+        self.index, self.limit = index, limit
+
+    def __missing__(self, word: bytes) -> int | None:
+        k = next((self.index[f] for f in features(word) if f in self.index), None)
+        if len(self) < self.limit:
+            self[word] = k
+        return k
+
+
 def word_counts(train: DataFrame) -> DataFrame:
-    """word, toxic_docs, docs over the labelled texts of train (text, toxic): each task sums up before the shuffle."""
+    """word (or beginning), toxic_docs, docs over the texts of train (text, toxic): tasks sum up before the shuffle."""
 
     def run(batches):
         total: dict[bytes, list[int]] = {}
@@ -36,7 +59,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
-                for w in set(norm_words(t.as_py())):
+                for w in {f for w in set(norm_words(t.as_py())) for f in features(w)}:
                     n = total.setdefault(w, [0, 0])
                     n[0] += y
                     n[1] += 1
@@ -96,10 +119,10 @@ class Field:
         return out
 
 
-def find(text: str | None, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
+def find(text: str | None, look: Lookup) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions of suspects among the words, which suspects, number of words."""
     w = norm_words(text)
-    got = [(i, k) for i, k in enumerate(map(index.get, w)) if k is not None]
+    got = [(i, k) for i, k in enumerate(map(look.__getitem__, w)) if k is not None]
     return np.array([i for i, _ in got], np.int64), np.array([k for _, k in got], np.int64), len(w)
 
 
@@ -167,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, sample_rows: int = 4
     index = {w: i for i, w in enumerate(words)}
 
     def run(batches):
+        look = Lookup(index)
         for b in batches:
-            got = [find(t.as_py(), index) for t in b.column(0)]
+            got = [find(t.as_py(), look) for t in b.column(0)]
             at, k, m = pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got])
             yield pa.RecordBatch.from_arrays([b.column(2), at, k, pa.array(m, pa.int64()), b.column(1)], ["doc_id", "at", "k", "n", "toxic"])
 
@@ -192,10 +216,11 @@ def score(docs: DataFrame, field: Field, curve: np.ndarray, doc_id: str = "doc_i
 
     def run(batches):
         field, curve = shared.value
+        look = Lookup(field.index)
         for b in batches:
             scores, spans = [], []
             for t in b.column(1):
-                at, k, n = find(t.as_py(), field.index)
+                at, k, n = find(t.as_py(), look)
                 x, p = evidence(field, at, k, n)
                 scores.append(float(1 / (1 + np.exp(-np.clip(curve[0] + curve[1:] @ x, -30, 30)))))
                 runs: list[list] = []
