@@ -9,7 +9,7 @@ from driftlog.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Return (node, root), root the smallest node of the component, for each node that has an edge to another.
+    """Return (node, root), root the smallest node of the component, for each node that has an edge to another, roots included.
 
     Edges point from the larger node to the smaller. A round links each node and its other parents to the node's
     smallest parent, then lets each parent's children jump to that parent's smallest parent. It ends when each node
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         moved = two.agg(F.sum("moved")).first()[0] or 0
         discard(e), discard(one)
         if not left and not moved:
-            return two.select(F.col("v").alias("node"), F.col("p").alias("root"))
+            roots = two.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct()
+            return two.select(F.col("v").alias("node"), F.col("p").alias("root")).unionByName(roots)
         e = materialize(two.select("v", "p").distinct(), "cc")
         discard(two)

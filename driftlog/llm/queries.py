@@ -15,6 +15,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", fp_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.kdtree import kd_shards
 
@@ -62,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
