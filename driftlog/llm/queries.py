@@ -52,6 +52,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.common import held_out
     from driftlog.llm.toxicity import score, train
@@ -68,10 +74,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op8_license_scans, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from driftlog.llm import quality
+    from driftlog.llm import licenses, quality
 
-    return {"op7_quality_rules": quality.ORACLE}
+    return {"op7_quality_rules": quality.ORACLE, "op8_license_scans": licenses.ORACLE}
