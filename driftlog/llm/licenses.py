@@ -67,8 +67,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     d = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("_t")).where(F.rlike("_t", F.lit("(?i)" + CUE)))
     parts = F.concat(F.split("_t", TOLD), F.split("_t", "[\\r\\n]+"), F.array("_t"))
     cued = F.filter(parts, lambda u: F.rlike(u, F.lit("(?i)" + CUE)) & (F.length(u) <= 40 * largest))
-    d = d.select("doc_id", F.array_distinct(F.transform(cued, normal)).alias("units")).where(F.size("units") > 0)
-    u = d.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode("units").alias("at", "unit")).withColumn("g", bigrams(F.col("unit")))
+    d = d.select("doc_id", F.array_distinct(F.transform(cued, normal)).alias("units")).where(F.size("units") > 0).withColumn("row", F.monotonically_increasing_id())
+    u = d.select("doc_id", "row", F.posexplode("units").alias("at", "unit")).withColumn("g", bigrams(F.col("unit")))
     fits = F.filter(t, lambda x: (F.size("g") >= x["m"] * lo) & (F.size("g") <= x["m"] * hi))
     dice = lambda x: F.round(2.0 * F.size(F.array_intersect("g", x["b"])) / (F.size("g") + x["m"]), 9)
     scored = F.transform(fits, lambda x: F.struct(dice(x).alias("dice"), (-x["rank"]).alias("order"), x["license"].alias("license")))

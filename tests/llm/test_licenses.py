@@ -34,6 +34,7 @@ TEXTS = [
     "the License of the license is a license",
     "word " * 30000 + "\nAll rights reserved.",
     "license",
+    "Odd words.\nThis work is licensed under the GNU General Public License, version 3.",
     "Licensed under CC BY 4.0! And. Licensed under CC BY-SA 4.0.",
 ]
 
