@@ -179,11 +179,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50)
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 3, sample_rows: int = 4000, seed: int = 11) -> tuple[Field, np.ndarray]:
-    """Word statistics over all labelled training rows; the field and the curve on a sample of about sample_rows texts,
-    of which only suspects' positions reach the driver. Training rows are those whose crc32(doc_id) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, mod: int = 3, stat_rows: int = 20_000, field_rows: int = 4000, seed: int = 11) -> tuple[Field, np.ndarray]:
+    """Word statistics over a sample of about stat_rows labelled training rows, the field and the curve over about
+    field_rows of these, of which only suspects' positions reach the driver; both bounds hold whatever the input's size.
+    Training rows are those whose crc32(doc_id) mod 3 is not 1."""
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), mod)).join(y, "doc_id")
+    y = y.where(~held_out(F.col("doc_id"), mod))
+    labelled = y.count()
+    share = min(1.0, stat_rows / max(labelled, 1))
+    y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # at most about stat_rows ids of 8 bytes: a size that does not grow with the input
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
     rows = materialize(rows, "toxic-train")
     n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     words = suspects(word_counts(rows), n_toxic or 0, n)
@@ -196,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, sample_rows: int = 4
             at, k, m = pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got])
             yield pa.RecordBatch.from_arrays([b.column(2), at, k, pa.array(m, pa.int64()), b.column(1)], ["doc_id", "at", "k", "n", "toxic"])
 
-    part = rows.sample(min(1.0, sample_rows / n), seed) if n else rows
+    part = rows.sample(min(1.0, field_rows / n), seed) if n else rows
     got = part.select("text", "toxic", "doc_id").mapInArrow(run, "doc_id long, at array<bigint>, k array<bigint>, n long, toxic int").collect()
     got.sort(key=lambda r: (r.doc_id, r.n))
     sample = [(np.array(r["at"], np.int64), np.array(r["k"], np.int64), r["n"], r["toxic"]) for r in got]
