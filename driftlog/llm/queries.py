@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from driftlog.llm.common import table
 
 
+def op1_hpy_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlog.llm.hpylm import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.simhash import fp_hex, simhash_groups
 
@@ -74,7 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op8_license_scans, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_hpy_language_model, op2_simhash_near_dedup, op3_substring_dedup, op4_kd_tree_sharding, op5_sentencepiece_sampling, op6_benchmark_decontamination, op7_quality_rules, op8_license_scans, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
