@@ -33,6 +33,13 @@ def gauge_last(samples: DataFrame, keys: list[str], value: str, order: str) -> D
     return samples.groupBy(*keys).agg(F.max_by(value, order).alias("value"))
 
 
+def sum_over_brokers(samples: DataFrame, keys: list[str], series: list[str], value: str, order: str) -> DataFrame:
+    """Sum of a gauge's last values by keys. Targets that reach the same broker scrape the same series, so a series
+    (broker and labels) counts once, whatever number of targets delivered it."""
+    last = samples.groupBy(*dict.fromkeys([*keys, *series])).agg(F.max_by(value, order).alias("_v"))
+    return last.groupBy(*keys).agg(F.sum("_v").alias("value"))
+
+
 def percentiles(r: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """sorted[min(int(p * n), n - 1)] by keys. Equal values are counted first, so the window runs over distinct ones."""
     d = r.groupBy(*keys, value).agg(F.count("*").alias("_c"))

@@ -527,6 +527,13 @@ def gauge_last(spark, d):
     return metrics.gauge_last(view.records(view.load(spark, d, "events")), ["topic", "part"], "value", "seq")
 
 
+@query(" SELECT topic, CAST(sum(len) AS BIGINT) AS value FROM (SELECT topic, part, arg_max(len, seq) AS len FROM l0 GROUP BY topic, part) GROUP BY topic")
+def gauge_over_targets(spark, d):
+    r = view.records(view.load(spark, d, "events")).withColumn("broker", F.lit(0))
+    both = r.withColumn("target", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return metrics.sum_over_brokers(both, ["topic"], ["broker", "part"], "len", "seq")
+
+
 @query(""" SELECT 'partition_bytes{topic="' || topic || '",part="' || part || '"} ' || CAST(sum(bytes + 8) AS BIGINT) AS value FROM b GROUP BY topic, part""")
 def metrics_text(spark, d):
     return metrics.exposition(offsets.partition_size(batches(spark, d)), "partition_bytes", ["topic", "part"], "bytes")

@@ -162,3 +162,13 @@ def test_leave_and_member_ids(spark):
 def test_rounds(spark, delay, want):
     j = spark.createDataFrame([("g", f"m{i}", t, i) for i, t in enumerate([10, 12, 14, 15])], "grp string, member string, ts_ms long, seq long")
     assert [r.joins for r in groups.rebalance_rounds(j, delay).orderBy("generation").collect()] == want
+
+
+def test_config():
+    from driftlog.functions.config import LogConfig, describe
+
+    c = LogConfig.from_text({"retention_bytes": "0", "max_partitions": " 200 "})
+    assert (c.max_partitions, c.segment_bytes, describe(c.retention_bytes)) == (200, 16 << 20, "unlimited")
+    for bad in ({"max_partitions": "x"}, {"max_partitions": ""}, {"max_partitions": "-1"}, {"nothing": "1"}):
+        with pytest.raises(ValueError):
+            LogConfig.from_text(bad)
