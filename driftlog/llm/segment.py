@@ -42,6 +42,8 @@ def load_model(path: str) -> tuple[list[str], list[int]]:
 
 
 EMPTY = np.uint64(2**64 - 1)
+#: -log of the smallest exponential variate that a 53-bit uniform number gives, rounded up.
+REACH = 38.0
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,12 +112,6 @@ class Column:
         self.n += len(more)
 
 
-def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ..., size[0] of them, then first[1], ..."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
-
-
 class Lattices:
     """Word lattices as flat arrays. Edges of a node follow each other, longest piece first; a word's last node has none.
 
@@ -123,7 +119,7 @@ class Lattices:
     leads to; piece: its id, or -1 - number in spelled for a character spelled in bytes.
     """
 
-    def __init__(self, vocab: Vocabulary, limit: int = 80_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 150_000):
         self.vocab, self.limit = vocab, limit
         self.spelled: list[list[int]] = []
         self.spell: dict[int, int] = {}
@@ -131,13 +127,11 @@ class Lattices:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self._first, self._q, self._cum, self._to, self._piece = (Column(k) for k in (np.int64, np.float64, np.float64, np.int32, np.int32))
-        self._first.extend(np.zeros(1, np.int64))
+        self._first, self._size, self._q, self._log_q, self._cum, self._to, self._piece = (Column(k) for k in (np.int64, np.int32, np.float64, np.float64, np.float64, np.int32, np.int32))
         self.view()
 
     def view(self) -> None:
-        """The arrays; first has one more entry than there are nodes."""
-        self.first, self.q, self.cum, self.to, self.piece = (c.room[: c.n] for c in (self._first, self._q, self._cum, self._to, self._piece))
+        self.first, self.size, self.q, self.log_q, self.cum, self.to, self.piece = (c.room[: c.n] for c in (self._first, self._size, self._q, self._log_q, self._cum, self._to, self._piece))
 
     def rest(self, e: np.ndarray) -> np.ndarray:
         """Probability of the other edges of each edge's node; just 0 only if there are none."""
@@ -176,39 +170,39 @@ class Lattices:
         count = np.zeros(len(code), np.int64)
         for p, *_ in found:
             count[p] += 1  # a position occurs once in each
-        first = np.cumsum(count) - count
-        n = int(count.sum())
-        to_pos, piece, lp, filled = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n), np.zeros(len(code), np.int64)
+        # edges lie in order of their start's distance from the word's end, so each distance is one stretch of them
+        order = np.argsort(end - np.arange(len(code)), kind="stable")
+        per = count[order]
+        lead = np.cumsum(per) - per
+        first = np.empty_like(lead)
+        first[order] = lead
+        n, word = int(count.sum()), np.repeat(np.arange(len(units)), size)
+        to, piece, lp, at = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n), first.copy()
         for p, k, i, lone in reversed(found):
-            e = first[p] + filled[p]
-            filled[p] += 1
-            to_pos[e], piece[e], lp[e] = p + k, i, v.log_prob[i] if lone is None else lone
-        back = np.zeros(len(code) + 1)  # log of the sum over ways from here to the word's end; at ends, which are starts too, taken as 0
-        left = end - np.arange(len(code))
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, left.max() + 2))
-        val = np.zeros(n)
-        for d in range(len(bounds) - 1):
-            p = order[bounds[d] : bounds[d + 1]]
-            e = ranges(first[p], count[p])
-            x = lp[e] + np.where(to_pos[e] == np.repeat(end[p], count[p]), 0.0, back[to_pos[e]])
-            starts = np.cumsum(count[p]) - count[p]
-            m = np.maximum.reduceat(x, starts)
-            back[p] = m + np.log(np.add.reduceat(np.exp(x - np.repeat(m, count[p])), starts))
-            val[e] = x
-        own = np.repeat(np.arange(len(code)), count)
-        q = np.exp(val - back[own])
-        q = np.where(count[own] == 1, 1.0, np.clip(q, 1e-300, 1 - 2**-53))
+            e = at[p]
+            at[p] += 1
+            to[e], piece[e], lp[e] = p + k + word[p], i, v.log_prob[i] if lone is None else lone
+        back = np.zeros(len(code) + len(units))  # by node: log of the sum over ways to the word's end, 0 there
+        node = order + word[order]
+        left = np.bincount(size)  # words by length: positions at distance d are as many as words of length d or more
+        bounds = np.concatenate([[0], np.cumsum(np.cumsum(left[::-1])[::-1][1:])])
+        q = np.zeros(n)
+        for a, b in zip(bounds, bounds[1:]):
+            x, y = lead[a], lead[b - 1] + per[b - 1]
+            w = lp[x:y] + back[to[x:y]]
+            m = np.maximum.reduceat(w, lead[a:b] - x)
+            w = np.exp(w - np.repeat(m, per[a:b]))
+            t = np.add.reduceat(w, lead[a:b] - x)
+            back[node[a:b]] = m + np.log(t)
+            q[x:y] = w / np.repeat(t, per[a:b])
+        q = np.where(np.repeat(per == 1, per), 1.0, np.clip(q, 1e-300, 1 - 2**-53))
         cum = np.cumsum(q)
-        cum -= np.repeat((cum - q)[first], count)
-        cum[first + count - 1] = 2.0
-        word = np.repeat(np.arange(len(units)), size)
-        base, edge = self._first.n - 1, self._q.n
-        per_node = np.zeros(len(code) + len(units), np.int64)
-        per_node[np.arange(len(code)) + word] = count
-        self._first.n -= 1
-        self._first.extend(np.concatenate([[0], np.cumsum(per_node)]) + edge)
-        for c, x in ((self._q, q), (self._cum, cum), (self._to, base + to_pos + word[own]), (self._piece, piece)):
+        cum -= np.repeat((cum - q)[lead], per)
+        cum[lead + per - 1] = 2.0
+        base, edge = self._first.n, self._q.n
+        by_node, sizes = np.zeros(len(back), np.int64), np.zeros(len(back), np.int32)
+        by_node[node], sizes[node] = lead + edge, per
+        for c, x in ((self._first, by_node), (self._size, sizes), (self._q, q), (self._log_q, np.log(q)), (self._cum, cum), (self._to, base + to), (self._piece, piece)):
             c.extend(x)
         for u, s in zip(units, (base + np.cumsum(size) - size + np.arange(len(units))).tolist()):
             self.start[u] = s
@@ -227,7 +221,7 @@ class Lattices:
         steps, who = [], []
         live, cur, t = np.arange(len(node)), node, 0
         while True:
-            more = self.first[cur + 1] > self.first[cur] if len(cur) else np.zeros(0, bool)
+            more = self.size[cur] > 0
             live, cur = live[more], cur[more]
             if not len(live):
                 break
@@ -272,6 +266,11 @@ class Text:
         base = np.uint64((int(self.key) + tag * 0x9E3779B97F4A7C15) % 2**64)
         return mix(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
+    def numbers(self, n: int, tag: int) -> np.ndarray:
+        """In (0, 1); the first ones do not depend on n."""
+        base = np.uint64((int(self.key) + tag * 0x9E3779B97F4A7C15) % 2**64)
+        return uniform(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
     def begin(self) -> tuple[np.ndarray, np.ndarray]:
         self.pending = (float(-np.log(-np.log(uniform(self.seeds(1, 1))[0]))), np.zeros(0, np.int64), 0.0)
         return self.nodes, self.seeds(len(self.nodes), 2)
@@ -283,17 +282,17 @@ class Text:
         top, _, path, t, ex = heapq.heappop(self.queue)
         top, tag = -top, 16 + 4 * len(self.samples)
         node = self.node_of(lat, path, t)
-        free = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in ex]
+        free = [e for e in range(lat.first[node], lat.first[node] + lat.size[node]) if e not in ex]
         w = np.cumsum(lat.q[free])
         e = free[min(int(np.searchsorted(w, uniform(self.seeds(1, tag))[0] * w[-1], side="right")), len(free) - 1)]
-        before = float(np.log(lat.q[path[:t]]).sum())
+        before = float(lat.log_q[path[:t]].sum())
         left = lat.q[free].sum() - lat.q[e] if len(free) > 1 else 0.0
         if left > 0:
             loc = np.array([before + np.log(left)])
             g = truncated(loc, top, uniform(self.seeds(1, tag + 1)))[0]
             self.push(g, np.append(path[:t], e), t, (*ex, e))
         head = np.append(path[:t], e)
-        self.pending = (top, head, before + float(np.log(lat.q[e])))
+        self.pending = (top, head, before + float(lat.log_q[e]))
         word = self.word_of(lat, head)
         nodes = np.concatenate([[lat.to[e]], self.nodes[word + 1 :]]).astype(np.int64)
         return nodes, self.seeds(len(nodes), tag + 2)
@@ -308,29 +307,34 @@ class Text:
         if t == 0:
             return int(self.nodes[0])
         end = lat.to[path[t - 1]]
-        if lat.first[end + 1] > lat.first[end]:
+        if lat.size[end]:
             return int(end)
         return int(self.nodes[self.word_of(lat, path[:t]) + 1])
 
     def word_of(self, lat: Lattices, path: np.ndarray) -> int:
         """Number of the word in which the path's last edge lies."""
         end = lat.to[path]
-        return int((lat.first[end + 1] == lat.first[end]).sum()) - int(lat.first[end[-1] + 1] == lat.first[end[-1]])
+        return int((lat.size[end] == 0).sum()) - int(lat.size[end[-1]] == 0)
 
     def finish(self, lat: Lattices, tail: np.ndarray, keep: int) -> None:
         """Complete the pending node by the walked edges, and queue the best keep nodes that they passed by."""
         top, head, phi = self.pending
         path, tag = np.concatenate([head, tail]), 19 + 4 * len(self.samples)
         if len(tail):
-            log_q = np.log(lat.q[tail])
-            sums = phi + np.cumsum(log_q)
-            with np.errstate(divide="ignore"):
-                loc = np.concatenate([[phi], sums[:-1]]) + np.log(lat.rest(tail))
-            g = truncated(loc, top, uniform(self.seeds(len(tail), tag)))
-            best = np.argpartition(-g, keep)[:keep] if len(g) > keep else np.arange(len(g))
+            log_q = lat.log_q[tail]
+            n = min(len(tail), 1024)
+            while True:
+                with np.errstate(divide="ignore"):
+                    loc = phi + np.concatenate([[0.0], np.cumsum(log_q[: n - 1])]) + np.log(lat.rest(tail[:n]))
+                g = truncated(loc, top, self.numbers(n, tag))
+                best = np.argpartition(-g, keep)[:keep] if n > keep else np.arange(n)
+                # a variate is at most REACH above its location, and locations only fall: none further on can be better
+                if n == len(tail) or (n > keep and phi + log_q[:n].sum() + REACH < g[best].min()):
+                    break
+                n = min(len(tail), 8 * n)
             for t in sorted(best.tolist()):
                 self.push(float(g[t]), path, len(head) + t, (int(tail[t]),))
-            phi = float(sums[-1])
+            phi += float(log_q.sum())
         self.samples.append((path, phi))
 
 
