@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the alignments."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the alignments."""
 
 from __future__ import annotations
 
@@ -62,8 +62,15 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - back, end
 
 
-def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: str, text: str, seed: int) -> DataFrame:
-    """Rows (doc_id, item_id, first, passage, seeds): a stretch of a document around seeds that it shares with an item."""
+def can_reach(item: list[str], passage: list[str], threshold: float) -> bool:
+    """False only if no alignment can score threshold: each match takes a word of the item that the passage has."""
+    have = set(passage)
+    return sum(w in have for w in item) >= threshold * len(item)
+
+
+def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: str, text: str, seed: int, threshold: float) -> DataFrame:
+    """Rows (doc_id, item_id, first, passage): a stretch of a document around seeds that it shares with an item, unless its
+    words rule out a score of threshold."""
     cache = HashCache()
     length, at, owner = [], [], []
     for k, (_, w) in enumerate(items):
@@ -74,13 +81,13 @@ def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: s
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((at, owner, sorted(set(length.tolist())), [(i, len(w)) for i, w in items]))
+    shared = spark.sparkContext.broadcast((at, owner, sorted(set(length.tolist())), items))
 
     def run(batches):
         at, owner, sizes, named = shared.value
         cache = HashCache()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 w = tokens(t.as_py())
                 h = hashes(w, cache)
@@ -91,35 +98,36 @@ def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: s
                     for p in np.flatnonzero(at[np.minimum(lo, len(at) - 1)] == s):
                         k = int(lo[p])
                         while k < len(at) and at[k] == s[p]:
-                            hits.append((int(owner[k]), int(p), int(s[p]) - (1 << 63)))
+                            hits.append((int(owner[k]), int(p)))
                             k += 1
                 hits.sort()
-                for j, (o, p, _) in enumerate(hits):
-                    near = hits[j - 1] if j else (-1, 0, 0)
-                    item, m = named[o]
+                for j, (o, p) in enumerate(hits):
+                    near = hits[j - 1] if j else (-1, 0)
+                    item, wanted = named[o]
+                    m = len(wanted)
                     if near[0] != o or p - near[1] > 2 * m + seed:
-                        first = last = p
-                        start = j
+                        first = p
                     last = p
                     if j + 1 == len(hits) or hits[j + 1][0] != o or hits[j + 1][1] - p > 2 * m + seed:
                         a = max(0, first - m - seed)
-                        for col, v in zip(out, (i, item, a, " ".join(w[a : last + 2 * m + seed]), sorted({x[2] for x in hits[start : j + 1]}))):
-                            col.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "first", "passage", "seeds"])
-
-    schema = "doc_id long, item_id long, first long, passage string, seeds array<bigint>"
+                        passage = w[a : last + 2 * m + seed]
+                        if can_reach(wanted, passage, threshold):
+                            for col, v in zip(out, (i, item, a, " ".join(passage))):
+                                col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "first", "passage"])
+
+    schema = "doc_id long, item_id long, first long, passage string"
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, lone: int = 100, seed: int = SEED) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, seed: int = SEED) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): items that a document holds in part or whole, maybe edited.
 
     score is the best Smith-Waterman score over words, as a share of an exact copy's; threshold and more are returned. A
-    pair is aligned if the document shares two seeds with the item near each other, or one rare seed: one that no more
-    than `lone` stretches of the corpus share with the item alone. Common phrases meet items alone, leaked passages do
-    not, however many documents hold them, so rarity loses no leak. The benchmark is read in parts of a fixed number of
-    seeds, so that what is broadcast is bounded. Null and empty texts and items match nothing; repeated documents give
+    pair is aligned wherever the document shares a seed with the item, however many others share it too; only stretches
+    with too few of the item's words to reach the threshold are left out. A document without any seed of the item is not
+    compared with it. The benchmark is read in parts of a fixed number of seeds, so that what is broadcast is bounded. Null and empty texts and items match nothing; repeated documents give
     equal rows once; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -134,18 +142,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         parts[-1].append((r[0], w))
     found = None
     for items in parts:
-        f = pairs_of(find_passages(docs, items, doc_id, text, seed), items, lone, threshold)
+        f = pairs_of(find_passages(docs, items, doc_id, text, seed, threshold), items, threshold)
         found = f if found is None else found.unionByName(f)
     out = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b"))
     return out.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), (-F.col("b.col3")).alias("end_word"))
 
 
-def pairs_of(passages: DataFrame, items: list[tuple[int, list[str]]], lone: int, threshold: float) -> DataFrame:
+def pairs_of(passages: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
     p = materialize(passages, "passages")
-    single = p.where(F.size("seeds") == 1).select("*", F.col("seeds")[0].alias("seed"))
-    rare = single.groupBy("item_id", "seed").agg(F.count("*").alias("n")).where(F.col("n") <= lone).select("item_id", "seed")
-    chosen = p.where(F.size("seeds") > 1).select("doc_id", "item_id", "first", "passage")
-    chosen = chosen.unionByName(single.join(rare, ["item_id", "seed"], "left_semi").select("doc_id", "item_id", "first", "passage"))
     shared = p.sparkSession.sparkContext.broadcast(dict(items))
 
     def run(batches):
@@ -163,7 +167,7 @@ def pairs_of(passages: DataFrame, items: list[tuple[int, list[str]]], lone: int,
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    spread = chosen.repartition(F.xxhash64("doc_id", "item_id", "first"))
+    spread = p.repartition(F.xxhash64("doc_id", "item_id", "first"))
     return spread.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 

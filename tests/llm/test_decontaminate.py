@@ -54,6 +54,18 @@ def test_against_brute_force(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_copies_of_one_seed_are_all_found(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("u%d" % r.randrange(10**6) for _ in range(n))
+    b = spark.createDataFrame([(1, "four words as item"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    # 12 words of which 10 stay, with one run of four: 20 - 2 of 24
+    whole = [(i, f"{text(9)} four words as item {text(9)}") for i in range(150)]
+    edited = [(1000 + i, f"{text(9)} a b c x e f g h y j k l {text(9)}") for i in range(150)]
+    phrase = [(2000 + i, f"{text(9)} e f g h {text(9)}") for i in range(150)]
+    got = {(x.doc_id, x.item_id): x.score for x in contamination(spark.createDataFrame(whole + edited + phrase, "doc_id long, text string"), b).collect()}
+    assert got == {(i, 1): 1.0 for i, _ in whole} | {(i, 2): 0.75 for i, _ in edited}
+
+
 def test_empty(spark):
     items, docs = world()
     d = spark.createDataFrame(docs, "doc_id long, text string")
