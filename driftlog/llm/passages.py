@@ -3,8 +3,9 @@
 A paragraph is a line of at least `least` words; its shingles are five words. Equal paragraphs (as word sequences) are
 one node, so copies never meet as pairs. Each node's MinHash signature is cut into bands, and nodes that share a band
 meet in a bucket, where exact Jaccard on the shingle sets decides. Components of the links give the clusters; all but
-the first occurrence of a cluster are removals. Long lines are also cut into pieces where the words themselves say so,
-and equal pieces cluster too: a passage that sits inside different lines is found by the pieces it has in common.
+the first occurrence of a cluster are removals. A passage inside different lines is found by anchors: of any WINDOW runs
+of PIECE words in a row, the one of least hash is an anchor, so two lines that share PIECE + WINDOW - 1 words share one.
+Around anchors that occur again all runs of PIECE words are compared, so that a passage is reported to its last word.
 """
 
 from __future__ import annotations
@@ -24,33 +25,37 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 8 bands of 2 rows: a pair of Jaccard 0.8 shares one with probability 1 - (1 - 0.8^2)^8 > 0.9997; unrelated
 #: paragraphs have hardly a shingle in common, so the low threshold costs few false candidates.
 BANDS, ROWS = 8, 2
-#: Pieces: a word whose hash is 0 mod CUT ends one of at least PIECE words.
-PIECE, CUT = 12, 8
+#: Winnowing: any shared run of PIECE + WINDOW - 1 = 50 words has a common anchor.
+PIECE, WINDOW = 12, 39
 #: Members of a bucket that one tile verifies against as many others.
 TILE = 2048
 WORD = re.compile("[^\x20\x09-\x0D]+")
-UNIT = "doc_id long, row long, kind int, start long, end long, n_words long, node long, keys array<bigint>, body string"
+UNIT = "doc_id long, row long, start long, end long, n_words long, node long, keys array<bigint>, anchors array<bigint>, places array<bigint>, body string"
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pieces(h: list[int]) -> list[tuple[int, int]]:
-    """Runs of words, cut behind words that the cutting rule picks; the first and the last run are open-ended."""
-    out, at = [], 0
-    for i, x in enumerate(h):
-        if x % CUT == 0 and i + 1 - at >= PIECE:
-            out.append((at, i + 1))
-            at = i + 1
-    return out
+def run_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of each run of PIECE words."""
+    return ngram_hashes(h, np.array([0, len(h)]), PIECE)[0]
+
+
+def anchors(runs: np.ndarray) -> np.ndarray:
+    """Positions of the first least hash of each window of runs; a shorter line is one window."""
+    if not len(runs):
+        return np.zeros(0, np.int64)
+    width = min(WINDOW, len(runs))
+    least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
 
 
 def shingle_sets(bodies: list[bytes], cache: HashCache) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each body (all words as one if they are fewer); words' hashes and offsets."""
     flat, off = [], [0]
     for t in bodies:
-        flat.extend(map(cache.__getitem__, t.split(b" ")))
+        flat.extend(map(cache.__getitem__, t.lower().split()))
         off.append(len(flat))
     h, off = np.array(flat, np.uint64), np.array(off)
     s, at = ngram_hashes(h, off, SHINGLE)
@@ -71,17 +76,16 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def units(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """Lines (kind 0, with band keys and body) and pieces of lines (kind 1): node is a 64-bit hash of the words, row one
-    of the document's id and text."""
+    """Lines as they are written, with band keys, anchors and their places: node is a 64-bit hash of the words, row one of
+    the document's id and text."""
 
     def run(batches):
         cache = HashCache()
-        names = ["doc_id", "row", "kind", "start", "end", "n_words", "node", "keys", "body"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+        names = ["doc_id", "row", "start", "end", "n_words", "node", "keys", "anchors", "places", "body"]
+        kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 3, pa.string())
         for b in batches:
             out: dict[str, list] = {n: [] for n in names}
             bodies: list[bytes] = []
-            own: list[int] = []
 
             def put(*row):
                 for n, v in zip(names, row):
@@ -95,19 +99,15 @@ def units(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
                     w = line.encode("utf-8", "surrogatepass").lower().split()
                     if len(w) >= least:
                         body = b" ".join(w)
-                        own.append(len(out["node"]))
                         bodies.append(body)
-                        put(i, row, 0, at, at + len(line), len(w), signed(xxhash.xxh64_intdigest(body)), None, body.decode("utf-8", "surrogatepass"))
-                        cuts = pieces([cache[x] for x in w])
-                        if cuts:
-                            spots = [m.span() for m in WORD.finditer(line)]
-                            for a, e in cuts:
-                                put(i, row, 1, at + spots[a][0], at + spots[e - 1][1], e - a, signed(xxhash.xxh64_intdigest(b" ".join(w[a:e]), 1)), None, None)
+                        put(i, row, at, at + len(line), len(w), signed(xxhash.xxh64_intdigest(body)), None, None, None, line)
                     at += len(line) + 1
             for lo in range(0, len(bodies), 2000):
-                sets, _, _ = shingle_sets(bodies[lo : lo + 2000], cache)
-                for k, keys in zip(own[lo : lo + 2000], band_keys(sets).tolist()):
-                    out["keys"][k] = keys
+                sets, h, off = shingle_sets(bodies[lo : lo + 2000], cache)
+                for k, keys in enumerate(band_keys(sets).tolist()):
+                    runs = run_hashes(h[off[k] : off[k + 1]])
+                    at = anchors(runs)
+                    out["keys"][lo + k], out["anchors"][lo + k], out["places"][lo + k] = keys, runs[at].view(np.int64), at
             yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, UNIT)
@@ -187,23 +187,100 @@ def verified_links(members: DataFrame, bodies: DataFrame, threshold: float, tile
     return m.select("node", "tile", "body").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "src long, dst long")
 
 
+def repeated_runs(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, a, b, f_node, f_a): words a to b - 1 of a line repeat words of the line f_node from word f_a on, where they
+    occur first. lines: one per node; first: node, order."""
+    spots = lines.select("node", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("node", "s.anchors", "s.places")
+    again = spots.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
+    near = spots.join(again, "anchors", "left_semi").groupBy("node").agg(F.collect_list("places").alias("near"))
+
+    def runs_near(batches):
+        cache = HashCache()
+        for b in batches:
+            nodes, places, runs = [], [], []
+            for node, near, body in zip(*(b.column(k).to_pylist() for k in range(3))):
+                h = run_hashes(np.array([cache[w] for w in body.encode("utf-8", "surrogatepass").lower().split()], np.uint64))
+                step = np.zeros(len(h) + 1, np.int64)
+                p = np.array(near)
+                np.add.at(step, np.maximum(p - PIECE - WINDOW, 0), 1)
+                np.add.at(step, np.minimum(p + PIECE + WINDOW, len(h)), -1)
+                at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+                nodes.append(np.full(len(at), node, np.int64)), places.append(at), runs.append(h[at].view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, places, runs)], ["node", "at", "run"])
+
+    all_ = materialize(near.join(lines.select("node", "body"), "node").select("node", "near", "body").mapInArrow(runs_near, "node long, at long, run long"), "runs")
+    least = all_.join(first, "node").groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("order", "at", "node")).alias("f")).where("n > 1")
+    hits = all_.join(least.select("run", F.col("f.node").alias("f_node"), F.col("f.at").alias("f_at")), "run").select("node", "at", "f_node", "f_at")
+
+    def stretches(batches):
+        held = [np.zeros(0, np.int64)] * 4
+        names = ["node", "a", "b", "f_node", "f_a"]
+
+        def out(node, at, f_node, f_at):
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(node) != 0) | (np.diff(at) != 1) | (np.diff(f_node) != 0) | (np.diff(f_at) != 1))))
+            last = np.append(new[1:], len(node)) - 1
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[new], at[new], at[last] + PIECE, f_node[new], f_at[new])], names)
+
+        for b in batches:
+            cols = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns)]
+            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0]) if len(cols[0]) else 0
+            if cut:
+                yield out(*(x[:cut] for x in cols))
+            held = [x[cut:] for x in cols]
+        if len(held[0]):
+            yield out(*held)
+
+    return hits.repartition("node").sortWithinPartitions("node", "at").mapInArrow(stretches, "node long, a long, b long, f_node long, f_a long")
+
+
+def inner_passages(lines: DataFrame) -> DataFrame:
+    """Rows of repeated_passages() of kind 1."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+    first = lines.groupBy("node").agg(F.min(order).alias("order"))
+    runs = materialize(repeated_runs(lines.dropDuplicates(["node"]), first), "stretches")
+    own = runs.where("node = f_node and a = f_a").select(F.col("node").alias("f_node"), F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.xxhash64("node", "a").alias("cluster"))
+    found = runs.join(own, "f_node").where("f_a >= own_a and f_a < own_b - %d" % (PIECE - 1))
+    found = found.join(first.select(F.col("node").alias("f_node"), F.col("order").alias("first")), "f_node")
+    parts = found.groupBy("node").agg(F.collect_list(F.struct("a", "b", "cluster", "first", ((F.col("node") == F.col("f_node")) & (F.col("a") == F.col("f_a"))).alias("own"))).alias("parts"))
+    t = lines.select("doc_id", "start", "node", "body", order.alias("order")).join(parts, "node")
+    t = t.select("doc_id", "start", "body", F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["cluster"].alias("cluster"), p["first"]["doc_id"].alias("first_doc"), (~p["own"] | (F.col("order") != p["first"])).alias("removed"))).alias("parts"))
+
+    def run(batches):
+        names = ["doc_id", "kind", "start", "end", "n_words", "cluster", "first_doc", "removed"]
+        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_())
+        for b in batches:
+            out: list[tuple] = []
+            for i, start, body, parts in zip(*(c.to_pylist() for c in b.columns)):
+                spots = [m.span() for m in WORD.finditer(body)]
+                out += [(i, 1, start + spots[p["a"]][0], start + spots[p["b"] - 1][1], p["b"] - p["a"], p["cluster"], p["first_doc"], p["removed"]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+
+    return t.mapInArrow(run, "doc_id long, kind int, start long, end long, n_words long, cluster long, first_doc long, removed boolean")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 20, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per occurrence of a paragraph or piece that repeats: doc_id, kind (0 line, 1 piece), start, end (code
-    points), n_words, cluster (smallest node of its component), first_doc, removed.
+    """One row per occurrence of a paragraph, or of a passage inside different lines: doc_id, kind (0 line, 1 passage),
+    start, end (code points), n_words, cluster (smallest node of its component; of a passage, a hash of where it occurs
+    first), first_doc, removed.
+
+    Runs of 50 words and more that lines of at least `least` words share are all found, shorter ones from PIECE words on if
+    they have a common anchor. A passage's row goes as far as its words follow each other where they occur first; words
+    that only equal lines share are left to these lines' rows.
 
     The occurrence that stays is the one with the smallest (doc_id, row, start), null ids last. Null and empty texts have
     no paragraphs; rows with equal id and text share their verdict; an empty table gives an empty result.
     """
-    table = materialize(units(docs, doc_id, text, least), "units")
-    lines = table.where("kind = 0")
+    lines = materialize(units(docs, doc_id, text, least), "units")
     members = materialize(buckets(lines), "buckets")
     wanted = members.select("node").distinct()
     bodies = lines.select("node", "body").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     links = materialize(verified_links(members, bodies, threshold), "links")
     comp = connected_components(links).withColumnRenamed("root", "cluster")
-    n = table.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or cluster is not null")
+    n = lines.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or cluster is not null")
     known = n.select("node", F.coalesce("cluster", "node").alias("cluster"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    t = materialize(table.drop("keys", "body").join(known, "node").withColumn("order", order), "occurrences")
+    t = materialize(lines.drop("keys", "anchors", "places", "body").join(known, "node").withColumn("order", order), "occurrences")
     first = t.groupBy("cluster").agg(F.min("order").alias("first"))
-    return t.join(first, "cluster").select("doc_id", "kind", "start", "end", "n_words", "cluster", F.col("first.doc_id").alias("first_doc"), (F.col("order") != F.col("first")).alias("removed"))
+    whole = t.join(first, "cluster").select("doc_id", F.lit(0).alias("kind"), "start", "end", "n_words", "cluster", F.col("first.doc_id").alias("first_doc"), (F.col("order") != F.col("first")).alias("removed"))
+    return whole.unionByName(inner_passages(lines))

@@ -70,5 +70,22 @@ def test_lines_against_brute_force(spark, tile, monkeypatch):
         assert len(text[g.doc_id][g.start : g.end].split()) == g.n_words
 
 
+def test_passages_inside_lines_are_whole(spark):
+    r = random.Random(8)
+    vocab = ["v%d" % i for i in range(5000)]
+    line = lambda n: " ".join(r.choices(vocab, k=n))
+    other = lambda n: " ".join("w%d" % r.randrange(10**9) for _ in range(n))
+    docs, want = [], {}
+    for k in range(60):
+        inside = line(r.choice([51, 55, 60, 80]))
+        for i in (2 * k, 2 * k + 1):
+            before, after = other(r.randrange(90)), other(r.randrange(90))
+            docs.append((i, f"{before}  {inside}\t{after}"))
+            want[i] = (len(before) + 2, len(before) + 2 + len(inside), 2 * k, i % 2 == 1)
+    docs.append((1000, "z " * 300))
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).where("kind = 1 and doc_id < 1000").collect()
+    assert {g.doc_id: (g.start, g.end, g.first_doc, g.removed) for g in got} == want and len(got) == len(want)
+
+
 def test_empty(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
