@@ -72,14 +72,15 @@ def word_counts(train: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("docs").alias("docs")).where(F.length("word") > 0)
 
 
-def suspects(counts: DataFrame, n_toxic: int, n_docs: int, most: int = 512) -> list[bytes]:
-    """At most `most` words by the significance (G statistic) of their excess in toxic documents."""
+def suspects(counts: DataFrame, n_toxic: int, n_docs: int) -> list[bytes]:
+    """All words whose odds of a toxic document are over three times those of all documents, significantly (G statistic);
+    odds, unlike shares, can exceed any multiple whatever the toxic share."""
     if not n_toxic or n_toxic == n_docs:
         return []
     p = n_toxic / n_docs
     a, n = F.col("toxic_docs").cast("double"), F.col("docs").cast("double")
     g = 2 * (a * F.log(a / (n * p)) + F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - p)))).otherwise(0.0))
-    top = counts.where((F.col("docs") >= 5) & (a > 3 * p * n)).withColumn("g", g).where("g > 15").orderBy(F.desc("g"), "word").limit(most)
+    top = counts.where((F.col("docs") >= 5) & (a * (1 - p) > 3 * p * (n - a))).withColumn("g", g).where("g > 15").orderBy(F.desc("g"), "word")
     return [bytes(r.word) for r in top.collect()]
 
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from driftlog.llm.toxicity import Field, score, train
+from driftlog.llm.toxicity import Field, score, suspects, train
 
 
 def test_marginals_against_enumeration():
@@ -48,6 +48,21 @@ def test_held_out_accuracy(spark):
     assert [s.first for s in got[5002].spans][0] == 50000
 
 
+def test_suspects_at_any_share_and_number(spark):
+    rows = [(b"bad%d" % i, 200, 210) for i in range(600)] + [(b"plain", 100, 200), (b"clean", 10, 200), (b"rare", 3, 3)]
+    c = spark.createDataFrame(rows, "word binary, toxic_docs long, docs long")
+    for n_toxic in (300, 500, 700):  # of 1,000
+        assert set(suspects(c, n_toxic, 1000)) == {w for w, _, _ in rows[:600]}
+
+
+def test_half_of_the_labels_toxic(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choices(["w%d" % k for k in range(100)], k=30) + ["vile"] * (i % 2))) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    out = score(d, *train(d, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))).collect()
+    assert all(x.predicted == x.doc_id % 2 for x in out)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, toxic int")
