@@ -16,14 +16,22 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder that the cluster names. Where none is set, a local session, whose executors share the driver's
+    disk, gets one of its own; any other session is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftlog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/") + "/driftlog"
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and no executor holds it."""
     spark = df.sparkSession

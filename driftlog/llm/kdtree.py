@@ -1,156 +1,227 @@
 """K-d tree sharding: weighted medians along the widest metadata dimension until leaves hold the target bytes.
 
-Every row gets coordinates from its metadata and one 60-bit sort key per dimension: the coordinate above a hash of the
-row, so ties split evenly. All nodes of a level are cut in the same jobs. A cut is an exact weighted quantile found by
-radix search: each pass sums bytes by (node, next digit of the key), which Spark pre-aggregates, and only these sums,
-at most shards x 4096 numbers, come to the driver. A node with an odd number of leaves is cut in that proportion.
+Every row gets a coordinate per dimension, scaled to the whole axis: the logarithm of its size, and the rank of each of
+its names among the distinct names in byte order. A 48-bit sort key per dimension puts the coordinate above a hash of
+the row, so ties split evenly. All rows go through the tree, and all nodes of a level are cut in the same jobs. A cut is
+an exact weighted quantile found by radix search: each pass sums weights by (node, next digit of the key), which Spark
+pre-aggregates; only these sums, at most shards x 4096 numbers, come to the driver. A node with an odd number of leaves
+is cut in that proportion. Rows with their node are written once a level, so plans do not grow with the tree.
 """
 
 from __future__ import annotations
 
-import heapq
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftlog.llm.common import discard, materialize
+from driftlog.llm.common import discard, fresh, materialize
 
-COORD_BITS, DIGIT_BITS, DIGITS = 24, 12, 5
+COORD_BITS, DIGIT_BITS, DIGITS = 20, 12, 4
 TIE_BITS = DIGIT_BITS * DIGITS - COORD_BITS
+TOP = 2**COORD_BITS - 1
+#: A table of names of at most this many rows, of 8 bytes and a name each, is broadcast; a larger one is joined in salted parts.
+NAMES_AT_ONCE, SALTS = 100_000, 32
 
 
-def name_coord(c: Column) -> Column:
-    """A name's place on the axis: its first three bytes in order, so names that begin alike lie together."""
-    b = F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 3)
-    return F.conv(F.rpad(F.hex(b), 6, "0"), 16, 10).cast("long")
+def key(coord: Column, tie: Column) -> Column:
+    return F.shiftleft(coord.cast("long"), TIE_BITS).bitwiseOR(tie)
 
 
-def size_coord(size: Column) -> Column:
-    """log2 of the size in steps of 1/2^18, below 2^24."""
-    return F.least(F.lit(2**COORD_BITS - 1), (F.log2(size.cast("double") + 1) * 2**18).cast("long"))
+def name_ranks(docs: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(name, coord) of the distinct names, null as empty, and their number. Names are sorted in ranges; a name's rank is
+    its place in its range, behind the ranges before."""
+    names = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("name")).distinct()
+    sorted_ = names.repartitionByRange("name").sortWithinPartitions("name").withColumn("at", F.monotonically_increasing_id())
+    t = materialize(sorted_, "kd-names")
+    range_, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes, before, n = t.groupBy(range_.alias("r")).count().collect(), {}, 0
+    for r in sorted(sizes, key=lambda r: r.r):
+        before[r.r] = n
+        n += r["count"]
+    rank = place + (lookup(before, range_) if before else F.lit(0))
+    ranked = materialize(t.select("name", (rank * TOP / max(1, n - 1)).cast("long").alias("coord")), "kd-ranks")
+    discard(t)
+    return ranked, n
 
 
-def key(coord: Column, tie: Column) -> Column:
-    return F.shiftleft(coord, TIE_BITS).bitwiseOR(tie)
+def with_coord(rows: DataFrame, ranked: DataFrame, n: int, column: str, out: str) -> DataFrame:
+    """rows, column replaced by the coordinate of its name."""
+    ranked = ranked.withColumnsRenamed({"name": column, "coord": out})
+    if n <= NAMES_AT_ONCE:
+        return rows.join(F.broadcast(ranked), column, "left").drop(column)
+    salt = fresh("salt")
+    parts = ranked.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(parts, [column, salt], "left").drop(column, salt)
 
 
-def deal_large(large: list[tuple], shards: int) -> tuple[dict, list[int]]:
-    """Largest first to the shard with the least bytes so far; ties to the lower shard."""
-    heap, out = [(0, s) for s in range(shards)], {}
-    for size, row, copies in sorted(large, key=lambda x: (-x[0], x[1])):
-        for c in range(copies):
-            used, s = heapq.heappop(heap)
-            out.setdefault(row, []).append(s)
-            heapq.heappush(heap, (used + size, s))
-    got = [0] * shards
-    for used, s in heap:
-        got[s] = used
-    return out, got
+def lookup(table: dict, at: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), at)
 
 
+@dataclass
 class Node:
-    """A node over leaves lo to hi - 1."""
-
-    def __init__(self, ident: int, lo: int, hi: int):
-        self.ident, self.lo, self.hi = ident, lo, hi
-
-
-def cut_level(rows: DataFrame, nodes: list[Node], dims: list[str], want: dict[int, float]) -> dict[int, tuple[str, int]]:
-    """Node -> (dimension, key): rows with a smaller key go left; their bytes are as near want as a row boundary gets."""
-    lows = [F.min(F.shiftright(d, TIE_BITS)).alias(f"lo_{d}") for d in dims] + [F.max(F.shiftright(d, TIE_BITS)).alias(f"hi_{d}") for d in dims]
-    spread = {r["node"]: {d: r[f"hi_{d}"] - r[f"lo_{d}"] for d in dims} for r in rows.where(F.col("node").isin([n.ident for n in nodes])).groupBy("node").agg(*lows).collect()}
-    axis = {n.ident: max(dims, key=lambda d: (spread[n.ident][d], -dims.index(d))) for n in nodes if n.ident in spread}
-    if not axis:
-        return {}
-    chosen = F.lit(None).cast("long")
-    for k, d in axis.items():
-        chosen = F.when(F.col("node") == k, F.col(d)).otherwise(chosen)
-    r = rows.select("node", "size", chosen.alias("key")).where("key is not null")
-    prefix, before = dict.fromkeys(axis, 0), dict.fromkeys(axis, 0)
+    """Leaves lo to hi - 1. Cut: rows left of `at` on the axis go left, and of the others those with a weight of at most
+    `least` that are left of `fill`."""
+
+    ident: int
+    lo: int
+    hi: int
+    axis: int = 0
+    at: int = 0
+    least: int = -1
+    fill: int = 0
+
+    @property
+    def mid(self) -> int:
+        return (self.lo + self.hi) // 2
+
+
+def quantile(rows: DataFrame, want: dict[int, float]) -> dict[int, tuple[int, float]]:
+    """Node -> (key, weight): the rows below the key weigh the most that is not above want. rows: node, key, weight."""
+    prefix, before = dict.fromkeys(want, 0), dict.fromkeys(want, 0)
+    rows = rows.where(F.col("node").isin(list(want)))
     for i in range(DIGITS):
         shift = DIGIT_BITS * (DIGITS - 1 - i)
-        here = F.lit(False)
-        for k, p in prefix.items():
-            here = here | ((F.col("node") == k) & (F.shiftright("key", shift + DIGIT_BITS) == p))
-        sums = r.where(here).groupBy("node", F.shiftright("key", shift).alias("at")).agg(F.sum("size").alias("bytes")).collect()
-        for k in axis:
-            total = before[k]
-            for at, b in sorted((x["at"], x["bytes"]) for x in sums if x["node"] == k):
-                prefix[k], before[k] = at, total
-                if total + b > want[k]:
+        here = rows if i == 0 else rows.where(F.shiftright("key", shift + DIGIT_BITS) == lookup(prefix, F.col("node")))
+        sums: dict[int, list] = {k: [] for k in want}
+        for r in here.groupBy("node", F.shiftright("key", shift).alias("at")).agg(F.sum("weight").alias("w")).collect():
+            sums[r.node].append((r["at"], r.w))
+        for k, s in sums.items():
+            s.sort()
+            last = prefix[k] << DIGIT_BITS
+            for at, w in s:
+                last = at
+                if before[k] + w > want[k]:
                     break
-                total += b
-        if i == DIGITS - 1:
-            for k in axis:
-                b = next(x["bytes"] for x in sums if x["node"] == k and x["at"] == prefix[k])
-                if before[k] + b - want[k] < want[k] - before[k]:
-                    prefix[k] += 1
-    return {k: (axis[k], prefix[k]) for k in axis}
+                before[k] += w
+                last = at + 1
+            prefix[k] = last
+        done = {k for k, s in sums.items() if not s or prefix[k] > s[-1][0]}  # want covers all that is left: no row above
+        for k in done:
+            want = {x: v for x, v in want.items() if x != k}
+            prefix[k] <<= shift
+        if not want:
+            break
+        rows = rows.where(F.col("node").isin(list(want))) if done else rows
+    return {k: (prefix[k], before[k]) for k in before}
+
+
+def cut_level(rows: DataFrame, nodes: list[Node], dims: list[str], slack: float) -> None:
+    """Set the nodes' cuts. A cut that leaves more than slack lacking on the left, because a large row straddles it, lets
+    the next rows of at most a quarter of the gap fill it."""
+    level = rows.where(F.col("node").isin([n.ident for n in nodes]))
+    ends = [f(F.shiftright(d, TIE_BITS)).alias(f"{k}{d}") for d in dims for k, f in (("lo_", F.min), ("hi_", F.max))]
+    stats = {r.node: r for r in level.groupBy("node").agg(F.sum("weight").alias("w"), *ends).collect()}
+    for n in nodes:
+        if n.ident in stats:
+            r = stats[n.ident]
+            n.axis = max(range(len(dims)), key=lambda i: (r["hi_" + dims[i]] - r["lo_" + dims[i]], -i))
+    nodes = [n for n in nodes if n.ident in stats]
+    if not nodes:
+        return
+    chosen = F.get(F.array(*dims), lookup({n.ident: n.axis for n in nodes}, F.col("node")))
+    level = level.select("node", "weight", chosen.alias("key"))
+    want = {n.ident: stats[n.ident].w * (n.mid - n.lo) / (n.hi - n.lo) for n in nodes}
+    gap = {}
+    for k, (at, w) in quantile(level, dict(want)).items():
+        n = next(n for n in nodes if n.ident == k)
+        n.at = at
+        if want[k] - w > slack:
+            gap[k] = want[k] - w
+    if gap:
+        least = {k: int(g / 4) for k, g in gap.items()}
+        at = lookup({n.ident: n.at for n in nodes if n.ident in gap}, F.col("node"))
+        more = level.where(F.col("node").isin(list(gap))).where((F.col("key") >= at) & (F.col("weight") <= lookup(least, F.col("node"))))
+        for k, (fill, _) in quantile(more, gap).items():
+            n = next(n for n in nodes if n.ident == k)
+            n.least, n.fill = least[k], fill
+
+
+def children(nodes: list[Node], dims: list[str]) -> Column:
+    """The node of the next level; rows at a leaf stay."""
+    cell = {n.ident: F.struct(F.lit(n.axis).alias("axis"), F.lit(n.at).cast("long").alias("at"), F.lit(n.least).cast("long").alias("least"), F.lit(n.fill).cast("long").alias("fill")) for n in nodes}
+    cut = F.element_at(F.create_map(*(x for k, v in cell.items() for x in (F.lit(k), v))), F.col("node"))
+
+    def side(c: Column) -> Column:
+        k = F.get(F.array(*dims), c["axis"])
+        left = (k < c["at"]) | ((F.col("weight") <= c["least"]) & (k < c["fill"]))
+        return F.when(c.isNull(), F.col("node")).when(left, 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+
+    return F.element_at(F.transform(F.array(cut), side), 1)
+
+
+def most_in_a_row(rows: DataFrame, shards: int) -> tuple[int, float]:
+    """Bytes of all rows, and the most of one row that counts as weight: a row that is larger than what the others leave
+    to a shard has a shard for itself. At most `shards` rows can be so large."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large = [r.size for r in rows.select(F.col("size")).orderBy(F.desc("size")).limit(shards).collect()]
+    rest, left = total, shards
+    for s in large:
+        if left < 2 or s * left <= rest:
+            break
+        rest, left = rest - s, left - 1
+    return total, rest / left
 
 
-def kd_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang", "source"), large_share: int = 64) -> DataFrame:
+def kd_tree(docs: DataFrame, shards: int, doc_id: str, text: str, meta: tuple[str, ...]) -> tuple[DataFrame, list[Node], list[str]]:
+    """Rows with their leaf (node), the inner nodes, and the names of the key columns."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    crc, size = F.crc32(F.encode(t, "UTF-8")), (F.octet_length(t) + 8).cast("long")
+    row = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t)
+    names = [m for m in meta if m in docs.columns]
+    cols = [F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"n_{i}") for i, m in enumerate(names)]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), row.alias("row"), *cols)
+    for i, m in enumerate(names):
+        rows = with_coord(rows, *name_ranks(docs, m), f"n_{i}", f"c_{i}")
+    rows = materialize(rows, "kd")
+    total, most = most_in_a_row(rows, shards)
+    lo, hi = rows.agg(F.min("size"), F.max("size")).first()
+    wide = F.log2(F.col("size").cast("double")) - F.log2(F.lit(float(lo or 1)))
+    span = F.log2(F.lit(float(hi or 2))) - F.log2(F.lit(float(lo or 1)))
+    coords = [F.when(span > 0, F.least(F.lit(TOP), (wide / span * TOP).cast("long"))).otherwise(F.lit(0)), *(F.col(f"c_{i}") for i in range(len(names)))]
+    dims = [f"d_{i}" for i in range(len(coords))]
+    tie = F.xxhash64(F.lit(1), "row").bitwiseAND(F.lit(2**TIE_BITS - 1))
+    keyed = rows.select("doc_id", "size", "text_crc32", "row", F.least(F.col("size"), F.lit(int(most) + 1)).alias("weight"), *(key(c, tie).alias(d) for c, d in zip(coords, dims)), F.lit(0).alias("node"))
+    at = materialize(keyed, "kd-0")
+    discard(rows)
+    level, inner = [Node(0, 0, shards)], []
+    while level := [n for n in level if n.hi - n.lo > 1]:
+        cut_level(at, level, dims, total / shards / 1000)
+        inner += level
+        below = materialize(at.withColumn("node", children(level, dims)), "kd-level")
+        discard(at)
+        at = below
+        level = [c for n in level for c in (Node(2 * n.ident + 1, n.lo, n.mid), Node(2 * n.ident + 2, n.mid, n.hi))]
+    return at, inner, dims
+
+
+def leaves(inner: list[Node]) -> dict[int, int]:
+    """Leaf node -> shard."""
+    out = {0: 0} if not inner else {}
+    for n in inner:
+        for c, lo, hi in ((2 * n.ident + 1, n.lo, n.mid), (2 * n.ident + 2, n.mid, n.hi)):
+            if hi - lo == 1:
+                out[c] = lo
+    return out
+
+
+def kd_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in its shard).
 
-    The law is `bytes`: shards hold near equal sums of size (UTF-8 bytes of the text, none for null, plus 8). Rows of
-    over 1/large_share of a shard's target, fewer than shards x large_share in all, are first dealt largest first; the
-    tree's leaves then take what each shard still lacks, so no leaf misses its target by more than about such a row.
-    Equal texts share all but their tie hash; a group of copies stays together unless a cut runs through it. Repeated
-    rows keep their number. Null metadata counts as empty; missing metadata columns are left out.
+    The law is `bytes`: shards hold near equal sums of size (UTF-8 bytes of the text, none for null, plus 8). Rows weigh
+    their size, but no more than a shard's share, so that one that is larger gets a shard for itself. Where a large row
+    straddles a cut, it stays on the right and small rows from there fill the gap. Equal texts share all but their tie
+    hash; a group of copies stays together unless a cut runs through it. Repeated rows keep their number. Null metadata
+    counts as empty, missing metadata columns are left out, other columns are not looked at. An empty table gives an
+    empty result; with fewer rows than shards some shards stay empty.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    size = (F.octet_length(t) + 8).cast("long")
-    key_of = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), t)
-    tie = F.xxhash64(F.lit(1), F.crc32(F.encode(t, "UTF-8")), F.col(doc_id)).bitwiseAND(F.lit(2**TIE_BITS - 1))
-    names = [m for m in meta if m in docs.columns]
-    coords = [key(size_coord(size), tie).alias("d_size"), *(key(name_coord(F.col(m).cast("string")), tie).alias(f"d_{i}") for i, m in enumerate(names))]
-    dims = ["d_size", *(f"d_{i}" for i in range(len(names)))]
-    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), key_of.alias("row"), *coords), "kd")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    bound = total / shards / large_share
-    big = rows.where(F.col("size") > bound).groupBy("row").agg(F.max("size").alias("size"), F.count("*").alias("copies"))
-    # at most shards * large_share rows can be larger than bound
-    dealt, used = deal_large([(x["size"], x["row"], x["copies"]) for x in big.collect()], shards)
-    lack = [max(0.0, total / shards - u) for u in used]
-    small = rows.where(F.col("size") <= bound)
-    level, fresh = [Node(0, 0, shards)], 1
-    leaves: dict[int, int] = {}
-    tree: dict[int, tuple] = {}  # node -> (dimension, key, left child, right child)
-
-    def place(n: int) -> Column:
-        if n not in tree:
-            return F.lit(n)
-        d, at, left, right = tree[n]
-        return F.when(F.col(d) < at, place(left)).otherwise(place(right))
-
-    while level:
-        for n in level:
-            if n.hi - n.lo == 1:
-                leaves[n.ident] = n.lo
-        level = [n for n in level if n.hi - n.lo > 1]
-        if not level:
-            break
-        here = small.withColumn("node", place(0))
-        have = {r["node"]: r["b"] for r in here.where(F.col("node").isin([n.ident for n in level])).groupBy("node").agg(F.sum("size").alias("b")).collect()}
-        want = {}
-        for n in level:
-            mid = (n.lo + n.hi) // 2
-            share = sum(lack[n.lo : n.hi])
-            want[n.ident] = have.get(n.ident, 0) * (sum(lack[n.lo : mid]) / share if share else 0.5)
-        cuts, new = cut_level(here, level, dims, want), []
-        for n in level:
-            mid = (n.lo + n.hi) // 2
-            tree[n.ident] = (*cuts.get(n.ident, (dims[0], 0)), fresh, fresh + 1)
-            new += [Node(fresh, n.lo, mid), Node(fresh + 1, mid, n.hi)]
-            fresh += 2
-        level = new
-    shard = F.element_at(F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(v)) for k, v in leaves.items()))), F.col("node"))
-    placed = small.withColumn("node", place(0)).select("doc_id", "size", "text_crc32", "row", shard.alias("shard"))
-    spark = docs.sparkSession
-    deal = spark.createDataFrame([(r, c, s) for r, ss in dealt.items() for c, s in enumerate(ss)], "row long, copy int, shard int")
-    copies = rows.where(F.col("size") > bound).select("doc_id", "size", "text_crc32", "row", (F.row_number().over(W.partitionBy("row").orderBy("size")) - 1).alias("copy"))
-    placed = placed.unionByName(copies.join(deal, ["row", "copy"]).select("doc_id", "size", "text_crc32", "row", "shard"))
-    return number(materialize(placed, "kd-shards"))
+    at, inner, _ = kd_tree(docs, shards, doc_id, text, meta)
+    shard = lookup(leaves(inner), F.col("node"))
+    placed = materialize(at.select("doc_id", "size", "text_crc32", "row", shard.alias("shard")), "kd-shards")
+    discard(at)
+    return number(placed)
 
 
 def number(placed: DataFrame, per_bin: int = 20_000) -> DataFrame:
