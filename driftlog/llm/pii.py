@@ -1,19 +1,21 @@
 """Personal data: fixed patterns as seeds, then bootstrapped contexts, on built-in functions alone.
 
-The fixed kinds give the base spans. Their instances seed a graph whose other side is lexical patterns: the words just
-before an instance. Spark scores patterns by the share of their instances that are known, and instances by the patterns
-that hold them, in rounds; identifiers that no fixed pattern finds are added where a pattern of high confidence precedes
-them. Offsets are code points: text between matches (split) and the matches themselves (extract) alternate, so lengths
-add up to positions.
+The fixed kinds give the base spans. Their instances seed a graph whose other side is lexical patterns: the two words just
+before an instance, an earlier match counting as one. Spark scores patterns by the share of their instances that are
+known, and instances by the patterns that hold them, in rounds until nothing changes; identifiers that no fixed pattern
+finds are added where a pattern of high confidence precedes them. Offsets are code points: text between matches (split)
+and the matches themselves (extract) alternate, so lengths add up to positions. Arrays are folded in chunks, as each step
+of a fold copies what it has gathered: the time is linear in a text's matches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from driftlog.llm.common import discard, materialize
-from driftlog.llm.quality import let, whole
+from driftlog.llm.common import SPACE_RE, discard, fresh, materialize
+from driftlog.llm.quality import SPACES, let, whole
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Java forms, equal to the plain ones: possessive where no backtracking can help, and starts only where a leftmost match can.
@@ -23,34 +25,56 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What an unseen identifier may look like: at least 6 characters, one a digit.
 IDENT = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{6,}+"
-SPAN = "array<struct<start:int,kind:int,end:int,inst:string,left:string>>"
+SPAN = "struct<start:int,kind:int,end:int,inst:string,left:string>"
+CHUNK = 256
 
 
-def context(piece: Column) -> Column:
-    """The last two words of the text before a match, in small letters, digits as 0."""
-    tail = F.regexp_extract(F.right(piece, F.lit(48)), r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    return F.regexp_replace(F.lower(tail), "[0-9]+", "0")
+def fold(items: Column, state: Column, kind: str, step, chunk: int = CHUNK) -> Column:
+    """All that step(state, item), a struct of the next state s and an array out, gives out, in order. kind: type of out's
+    elements."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def part(a: Column, c: Column) -> Column:
+        inner = F.aggregate(
+            F.slice(items, c * chunk + 1, F.lit(chunk)),
+            F.struct(a["s"].alias("s"), none.alias("out")),
+            lambda b, x: let(step(b["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(b["out"], r["out"]).alias("out"))),
+        )
+        return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / chunk).cast("int"))
+    return F.when(F.size(items) == 0, none).otherwise(F.aggregate(parts, start, part, lambda a: F.flatten(a["out"])))
+
+
+def last_words(text: Column, n: int) -> Column:
+    return let(F.split(F.btrim(text, F.lit(SPACES)), SPACE_RE), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - (n - 1), F.lit(1)), F.lit(n)), " "))
 
 
 def spans(text: Column, pattern: str, kind: int, gate: Column, valid=None) -> Column:
-    """Array of matches of pattern in order, those that fail valid dropped; empty where gate is false."""
+    """Array of matches of pattern in order, those that fail valid dropped; empty where gate is false. left: the last two
+    words before the match in small letters, digits as 0, earlier matches as #."""
     rx = F.lit(pattern)
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def walk(parts: Column) -> Column:
-        found, between = parts["m"], parts["p"]
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    def step(a: Column, z: Column) -> Column:
+        start = a["pos"] + F.length(z["p"])
+        tail = last_words(F.concat(a["tail"], z["p"], F.lit("#")), 3)
+        now = F.struct(start.alias("start"), (start + F.coalesce(F.length(z["m"]), F.lit(0))).alias("end"), tail.alias("tail"))
 
-        def step(a: Column, z: Column) -> Column:
-            start = a["pos"] + F.length(z["p"])
-            end = start + F.length(z["m"])
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), z["m"].alias("inst"), context(z["p"]).alias("left"))
+        def put(v: Column) -> Column:
+            left = last_words(F.substring(v["tail"], F.lit(1), F.length(v["tail"]) - 1), 2)
+            one = F.struct(v["start"].alias("start"), F.lit(kind).alias("kind"), v["end"].alias("end"), z["m"].alias("inst"), F.regexp_replace(F.lower(left), "[0-9]+", "0").alias("left"))
             keep = z["m"].isNotNull() if valid is None else z["m"].isNotNull() & valid(z["m"])
-            return F.struct(F.coalesce(end, start).alias("pos"), F.when(keep, F.concat(a["out"], F.array(one))).otherwise(a["out"]).cast(SPAN).alias("out"))
+            return F.struct(F.struct(v["end"].alias("pos"), v["tail"].alias("tail")).alias("s"), F.when(keep, F.array(one).cast(f"array<{SPAN}>")).otherwise(none).alias("out"))
+
+        return let(now, put)
 
-        return F.aggregate(F.arrays_zip(between.alias("p"), found.alias("m")), zero, step, lambda a: a["out"])
+    def walk(parts: Column) -> Column:
+        return let(F.arrays_zip(parts["p"].alias("p"), parts["m"].alias("m")), lambda z: fold(z, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail")), SPAN, step))
 
     parts = F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    return F.when(gate, let(parts, walk)).otherwise(F.array().cast(SPAN))
+    return F.when(gate, let(parts, walk)).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -80,55 +104,79 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the text), base and more: candidates that no base span overlaps."""
+    """row (a number), doc_id, text_key (hash of the text), base, and cand: what may be an identifier."""
     t = whole(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("_t"))
-    rows = rows.select("doc_id", "text_key", base_spans(F.col("_t")).alias("base"), spans(F.col("_t"), IDENT, 4, F.rlike("_t", F.lit("[0-9]"))).alias("cand"))
-    free = F.when(F.size("base") == 0, F.col("cand")).otherwise(F.filter("cand", lambda c: ~F.exists("base", lambda b: overlaps(b, c))))
-    return rows.select("doc_id", "text_key", "base", free.alias("more"))
+    cand = spans(F.col("_t"), IDENT, 4, F.rlike("_t", F.lit("[0-9]")))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", base_spans(F.col("_t")).alias("base"), cand.alias("cand"))
+
+
+def all_hits(found: DataFrame) -> DataFrame:
+    """(row, start, kind, end, inst, left) of base spans and of the candidates (kind 4) that no base span overlaps."""
+
+    def rows(of: DataFrame, what: Column) -> DataFrame:
+        return of.select("row", F.explode(what).alias("s")).select("row", "s.*")
 
+    mixed = (F.size("base") > 0) & (F.size("cand") > 0)
+    near = rows(found.where(mixed), F.concat("base", "cand"))
+    is_base = F.col("kind") < 4
+    # base spans come first among equal starts; the texts' own matches are a window's rows
+    before = W.partitionBy("row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("_past", F.max(F.when(is_base, F.col("end"))).over(before)).withColumn("_next", F.min(F.when(is_base, F.col("start"))).over(after))
+    covered = (F.col("_past") > F.col("start")) | (F.col("_next") < F.col("end"))
+    near = near.where(is_base | ~F.coalesce(covered, F.lit(False))).drop("_past", "_next")
+    return near.unionByName(rows(found.where(~mixed), F.concat("base", "cand")))
 
-def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
-    """(doc_id, text_key, start, kind, end) of spans to add to those in found (of find_spans).
+
+def bootstrap(found: DataFrame, confidence: float = 0.8, support: int = 5, still: float = 1e-3) -> DataFrame:
+    """(row, start, kind, end) of spans to add to those in found (of find_spans).
 
     An instance's score for a kind starts at 1 for seeds. A pattern's confidence for a kind is the sum of its distinct
     instances' scores over their number plus 1; patterns count from that confidence and support on. An instance that is
-    no seed gets 1 minus the product of (1 - confidence) over its patterns. Sums are pre-aggregated before each shuffle.
+    no seed gets 1 minus the product of (1 - confidence) over its patterns. Scores only rise, so rounds end: when no
+    pattern is new and confidences rise by less than `still` on average. A span takes its pattern's best kind, ties the
+    first. Sums are pre-aggregated before each shuffle.
     """
-    hits = found.select("doc_id", "text_key", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "text_key", "s.*")
-    hits = hits.where("left <> ''").select("doc_id", "text_key", "start", "kind", "end", F.lower("inst").alias("inst"), F.col("left").alias("pattern"))
-    edges = materialize(hits.groupBy("pattern", "inst", F.when(F.col("kind") < 4, F.col("kind")).alias("seed")).agg(F.count("*").alias("n")), "pii-edges")
-    seeds = edges.where("seed is not null").groupBy("inst", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-    pairs = edges.select("pattern", "inst").distinct()
+    hits = all_hits(found).where("left <> ''").withColumn("inst", F.lower("inst")).withColumnRenamed("left", "pattern")
+    hits = materialize(hits, "pii-hits")
+    pairs = materialize(hits.select("pattern", "inst").distinct(), "pii-pairs")
     total = pairs.groupBy("pattern").agg(F.count("*").alias("total"))
-    score, good = seeds, None
-    for _ in range(rounds):
+    seeds = hits.where("kind < 4").select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
+    score, last, scratch = materialize(seeds, "pii-scores"), (-1, 0.0), []
+    scratch.append(score)
+    while True:
         mass = pairs.join(score, "inst").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
         good = mass.where(F.col("mass") >= support).join(total, "pattern").withColumn("conf", F.col("mass") / (F.col("total") + 1))
         good = materialize(good.where(F.col("conf") >= confidence).select("pattern", "kind", "conf"), "pii-patterns")
-        fresh = pairs.join(good, "pattern").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
-        score = seeds.unionByName(fresh).groupBy("inst", "kind").agg(F.max("score").alias("score"))
-    best = good.groupBy("pattern").agg(F.max(F.struct("conf", -F.col("kind"))).alias("b")).select("pattern", (-F.col("b.col2")).alias("as_kind"))
-    out = hits.where("kind = 4").join(best, "pattern")
-    return out.select("doc_id", "text_key", "start", F.col("as_kind").cast("int").alias("kind"), "end")
+        scratch.append(good)
+        n, conf = good.agg(F.count("*"), F.coalesce(F.sum("conf"), F.lit(0.0))).first()
+        if n == last[0] and conf - last[1] <= still * n:
+            break
+        last = (n, conf)
+        new = pairs.join(good, "pattern").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
+        score = materialize(seeds.unionByName(new).groupBy("inst", "kind").agg(F.max("score").alias("score")), "pii-scores")
+        scratch.append(score)
+    best = good.groupBy("pattern").agg(F.max(F.struct("conf", (-F.col("kind")).alias("order"))).alias("b")).select("pattern", (-F.col("b.order")).alias("as_kind"))
+    best = materialize(best, "pii-best")
+    out = materialize(hits.where("kind = 4").join(best, "pattern").select("row", "start", F.col("as_kind").cast("int").alias("kind"), "end"), "pii-added")
+    for t in (*scratch, hits, pairs, best):
+        discard(t)
+    return out
 
 
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, text_key, base and all: arrays of struct(start, kind, end), by start and then kind; one row per row.
 
-    A null text counts as empty. Equal rows get equal spans; a null id is kept. An empty table gives an empty result.
+    A null text counts as empty, and an empty one has no spans. Equal rows get equal spans; a null id is kept. Texts of any
+    length and any number of matches take time in proportion. Other columns are not looked at. An empty table gives an
+    empty result.
     """
     found = materialize(find_spans(docs, doc_id, text), "pii")
-    extra = bootstrap(found, **options).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
-    extra = materialize(extra, "pii-extra").withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    on = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    added = bootstrap(found, **options).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    both = found.join(extra, on, "left").select("doc_id", "text_key", base.alias("base"), "extra")
+    both = found.join(added, "row", "left").select("doc_id", "text_key", base.alias("base"), "extra")
     return both.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array()))).alias("all"))
 
 
@@ -143,19 +191,40 @@ def digest(spanned: DataFrame) -> DataFrame:
     return spanned.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("all")).alias("spans"))
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
-    spanned = with_spans(docs, **options).where(F.size("all") > 0)
-    spanned = spanned.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("all").alias("_all")).distinct()
-    d = docs.withColumn("_text_key", F.xxhash64(whole("text")))
-    d = d.join(spanned, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    mark = lambda k: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), k + 1), F.lit(">"))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+def replaced(text: Column, marked: Column, block: int = 4096) -> Column:
+    """text with each span of marked (sorted) as its kind in angle brackets; what overlaps an earlier span joins it. Pieces
+    are taken from blocks of the text, as a position in a string is found by counting from its start."""
 
     def step(a: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), a["pos"] + 1, s["start"] - a["pos"])
-        fresh = s["start"] >= a["pos"]
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(a["out"], before, mark(s["kind"]))).otherwise(a["out"]).alias("out"))
+        one = F.array(F.struct(a.alias("a"), s["start"].alias("b"), s["kind"].alias("kind")))
+        none = F.array().cast("array<struct<a:int,b:int,kind:int>>")
+        return F.struct(F.greatest(a, s["end"]).alias("s"), F.when(s["start"] >= a, one).otherwise(none).alias("out"))
+
+    def piece(blocks: Column, x: Column) -> Column:
+        def part(i: Column) -> Column:
+            lo = F.greatest(x["a"] - i * block, F.lit(0))
+            return F.substring(F.get(blocks, i), lo + 1, F.least(x["b"] - i * block, F.lit(block)) - lo)
+
+        at = F.sequence(F.floor(x["a"] / block).cast("int"), F.floor((x["b"] - 1) / block).cast("int"))
+        mark = F.when(x["kind"] < 0, "").otherwise(F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), x["kind"]), F.lit(">")))
+        return F.concat(F.when(x["b"] > x["a"], F.array_join(F.transform(at, part), "")).otherwise(""), mark)
+
+    end = F.struct(F.length(text).alias("start"), F.lit(-1).alias("kind"), F.length(text).alias("end"))
+    pieces = let(F.concat(marked, F.array(end)), lambda m: fold(m, F.lit(0), "struct<a:int,b:int,kind:int>", step))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0))
+    return let(F.struct(blocks.alias("b"), pieces.alias("p")), lambda v: F.array_join(F.transform(v["p"], lambda x: piece(v["b"], x)), ""))
 
-    done = F.aggregate("_all", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+
+def redact(docs: DataFrame, **options) -> DataFrame:
+    """docs with every span in text replaced by its kind in angle brackets; overlapping spans become one, named by the first.
+
+    All rows and columns come back, whatever the columns' names; null and empty texts stay as they are; repeated rows are
+    treated alike and keep their number; an empty table gives an empty result.
+    """
+    ident, key, marked = fresh("id"), fresh("key"), fresh("all")
+    spanned = with_spans(docs, **options).where(F.size("all") > 0)
+    spanned = materialize(spanned.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), F.col("all").alias(marked)).dropDuplicates([ident, key]), "pii-marked")
+    on = (F.xxhash64(whole("text")) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(ident))
+    d = docs.join(spanned, on, "left")
+    text = F.when(F.col(marked).isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col(marked)))
+    return d.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

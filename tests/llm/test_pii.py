@@ -1,5 +1,10 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
+
+from pyspark.sql import functions as F
 
 from driftlog.llm.pii import KINDS, digest, redact, with_spans
 
@@ -66,3 +71,94 @@ def test_bootstrap_and_redaction(spark):
 
 def test_empty(spark):
     assert digest(with_spans(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+IDENT = re.compile(r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*[0-9])[A-Za-z0-9@._%+-]{6,}")
+SPACE = re.compile("[\x20\x09-\x0D]+")
+
+
+def lefts(text, found):
+    """The two words before each of found (start, end), given all matches of the kind: earlier ones count as #."""
+    out, tail, at = {}, "", 0
+    for a, b in found:
+        words = [w for w in SPACE.split(tail + text[at:a] + "#") if w][-3:]
+        tail, at = " ".join(words), b
+        left = [w for w in SPACE.split(tail[:-1]) if w][-2:]
+        out[a, b] = re.sub("[0-9]+", "0", " ".join(left).lower())
+    return out
+
+
+def brute_added(rows, confidence=0.8, support=5):
+    hits = []
+    for n, t in enumerate(rows):
+        base = brute(t)
+        for k, rx in enumerate(RX):
+            at = lefts(t, [m.span() for m in re.finditer(rx, t)])
+            hits += [(n, a, k, b, t[a:b].lower(), at[a, b]) for a, j, b in base if j == k]
+        spots = [m.span() for m in IDENT.finditer(t)]
+        at = lefts(t, spots)
+        hits += [(n, a, 4, b, t[a:b].lower(), at[a, b]) for a, b in spots if not any(a < y and x < b for x, _, y in base)]
+    hits = [h for h in hits if h[5]]
+    of, score = defaultdict(set), {(h[4], h[2]): 1.0 for h in hits if h[2] < 4}
+    for h in hits:
+        of[h[5]].add(h[4])
+    seeds, good = dict(score), {}
+    for _ in range(50):
+        good = {}
+        for p, xs in of.items():
+            for k in range(4):
+                mass = sum(score.get((x, k), 0) for x in xs)
+                if mass >= support and mass / (len(xs) + 1) >= confidence:
+                    good[p, k] = mass / (len(xs) + 1)
+        left = defaultdict(lambda: 1.0)
+        for (p, k), c in good.items():
+            for x in of[p]:
+                left[x, k] *= 1 - min(c, 0.999)
+        score = dict(seeds)
+        for key, v in left.items():
+            score[key] = max(score.get(key, 0), 1 - v)
+    best = {}
+    for (p, k), c in sorted(good.items(), key=lambda x: (x[1], -x[0][1])):
+        best[p] = k
+    return sorted((n, a, best[p], b) for n, a, k, b, x, p in hits if k == 4 and p in best)
+
+
+def test_added_spans_against_brute_force(spark):
+    r, rows = random.Random(3), []
+    for i in range(240):
+        mail, ip = f"user{i}@example.com", f"10.0.{i}.7"
+        rows.append(r.choice([f"Write to me at {mail} or to {ip}, twice", f"host is up: {ip} and me at {mail}", f"reach  my\taccount: {mail}"]))
+    rows += [f"write to me at hidden{i}(at)x and later my account: hidden{i}(at)x" for i in range(8)]
+    rows += ["his secret name: hidden1(at)x", "chapter one: abc12345 abc12346", "me at zzz99999, up: zzz99999 , up: yyy88888"]
+    got = digest(with_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))).collect()
+    added = brute_added(rows)
+    assert added
+    want = {n: show(sorted(brute(t) + [(a, k, b) for m, a, k, b in added if m == n])) for n, t in enumerate(rows)}
+    assert {x.doc_id: x.spans for x in got} == want
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"mail me at u{i}@example.com or id{i:06d}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.time()
+    out = {x.doc_id: x.text for x in redact(df).collect()}
+    assert time.time() - began < 90
+    assert out[2] is None and out[1].count("<email>") >= 50_000 and "@" not in out[1]
+
+
+def test_redaction_of_overlaps_blocks_and_clashing_columns(spark):
+    rows = [(i, TEXTS[i]) for i in range(len(TEXTS))] + [(50, "x" * 4090 + " a@b.cc " + "é" * 9000 + " 1.2.3.4"), (50, "x" * 4090 + " a@b.cc " + "é" * 9000 + " 1.2.3.4"), (None, "t@u.v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_key", "_all", "_id", "text_key", "row", "base", "all", "start", "kind", "a b.c")})
+    out = redact(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+
+    def plain(t):
+        done, at = "", 0
+        for a, k, b in brute(t):
+            if a >= at:
+                done += t[at:a] + f"<{KINDS[k]}>"
+            at = max(at, b)
+        return t if t is None else done + t[at:]
+
+    assert sorted((str(x.doc_id), x.text or "") for x in out.collect()) == sorted((str(i), plain(t) or "") for i, t in rows)
+    assert redact(df.limit(0)).count() == 0
