@@ -8,14 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from driftlog.llm.common import HashCache, materialize, mix
+from driftlog.llm.common import HashCache, discard, fresh, materialize, mix
 
 WORD = re.compile(r"\w+")
 SEED = 4
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
-#: Most seeds that are sent to every executor at once; a larger benchmark is taken in parts of this many.
-SEEDS_AT_ONCE = 1_000_000
+#: Most words of items that the driver holds and sends to every executor at once; a larger benchmark is taken in parts.
+WORDS_AT_ONCE = 1_000_000
+#: A seed is rare if at most RARE items hold it; an item with fewer than FLOOR rare seeds takes its rarest ones besides.
+RARE, FLOOR = 16, 8
 
 
 def tokens(text: str | None) -> list[str]:
@@ -68,18 +71,45 @@ def can_reach(item: list[str], passage: list[str], threshold: float) -> bool:
     return sum(w in have for w in item) >= threshold * len(item)
 
 
-def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: str, text: str, seed: int, threshold: float) -> DataFrame:
-    """Rows (doc_id, item_id, first, passage): a stretch of a document around seeds that it shares with an item, unless its
-    words rule out a score of threshold."""
-    cache = HashCache()
-    length, at, owner = [], [], []
-    for k, (_, w) in enumerate(items):
-        n = min(seed, len(w))
-        s = seeds_of(hashes(w, cache), n) if n else np.zeros(0, np.uint64)
-        at.append(s), length.append(np.full(len(s), n)), owner.append(np.full(len(s), k))
-    at, owner, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, owner, length))
-    order = np.argsort(at, kind="stable")
+def item_seeds(benchmark: DataFrame, seed: int = SEED, rare: int = RARE, floor: int = FLOOR) -> DataFrame:
+    """(item_id, words, size, seeds): the items' words, the length of their seeds (all words of a shorter item), and the
+    hashes of the seeds that look for them.
+
+    A seed's frequency is the number of items that hold it, counted on executors. A phrase that many items share, as a
+    form of question, would join each document that has it to all of them: an item is looked for by its rare seeds, and by
+    its rarest ones, ties included, if it has fewer than floor rare ones.
+    """
+
+    def run(batches):
+        cache = HashCache()
+        for b in batches:
+            words = [tokens(t.as_py()) for t in b.column(1)]
+            sizes = [min(seed, len(w)) for w in words]
+            found = [np.unique(seeds_of(hashes(w, cache), n).view(np.int64)).tolist() if n else [] for w, n in zip(words, sizes)]
+            kinds = (pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip((words, sizes, found), kinds))], ["item_id", "words", "size", "seeds"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = materialize(items.mapInArrow(run, "item_id long, words array<string>, size int, seeds array<bigint>"), "items")
+    held = materialize(items.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")), "seeds")
+    one = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    by = W.partitionBy("item").orderBy("n")
+    kept = one.select("item", F.explode("seeds").alias("seed")).join(held, "seed").withColumn("rank", F.rank().over(by)).where((F.col("n") <= rare) | (F.col("rank") <= floor))
+    kept = kept.groupBy("item").agg(F.collect_list("seed").alias("seeds"))
+    out = materialize(one.drop("seeds").join(kept, "item").select("item_id", "words", "size", "seeds"), "items")
+    for t in (items, held, one):
+        discard(t)
+    return out
+
+
+def find_passages(docs: DataFrame, items: list, doc_id: str, text: str, seed: int, threshold: float) -> DataFrame:
+    """Rows (doc_id, item, first, passage): a stretch of a document around seeds that it shares with an item, unless its
+    words rule out a score of threshold. items: rows of item_seeds(); item: the place in it."""
+    at = np.array([s for r in items for s in r.seeds], np.int64).view(np.uint64)
+    owner, length = (np.repeat(np.array(x, np.int64), [len(r.seeds) for r in items]) for x in (range(len(items)), [r["size"] for r in items]))
+    order = np.lexsort((owner, at))
     at, owner = at[order], owner[order]
+    items = [list(r.words) for r in items]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((at, owner, sorted(set(length.tolist())), items))
 
@@ -103,7 +133,7 @@ def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: s
                 hits.sort()
                 for j, (o, p) in enumerate(hits):
                     near = hits[j - 1] if j else (-1, 0)
-                    item, wanted = named[o]
+                    wanted = named[o]
                     m = len(wanted)
                     if near[0] != o or p - near[1] > 2 * m + seed:
                         first = p
@@ -112,12 +142,12 @@ def find_passages(docs: DataFrame, items: list[tuple[int, list[str]]], doc_id: s
                         a = max(0, first - m - seed)
                         passage = w[a : last + 2 * m + seed]
                         if can_reach(wanted, passage, threshold):
-                            for col, v in zip(out, (i, item, a, " ".join(passage))):
+                            for col, v in zip(out, (i, o, a, " ".join(passage))):
                                 col.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "first", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item", "first", "passage"])
 
-    schema = "doc_id long, item_id long, first long, passage string"
+    schema = "doc_id long, item long, first long, passage string"
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
@@ -125,53 +155,66 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, score, first_word, end_word): items that a document holds in part or whole, maybe edited.
 
     score is the best Smith-Waterman score over words, as a share of an exact copy's; threshold and more are returned. A
-    pair is aligned wherever the document shares a seed with the item, however many others share it too; only stretches
-    with too few of the item's words to reach the threshold are left out. A document without any seed of the item is not
-    compared with it. The benchmark is read in parts of a fixed number of seeds, so that what is broadcast is bounded. Null and empty texts and items match nothing; repeated documents give
-    equal rows once; an empty table gives an empty result.
+    pair is aligned wherever the document shares one of the item's seeds (see item_seeds), however many documents share
+    it too; only stretches with too few of the item's words to reach the threshold are left out. A document without such a
+    seed is not compared with the item. The driver takes the benchmark in parts of a fixed number of words, so that what
+    it holds and broadcasts is bounded. Null and empty texts and items match nothing; repeated documents give equal rows
+    once, as do repeated items; other columns are not looked at; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts: list[list] = [[]]
-    n = 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator():
-        w = tokens(r[1])
-        if n + len(w) > SEEDS_AT_ONCE and parts[-1]:
-            parts.append([])
-            n = 0
-        n += len(w)
-        parts[-1].append((r[0], w))
-    found = None
-    for items in parts:
-        f = pairs_of(find_passages(docs, items, doc_id, text, seed, threshold), items, threshold)
-        found = f if found is None else found.unionByName(f)
-    out = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b"))
-    return out.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), (-F.col("b.col3")).alias("end_word"))
-
-
-def pairs_of(passages: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
-    p = materialize(passages, "passages")
-    shared = p.sparkSession.sparkContext.broadcast(dict(items))
+    seeds = item_seeds(benchmark, seed)
+    found, part, n = [], [], 0
+
+    def flush():
+        if part:
+            p = materialize(find_passages(docs, part, doc_id, text, seed, threshold), "passages")
+            found.append(materialize(pairs_of(p, part, threshold), "pairs"))
+            discard(p)
+
+    for r in seeds.toLocalIterator():
+        part.append(r)
+        n += len(r.words)
+        if n >= WORDS_AT_ONCE:
+            flush()
+            part, n = [], 0
+    flush()
+    discard(seeds)
+    if not found:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.unionByName(f)
+    best = F.struct("score", (-F.col("first_word")).alias("a"), (-F.col("end_word")).alias("b"))
+    out = all_.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
+    return out.select("doc_id", "item_id", "b.score", (-F.col("b.a")).alias("first_word"), (-F.col("b.b")).alias("end_word"))
+
+
+def pairs_of(passages: DataFrame, items: list, threshold: float) -> DataFrame:
+    """Alignments of passages with their items; a task aligns equal passages once."""
+    shared = passages.sparkSession.sparkContext.broadcast([(r.item_id, list(r.words)) for r in items])
 
     def run(batches):
         known: dict = {}
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for i, item, first, text in zip(*(c.to_pylist() for c in b.columns)):
+                name, words = shared.value[item]
                 if (item, text) not in known:
                     known = known if len(known) < 10_000 else {}
-                    known[item, text] = align(shared.value[item], text.split(" "))
+                    known[item, text] = align(words, text.split(" "))
                 s, a, e = known[item, text]
                 if s >= threshold:
-                    for col, v in zip(out, (i, item, round(s, 6), first + a, first + e)):
+                    for col, v in zip(out, (i, name, round(s, 6), first + a, first + e)):
                         col.append(v)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    spread = p.repartition(F.xxhash64("doc_id", "item_id", "first"))
+    spread = passages.repartition(F.xxhash64("doc_id", "item", "first"))
     return spread.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of docs whose id is in no pair of contamination(); a null id is judged by rows with null ids together."""
-    bad = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Rows of docs whose id is in no pair of contamination(); a null id is judged by rows with null ids together. Columns
+    stay as they came, whatever their names; repeated rows keep their number; an empty table gives an empty result."""
+    ident = fresh("id")
+    bad = contamination(docs, benchmark, **options).select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(ident)), "left_anti")

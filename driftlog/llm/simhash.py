@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import materialize, words
+from driftlog.llm.common import discard, fresh, materialize, words
 from driftlog.llm.components import connected_components
 
 #: Rows of a bucket that one tile compares with as many others.
@@ -235,10 +235,13 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     fps = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "fps")
     comp = connected_components(near_links(fps, radius))
-    root = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = root.groupBy("root").agg(F.min("first").alias("first"))
-    named = root.select("fp", "root").join(least, "root").select("fp", "first")
-    out = rows.join(named, "fp")
+    linked = fps.join(comp.withColumnRenamed("node", "fp"), "fp")
+    # aggregated sides are written first: both sides of these joins are then plain shuffles, whose hot keys Spark can split
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
+    named = materialize(linked.select("fp", "root").join(least, "root").select("fp", "least"), "named")
+    first = materialize(fps.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "firsts")
+    discard(fps), discard(least), discard(named)
+    out = rows.join(first, "fp")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     return out.select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), same.alias("keeper"))
 
@@ -248,8 +251,15 @@ def fp_hex(fp: Column | str) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs with one row of each group of near copies left; columns as they came."""
-    kept = simhash_groups(docs, radius=radius).where("keeper").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    """docs with one row of each group of near copies left; columns as they came, whatever their names.
+
+    The row of the smallest id stays, null ids last, then of the smallest hash of the text; of rows that are equal in both
+    any one. Null and empty texts are one group. An empty table gives an empty result. Near copies are those whose
+    fingerprints of 4-word shingles are linked within radius bits: this is what simhash_groups() links.
+    """
+    ident, key, own = fresh("id"), fresh("key"), fresh("own")
+    kept = simhash_groups(docs, radius=radius).where("keeper").select(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).distinct()
+    kept = materialize(kept, "kept")
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).drop(own)

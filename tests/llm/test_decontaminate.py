@@ -1,6 +1,9 @@
 import random
 
-from driftlog.llm.decontaminate import MATCH, align, contamination, drop_contaminated, smith_waterman, tokens
+from pyspark.sql import functions as F
+
+from driftlog.llm import decontaminate
+from driftlog.llm.decontaminate import MATCH, align, contamination, drop_contaminated, item_seeds, smith_waterman, tokens
 
 
 def brute_sw(a, b):
@@ -59,9 +62,9 @@ def test_copies_of_one_seed_are_all_found(spark):
     text = lambda n: " ".join("u%d" % r.randrange(10**6) for _ in range(n))
     b = spark.createDataFrame([(1, "four words as item"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
     # 12 words of which 10 stay, with one run of four: 20 - 2 of 24
-    whole = [(i, f"{text(9)} four words as item {text(9)}") for i in range(150)]
-    edited = [(1000 + i, f"{text(9)} a b c x e f g h y j k l {text(9)}") for i in range(150)]
-    phrase = [(2000 + i, f"{text(9)} e f g h {text(9)}") for i in range(150)]
+    whole = [(i, f"{text(9)} four words as item {text(9)}") for i in range(1000)]
+    edited = [(1000 + i, f"{text(9)} a b c x e f g h y j k l {text(9)}") for i in range(1000)]
+    phrase = [(2000 + i, f"{text(9)} e f g h {text(9)}") for i in range(1000)]
     got = {(x.doc_id, x.item_id): x.score for x in contamination(spark.createDataFrame(whole + edited + phrase, "doc_id long, text string"), b).collect()}
     assert got == {(i, 1): 1.0 for i, _ in whole} | {(i, 2): 0.75 for i, _ in edited}
 
@@ -72,3 +75,29 @@ def test_empty(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert contamination(d.limit(0), b).count() == 0
     assert contamination(d, b.limit(0)).count() == 0
+
+
+def test_seeds_are_rare_ones(spark):
+    items = [(i, "which of the following is true about " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
+    items += [(100 + i, f"which of the following is true a{i}") for i in range(3)] + [(7, items[7][1])]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = {r.item_id: r for r in item_seeds(b, rare=16, floor=2).collect()}
+    assert len(got) == 33
+    # 27 words have 24 seeds, of which 30 items share the first four; "the following is true" and "of the following is" are shared by 33
+    assert all(len(got[i].seeds) == 20 for i in range(30))
+    assert all(len(got[100 + i].seeds) == 4 for i in range(3))  # one of its own, the rest tie
+    docs = spark.createDataFrame([(1, "x y " + items[3][1]), (2, "which of the following is true about nothing")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contamination(docs, b).collect() if r.item_id < 100] == [(1, 3)]
+
+
+def test_benchmark_in_parts_and_clashing_columns(spark, monkeypatch):
+    items, docs = world()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(contamination(d, b).collect(), key=str)
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 50)
+    assert sorted(contamination(d, b).collect(), key=str) == whole
+    more = d.withColumns({c: F.lit(1) for c in ("_id", "item", "item_id", "first", "score", "a b")})
+    kept = drop_contaminated(more, b)
+    assert kept.columns == more.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in drop_contaminated(d, b).collect())

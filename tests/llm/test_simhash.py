@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from driftlog.llm.simhash import bucket_edges, fingerprint, simhash_groups
+from driftlog.llm.simhash import bucket_edges, drop_near_duplicates, fingerprint, simhash_groups
 
 
 def brute_fp(text, k=4):
@@ -90,3 +91,12 @@ def test_groups(spark, tile, monkeypatch):
 
 def test_empty(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_dropping_keeps_columns_that_clash(spark):
+    rows = [(i, "one text that is the same for all of them") for i in range(5)] + [(9, None), (8, ""), (None, "another text of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "_key", "_text_key", "fp", "root", "first", "a.b")})
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["0", "8", "None"]
+    assert drop_near_duplicates(df.limit(0)).count() == 0
