@@ -32,11 +32,21 @@ def fresh(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex}"
 
 
+#: Setting by which Spark deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and no executor holds it."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and no executor holds it. Nothing
+    reads the query's shuffle files once its table stands, so they go."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftlog_path = path
     return out

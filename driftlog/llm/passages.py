@@ -1,11 +1,11 @@
 """Repeated passages: paragraph MinHash banding, exact Jaccard, components, removals.
 
-A paragraph is a line of at least `least` words; its shingles are five words. Equal paragraphs (as word sequences) are
-one node, so copies never meet as pairs. Each node's MinHash signature is cut into bands, and nodes that share a band
-meet in a bucket, where exact Jaccard on the shingle sets decides. Components of the links give the clusters; all but
-the first occurrence of a cluster are removals. A passage inside different lines is found by anchors: of any WINDOW runs
-of PIECE words in a row, the one of least hash is an anchor, so two lines that share PIECE + WINDOW - 1 words share one.
-Around anchors that occur again all runs of PIECE words are compared, so that a passage is reported to its last word.
+A paragraph is a line of at least `least` words; its shingles are five words. Equal lines are one node, so copies never
+meet as pairs. Each node's MinHash signature is cut into bands, and nodes that share a band meet in a bucket, where exact
+Jaccard on the shingle sets decides. Components of the links give the clusters; all but the first occurrence of a cluster
+are removals. A passage inside different lines is found by anchors: of any WINDOW runs of PIECE words in a row, the one of
+least hash is an anchor, so two lines that share PIECE + WINDOW - 1 words share one. Each line is compared with the first
+holder of each of its anchors, and the shared words around the anchor are followed to both sides as far as they go.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from driftlog.llm.common import HashCache, materialize, mix, ngram_hashes
+from driftlog.llm.common import HashCache, discard, materialize, mix, ngram_hashes
 from driftlog.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -26,7 +27,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: paragraphs have hardly a shingle in common, so the low threshold costs few false candidates.
 BANDS, ROWS = 8, 2
 #: Winnowing: any shared run of PIECE + WINDOW - 1 = 50 words has a common anchor.
-PIECE, WINDOW = 12, 39
+PIECE, WINDOW = 25, 26
 #: Members of a bucket that one tile verifies against as many others.
 TILE = 2048
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -37,18 +38,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def run_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of each run of PIECE words."""
-    return ngram_hashes(h, np.array([0, len(h)]), PIECE)[0]
-
-
-def anchors(runs: np.ndarray) -> np.ndarray:
-    """Positions of the first least hash of each window of runs; a shorter line is one window."""
+def anchors(runs: np.ndarray, line: np.ndarray, most: int = 100_000) -> np.ndarray:
+    """Indices of the first least run of each WINDOW runs in a row within one line; all runs of a shorter line are one
+    window. line: each run's line, ascending."""
     if not len(runs):
         return np.zeros(0, np.int64)
-    width = min(WINDOW, len(runs))
-    least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    new = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    size = np.diff(np.append(new, len(runs)))
+    short = size < WINDOW
+    lead = np.minimum.reduceat(runs, new)
+    low = np.flatnonzero((runs == np.repeat(lead, size)) & np.repeat(short, size))
+    found = [low[np.concatenate(([True], line[low][1:] != line[low][:-1]))] if len(low) else low]
+    left = np.repeat(new + size, size) - np.arange(len(runs))
+    start = np.flatnonzero(left >= WINDOW)
+    if len(start):
+        view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW)
+        for lo in range(0, len(start), most):
+            at = start[lo : lo + most]
+            found.append(np.unique(at + view[at].argmin(axis=1)))
+    return np.unique(np.concatenate(found))
 
 
 def shingle_sets(bodies: list[bytes], cache: HashCache) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -76,65 +84,59 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def units(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """Lines as they are written, with band keys, anchors and their places: node is a 64-bit hash of the words, row one of
+    """Lines as they are written, with band keys, anchors and their places: node is a 64-bit hash of the line, row one of
     the document's id and text."""
 
     def run(batches):
         cache = HashCache()
         names = ["doc_id", "row", "start", "end", "n_words", "node", "keys", "anchors", "places", "body"]
-        kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 3, pa.string())
+        longs = names[:6]
         for b in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            bodies: list[bytes] = []
-
-            def put(*row):
-                for n, v in zip(names, row):
-                    out[n].append(v)
+            out: dict[str, list] = {n: [] for n in (*longs, "body")}
+
+            def flush():
+                sets, h, off = shingle_sets([t.encode("utf-8", "surrogatepass") for t in out["body"]], cache)
+                keys = band_keys(sets)
+                runs, at = ngram_hashes(h, off, PIECE)
+                line = np.searchsorted(off, at, side="right") - 1
+                spot = anchors(runs, line)
+                ends = np.searchsorted(line[spot], np.arange(len(sets) + 1))
+                listed = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int64()))
+                cols = [pa.array(out[n], pa.int64()) for n in longs]
+                cols += [listed(keys.ravel(), np.arange(len(sets) + 1) * BANDS), listed(runs[spot].view(np.int64), ends), listed((at - off[line])[spot], ends)]
+                done = pa.RecordBatch.from_arrays([*cols, pa.array(out["body"], pa.string())], names)
+                for v in out.values():
+                    v.clear()
+                return done
 
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
                 row = signed(xxhash.xxh64_intdigest(f"{i}\n{t}".encode("utf-8", "surrogatepass")))
                 at = 0
                 for line in t.split("\n"):
-                    w = line.encode("utf-8", "surrogatepass").lower().split()
-                    if len(w) >= least:
-                        body = b" ".join(w)
-                        bodies.append(body)
-                        put(i, row, at, at + len(line), len(w), signed(xxhash.xxh64_intdigest(body)), None, None, None, line)
+                    raw = line.encode("utf-8", "surrogatepass")
+                    n = len(raw.split())
+                    if n >= least:
+                        for k, v in zip(out, (i, row, at, at + len(line), n, signed(xxhash.xxh64_intdigest(raw)), line)):
+                            out[k].append(v)
                     at += len(line) + 1
-            for lo in range(0, len(bodies), 2000):
-                sets, h, off = shingle_sets(bodies[lo : lo + 2000], cache)
-                for k, keys in enumerate(band_keys(sets).tolist()):
-                    runs = run_hashes(h[off[k] : off[k + 1]])
-                    at = anchors(runs)
-                    out["keys"][lo + k], out["anchors"][lo + k], out["places"][lo + k] = keys, runs[at].view(np.int64), at
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
+                if len(out["body"]) >= 2000:
+                    yield flush()
+            if out["body"]:
+                yield flush()
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, UNIT)
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """(bucket, node) of band buckets with at least two nodes; buckets of the same nodes are one, named by their hash."""
-    keys = lines.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-
-    def run(batches):
-        held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def groups(k, n):
-            new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-            size = np.diff(np.append(new, len(k)))
-            total = np.add.reduceat(mix(n.view(np.uint64)), new).view(np.int64) if len(new) else new
-            ok = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(total, size)[ok]), pa.array(n[ok])], ["bucket", "node"])
-
-        for b in batches:
-            k, n = np.concatenate([held_k, b.column(1).to_numpy()]), np.concatenate([held_n, b.column(0).to_numpy()])
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            yield groups(k[:cut], n[:cut])
-            held_k, held_n = k[cut:], n[cut:]
-        yield groups(held_k, held_n)
-
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "bucket long, node long").distinct()
+    """(bucket, node) of band buckets with at least two nodes; buckets of the same nodes are one, named by a hash of their
+    nodes. A bucket is summed up before the shuffle and never gathered."""
+    keys = materialize(lines.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")), "keys")
+    named = keys.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("all")).where("n > 1")
+    named = materialize(named.select("key", F.xxhash64("n", "all").alias("bucket")), "named")
+    out = materialize(keys.join(named, "key").select("bucket", "node").distinct(), "buckets")
+    discard(keys), discard(named)
+    return out
 
 
 def verified_links(members: DataFrame, bodies: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
@@ -187,76 +189,85 @@ def verified_links(members: DataFrame, bodies: DataFrame, threshold: float, tile
     return m.select("node", "tile", "body").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "src long, dst long")
 
 
-def repeated_runs(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, a, b, f_node, f_a): words a to b - 1 of a line repeat words of the line f_node from word f_a on, where they
-    occur first. lines: one per node; first: node, order."""
-    spots = lines.select("node", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("node", "s.anchors", "s.places")
-    again = spots.groupBy("anchors").agg(F.count("*").alias("n")).where("n > 1").select("anchors")
-    near = spots.join(again, "anchors", "left_semi").groupBy("node").agg(F.collect_list("places").alias("near"))
+def with_order(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start"))
+
+
+def shared_anchors(lines: DataFrame) -> DataFrame:
+    """(node, f_node, first, at): at are the places of anchors in a line and in the line that holds them first, whose first
+    occurrence is first."""
+    spots = with_order(lines).select("node", "order", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("node", "order", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
+    ends = [f(c).alias(f"{k}_{c}") for c in ("node", "place") for k, f in (("lo", F.min), ("hi", F.max))]
+    held = spots.groupBy("anchor").agg(F.min(F.struct("order", "node", "place")).alias("f"), *ends).where("lo_node <> hi_node or lo_place <> hi_place")
+    held = materialize(held.select("anchor", F.col("f.node").alias("f_node"), F.col("f.place").alias("f_place"), F.col("f.order").alias("first")), "anchors")
+    hits = spots.select("anchor", "node", "place").join(held, "anchor").where("node <> f_node or place <> f_place")
+    out = hits.groupBy("node", "f_node").agg(F.min("first").alias("first"), F.collect_set(F.struct("place", "f_place")).alias("at"))
+    out = materialize(out, "hits")
+    discard(held)
+    return out
+
+
+def common_runs(h: np.ndarray, g: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(a, b, f_a): the longest h[a:b] = g[f_a:f_a + b - a] around each pair of places of at."""
+    found = set()
+    by: dict[int, list[int]] = {}
+    for p, q in at:
+        by.setdefault(p - q, []).append(p)
+    for d, places in by.items():
+        lo, hi = max(0, d), min(len(h), len(g) + d)
+        cut = np.flatnonzero(h[lo:hi] != g[lo - d : hi - d]) + lo
+        for p in places:
+            k = int(np.searchsorted(cut, p))
+            a, b = int(cut[k - 1]) + 1 if k else lo, int(cut[k]) if k < len(cut) else hi
+            if b - a >= PIECE:  # else another line's run has the anchor's hash
+                found.add((a, b, a - d))
+    return sorted(found)
+
+
+def stretches(hits: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(node, a, s, e, n, f_node, f_a, f_b, f_s, f_e, first): n words from word a on, characters s to e of a line, repeat
+    words f_a to f_b, characters f_s to f_e, of the line f_node."""
+    both = hits.join(bodies, "node").join(bodies.select(F.col("node").alias("f_node"), F.col("body").alias("f_body")), "f_node")
+    kinds = "node long, a long, s long, e long, n long, f_node long, f_a long, f_b long, f_s long, f_e long, first struct<none:boolean,doc_id:bigint,row:bigint,start:bigint>"
+    names = ["node", "a", "s", "e", "n", "f_node", "f_a", "f_b", "f_s", "f_e"]
 
-    def runs_near(batches):
+    def run(batches):
         cache = HashCache()
         for b in batches:
-            nodes, places, runs = [], [], []
-            for node, near, body in zip(*(b.column(k).to_pylist() for k in range(3))):
-                h = run_hashes(np.array([cache[w] for w in body.encode("utf-8", "surrogatepass").lower().split()], np.uint64))
-                step = np.zeros(len(h) + 1, np.int64)
-                p = np.array(near)
-                np.add.at(step, np.maximum(p - PIECE - WINDOW, 0), 1)
-                np.add.at(step, np.minimum(p + PIECE + WINDOW, len(h)), -1)
-                at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-                nodes.append(np.full(len(at), node, np.int64)), places.append(at), runs.append(h[at].view(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, places, runs)], ["node", "at", "run"])
-
-    all_ = materialize(near.join(lines.select("node", "body"), "node").select("node", "near", "body").mapInArrow(runs_near, "node long, at long, run long"), "runs")
-    least = all_.join(first, "node").groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("order", "at", "node")).alias("f")).where("n > 1")
-    hits = all_.join(least.select("run", F.col("f.node").alias("f_node"), F.col("f.at").alias("f_at")), "run").select("node", "at", "f_node", "f_at")
-
-    def stretches(batches):
-        held = [np.zeros(0, np.int64)] * 4
-        names = ["node", "a", "b", "f_node", "f_a"]
-
-        def out(node, at, f_node, f_at):
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(node) != 0) | (np.diff(at) != 1) | (np.diff(f_node) != 0) | (np.diff(f_at) != 1))))
-            last = np.append(new[1:], len(node)) - 1
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[new], at[new], at[last] + PIECE, f_node[new], f_at[new])], names)
-
-        for b in batches:
-            cols = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns)]
-            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0]) if len(cols[0]) else 0
-            if cut:
-                yield out(*(x[:cut] for x in cols))
-            held = [x[cut:] for x in cols]
-        if len(held[0]):
-            yield out(*held)
-
-    return hits.repartition("node").sortWithinPartitions("node", "at").mapInArrow(stretches, "node long, a long, b long, f_node long, f_a long")
-
-
-def inner_passages(lines: DataFrame) -> DataFrame:
+            out, source = [], []
+            node, f_node, at, body, f_body = (b.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            for i in range(b.num_rows):
+                h, g = (np.array([cache[w] for w in x.encode("utf-8", "surrogatepass").lower().split()], np.uint64) for x in (body[i], f_body[i]))
+                runs = common_runs(h, g, [(p["place"], p["f_place"]) for p in at[i]])
+                if runs:
+                    x, y = ([m.span() for m in WORD.finditer(t)] for t in (body[i], f_body[i]))
+                    for a, e, f in runs:
+                        out.append((node[i], a, x[a][0], x[e - 1][1], e - a, f_node[i], f, f + e - a, y[f][0], y[f + e - a - 1][1]))
+                        source.append(i)
+            cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, b.column(2).take(pa.array(source, pa.int64()))], [*names, "first"])
+
+    return both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(run, kinds)
+
+
+def inner_passages(lines: DataFrame, hits: DataFrame, bodies: DataFrame) -> DataFrame:
     """Rows of repeated_passages() of kind 1."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    first = lines.groupBy("node").agg(F.min(order).alias("order"))
-    runs = materialize(repeated_runs(lines.dropDuplicates(["node"]), first), "stretches")
-    own = runs.where("node = f_node and a = f_a").select(F.col("node").alias("f_node"), F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.xxhash64("node", "a").alias("cluster"))
-    found = runs.join(own, "f_node").where("f_a >= own_a and f_a < own_b - %d" % (PIECE - 1))
-    found = found.join(first.select(F.col("node").alias("f_node"), F.col("order").alias("first")), "f_node")
-    parts = found.groupBy("node").agg(F.collect_list(F.struct("a", "b", "cluster", "first", ((F.col("node") == F.col("f_node")) & (F.col("a") == F.col("f_a"))).alias("own"))).alias("parts"))
-    t = lines.select("doc_id", "start", "node", "body", order.alias("order")).join(parts, "node")
-    t = t.select("doc_id", "start", "body", F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["cluster"].alias("cluster"), p["first"]["doc_id"].alias("first_doc"), (~p["own"] | (F.col("order") != p["first"])).alias("removed"))).alias("parts"))
-
-    def run(batches):
-        names = ["doc_id", "kind", "start", "end", "n_words", "cluster", "first_doc", "removed"]
-        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_())
-        for b in batches:
-            out: list[tuple] = []
-            for i, start, body, parts in zip(*(c.to_pylist() for c in b.columns)):
-                spots = [m.span() for m in WORD.finditer(body)]
-                out += [(i, 1, start + spots[p["a"]][0], start + spots[p["b"] - 1][1], p["b"] - p["a"], p["cluster"], p["first_doc"], p["removed"]) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-
-    return t.mapInArrow(run, "doc_id long, kind int, start long, end long, n_words long, cluster long, first_doc long, removed boolean")
+    runs = materialize(stretches(hits, bodies), "stretches")
+    spans = runs.select("f_node", "f_a", "f_b", "f_s", "f_e", "first").dropDuplicates(["f_node", "f_a", "f_b"])
+    before = W.partitionBy("f_node").orderBy("f_a", "f_b").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("f_node").orderBy("f_a", "f_b").rowsBetween(W.unboundedPreceding, 0)
+    new = F.coalesce(F.col("f_a") >= F.max("f_b").over(before), F.lit(True))
+    spans = spans.withColumn("new", new).withColumn("own", F.max(F.when(F.col("new"), F.col("f_a"))).over(upto))
+    spans = materialize(spans.withColumn("cluster", F.xxhash64("f_node", "own")), "spans")
+    own = spans.groupBy("f_node", "cluster").agg(F.min("f_a").alias("a"), F.max("f_b").alias("b"), F.min("f_s").alias("s"), F.max("f_e").alias("e"), F.min("first").alias("first"))
+    parts = runs.join(spans.select("f_node", "f_a", "f_b", "cluster"), ["f_node", "f_a", "f_b"]).select("node", "s", "e", "n", "cluster", "first", F.lit(False).alias("own"))
+    parts = parts.unionByName(own.select(F.col("f_node").alias("node"), "s", "e", (F.col("b") - F.col("a")).alias("n"), "cluster", "first", F.lit(True).alias("own")))
+    parts = materialize(parts.groupBy("node").agg(F.collect_set(F.struct("s", "e", "n", "cluster", "first", "own")).alias("parts")), "parts")
+    discard(runs), discard(spans)
+    t = with_order(lines.select("doc_id", "row", "start", "node")).join(parts, "node").select("doc_id", "start", "order", F.explode("parts").alias("p"))
+    removed = ~F.col("p.own") | (F.col("order") != F.col("p.first"))
+    at = lambda c: (F.col("start") + F.col(c)).cast("long")
+    return t.select("doc_id", F.lit(1).alias("kind"), at("p.s").alias("start"), at("p.e").alias("end"), F.col("p.n").alias("n_words"), F.col("p.cluster").alias("cluster"), F.col("p.first.doc_id").alias("first_doc"), removed.alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 20, threshold: float = THRESHOLD) -> DataFrame:
@@ -264,23 +275,31 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     start, end (code points), n_words, cluster (smallest node of its component; of a passage, a hash of where it occurs
     first), first_doc, removed.
 
-    Runs of 50 words and more that lines of at least `least` words share are all found, shorter ones from PIECE words on if
-    they have a common anchor. A passage's row goes as far as its words follow each other where they occur first; words
-    that only equal lines share are left to these lines' rows.
+    A run of 50 words and more that lines of at least `least` words share holds an anchor, and a run of PIECE words and
+    more may. A passage's row goes from an anchor as far to both sides as its words equal those around the anchor's first
+    occurrence; stretches that overlap there are one passage. Words beyond, that others share but not that first line, have
+    rows of their own if they hold an anchor. What only equal lines share is left to these lines' rows. Lines of fewer
+    words are not looked at.
 
     The occurrence that stays is the one with the smallest (doc_id, row, start), null ids last. Null and empty texts have
-    no paragraphs; rows with equal id and text share their verdict; an empty table gives an empty result.
+    no paragraphs; rows with equal id and text share their verdict; other columns are not looked at; an empty table gives
+    an empty result.
     """
     lines = materialize(units(docs, doc_id, text, least), "units")
-    members = materialize(buckets(lines), "buckets")
-    wanted = members.select("node").distinct()
-    bodies = lines.select("node", "body").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    members = buckets(lines)
+    hits = shared_anchors(lines)
+    wanted = members.select("node").union(hits.select("node")).union(hits.select("f_node")).distinct()
+    bodies = materialize(lines.select("node", "body").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
     links = materialize(verified_links(members, bodies, threshold), "links")
+    discard(members)
     comp = connected_components(links).withColumnRenamed("root", "cluster")
     n = lines.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or cluster is not null")
-    known = n.select("node", F.coalesce("cluster", "node").alias("cluster"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    t = materialize(lines.drop("keys", "anchors", "places", "body").join(known, "node").withColumn("order", order), "occurrences")
-    first = t.groupBy("cluster").agg(F.min("order").alias("first"))
+    # aggregated sides are written first: both sides of these joins are then plain shuffles, whose hot keys Spark can split
+    known = materialize(n.select("node", F.coalesce("cluster", "node").alias("cluster")), "known")
+    discard(links)
+    t = materialize(with_order(lines.select("doc_id", "row", "start", "end", "n_words", "node")).join(known, "node"), "occurrences")
+    first = materialize(t.groupBy("cluster").agg(F.min("order").alias("first")), "first")
     whole = t.join(first, "cluster").select("doc_id", F.lit(0).alias("kind"), "start", "end", "n_words", "cluster", F.col("first.doc_id").alias("first_doc"), (F.col("order") != F.col("first")).alias("removed"))
-    return whole.unionByName(inner_passages(lines))
+    inner = inner_passages(lines, hits, bodies)
+    discard(hits), discard(bodies), discard(known)
+    return whole.unionByName(inner)

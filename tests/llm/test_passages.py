@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import driftlog.llm.passages as P
@@ -89,3 +90,41 @@ def test_passages_inside_lines_are_whole(spark):
 
 def test_empty(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_anchors_against_brute_force():
+    r = np.random.default_rng(4)
+    size = r.integers(1, 120, 50)
+    line, runs = np.repeat(np.arange(50), size), r.integers(0, 60, size.sum()).astype(np.uint64)
+    want, at = set(), 0
+    for n in size.tolist():
+        part = runs[at : at + n].tolist()
+        for k in range(max(1, n - P.WINDOW + 1)):
+            w = part[k : k + P.WINDOW]
+            want.add(at + k + w.index(min(w)))
+        at += n
+    assert P.anchors(runs, line, most=700).tolist() == sorted(want)
+
+
+def test_three_lines_share_more_or_less(spark):
+    """The last two share 90 words, the first of all only the 30 in their middle."""
+    r = random.Random(1)
+    other = lambda n: " ".join("w%d" % r.randrange(10**9) for _ in range(n))
+    a, b, c = other(30), other(30), other(30)
+    docs = [(1, f"{other(20)} {b} {other(20)}"), (2, f"{other(25)} {a} {b} {c} {other(9)}"), (3, f"{other(3)} {a} {b} {c} {other(40)}")]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).where("kind = 1 and removed").collect()
+    words = set()
+    text = dict(docs)
+    for g in got:
+        if g.doc_id == 3:
+            words |= set(text[3][g.start : g.end].split())
+    assert words == set(f"{a} {b} {c}".split())
+
+
+def test_very_common_line_and_passage(spark):
+    r = random.Random(2)
+    other = lambda n: " ".join("w%d" % r.randrange(10**9) for _ in range(n))
+    line, inside = other(40), other(60)
+    docs = [(i, f"{line}\n{other(5)}\n{other(20)} {inside} {other(20)}") for i in range(400)]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((g.doc_id, g.kind, g.removed, g.n_words) for g in got) == sorted((i, k, i > 0, n) for i in range(400) for k, n in ((0, 40), (1, 60)))
