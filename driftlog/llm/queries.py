@@ -42,7 +42,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlog.llm.segment import sample_segmentations
 
-    return sample_segmentations(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2, with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ class Lattices:
     leads to; piece: its id, or -1 - number in spelled for a character spelled in bytes.
     """
 
-    def __init__(self, vocab: Vocabulary, limit: int = 150_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 300_000):
         self.vocab, self.limit = vocab, limit
         self.spelled: list[list[int]] = []
         self.spell: dict[int, int] = {}
@@ -356,9 +356,29 @@ def search(lat: Lattices, words: list[list[str]], keys: list[int], k: int) -> li
 
 def piece_ids(lat: Lattices, path: np.ndarray) -> np.ndarray:
     ids = lat.piece[path]
-    if len(ids) and ids.min() < 0:
-        return np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else lat.spelled[-1 - i])], np.int32)
-    return ids.astype(np.int32)
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids.astype(np.int32)
+    spelled = [lat.spelled[x] for x in (-1 - ids[odd]).tolist()]
+    size = np.ones(len(ids), np.int64)
+    size[odd] = [len(x) for x in spelled]
+    out = np.repeat(ids, size).astype(np.int32)
+    end = np.cumsum(size)[odd]
+    at = np.repeat(end, size[odd]) - np.concatenate([np.arange(n, 0, -1) for n in size[odd].tolist()])
+    out[at] = [b for x in spelled for b in x]
+    return out
+
+
+_KEPT: dict[int, Lattices] = {}
+
+
+def kept_lattices(pieces: list[str], kinds: list[int]) -> Lattices:
+    """One model's lattices, kept by a worker for its next task."""
+    model = xxhash.xxh64_intdigest("\n".join(pieces).encode() + bytes(kinds))
+    if model not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model] = Lattices(Vocabulary(pieces, kinds))
+    return _KEPT[model]
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -368,15 +388,18 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
 
     Random numbers depend on the doc_id (a null one counts as empty text) and the position only: equal rows get equal
     samples wherever they lie. Null and empty texts have one segmentation, of no pieces. Characters outside the
-    vocabulary, and a literal U+2581, are spelled in bytes. Whole texts are read, whatever their length.
+    vocabulary, and a literal U+2581, are spelled in bytes. Whole texts are read, whatever their length. Other columns are
+    not looked at; an empty table gives an empty result.
+
+    The model is a merge list: its scores are ranks and no probabilities, and it is not trained here. A piece's probability
+    is taken from its rank by a Zipf-Mandelbrot law.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_model(model))
     names = ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", "round_trip"] + ["ids"] * with_ids
 
     def run(batches):
-        vocab = Vocabulary(*shared.value)
-        lat = Lattices(vocab)
+        lat = kept_lattices(*shared.value)
         for b in batches:
             ids_in, texts_in = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts_in, 600_000):
@@ -395,11 +418,12 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
                             x = phi - kappa
                             rows["log_inclusion"].append(float(x if x < -30 else np.log(-np.expm1(-np.exp(x)))))
                         rows["ids_hash"].append(xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63))
-                back = vocab.decode(np.concatenate(runs), np.cumsum([0, *map(len, runs)])) if runs else []
+                back = lat.vocab.decode(np.concatenate(runs), np.cumsum([0, *map(len, runs)])) if runs else []
                 rows["round_trip"] = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, source)]
                 arrays = [pa.array(rows[n], y) for n, y in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()))]
                 if with_ids:
-                    arrays.append(pa.array([r.tolist() for r in runs], pa.list_(pa.int32())))
+                    ends = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
+                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(runs) if runs else [], pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, sample int, n_pieces long, log_prob double, log_inclusion double, ids_hash long, round_trip boolean"
