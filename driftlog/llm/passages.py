@@ -226,7 +226,7 @@ def common_runs(h: np.ndarray, g: np.ndarray, at: list[tuple[int, int]]) -> list
 
 def stretches(hits: DataFrame, bodies: DataFrame) -> DataFrame:
     """(node, a, s, e, n, f_node, f_a, f_b, f_s, f_e, first): n words from word a on, characters s to e of a line, repeat
-    words f_a to f_b, characters f_s to f_e, of the line f_node."""
+    words f_a to f_b, characters f_s to f_e, of the line f_node. Only the longest are left, of equal ones the first."""
     both = hits.join(bodies, "node").join(bodies.select(F.col("node").alias("f_node"), F.col("body").alias("f_body")), "f_node")
     kinds = "node long, a long, s long, e long, n long, f_node long, f_a long, f_b long, f_s long, f_e long, first struct<none:boolean,doc_id:bigint,row:bigint,start:bigint>"
     names = ["node", "a", "s", "e", "n", "f_node", "f_a", "f_b", "f_s", "f_e"]
@@ -247,7 +247,10 @@ def stretches(hits: DataFrame, bodies: DataFrame) -> DataFrame:
             cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, b.column(2).take(pa.array(source, pa.int64()))], [*names, "first"])
 
-    return both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(run, kinds)
+    all_ = both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(run, kinds)
+    # an anchor at a passage's end may be none in the line that holds the passage first, so it has another first holder
+    longer = W.partitionBy("node").orderBy("a", F.desc("n"), "first").rowsBetween(W.unboundedPreceding, -1)
+    return all_.withColumn("past", F.max(F.col("a") + F.col("n")).over(longer)).where("past is null or past < a + n").drop("past")
 
 
 def inner_passages(lines: DataFrame, hits: DataFrame, bodies: DataFrame) -> DataFrame:
