@@ -71,6 +71,10 @@ class Vocabulary:
                     ends.append(-1)
             ends[node] = i
         self.ends = np.array(ends, np.int64)
+        self.root = np.full(0x110000, -1, np.int64)
+        for at, v in child.items():
+            if at >> 21 == 0:
+                self.root[at] = v
         self.bits = max(8, (4 * len(child)).bit_length())
         self.at, self.child = np.full(1 << self.bits, EMPTY), np.zeros(1 << self.bits, np.int64)
         slot = (np.array(list(child), np.uint64) * SPREAD >> np.uint64(64 - self.bits)).tolist()
@@ -107,7 +111,7 @@ class Column:
 
     def extend(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.room):
-            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(more), self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n // 2 + 2 * len(more), self.room.dtype)])
         self.room[self.n : self.n + len(more)] = more
         self.n += len(more)
 
@@ -119,19 +123,21 @@ class Lattices:
     leads to; piece: its id, or -1 - number in spelled for a character spelled in bytes.
     """
 
-    def __init__(self, vocab: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 200_000):
         self.vocab, self.limit = vocab, limit
         self.spelled: list[list[int]] = []
         self.spell: dict[int, int] = {}
+        self._first, self._size, self._q, self._cum, self._to, self._piece = (Column(k) for k in (np.int32, np.int32, np.float64, np.float64, np.int32, np.int32))
         self.clear()
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self._first, self._size, self._q, self._log_q, self._cum, self._to, self._piece = (Column(k) for k in (np.int64, np.int32, np.float64, np.float64, np.float64, np.int32, np.int32))
+        for c in (self._first, self._size, self._q, self._cum, self._to, self._piece):
+            c.n = 0
         self.view()
 
     def view(self) -> None:
-        self.first, self.size, self.q, self.log_q, self.cum, self.to, self.piece = (c.room[: c.n] for c in (self._first, self._size, self._q, self._log_q, self._cum, self._to, self._piece))
+        self.first, self.size, self.q, self.cum, self.to, self.piece = (c.room[: c.n] for c in (self._first, self._size, self._q, self._cum, self._to, self._piece))
 
     def rest(self, e: np.ndarray) -> np.ndarray:
         """Probability of the other edges of each edge's node; just 0 only if there are none."""
@@ -154,7 +160,7 @@ class Lattices:
         node, k = np.zeros(len(pos), np.int64), 0
         bare = np.ones(len(code), bool)
         while len(pos):
-            node = v.step(node, seen[pos + k])
+            node = v.step(node, seen[pos + k]) if k else v.root[seen[pos].astype(np.int64)]
             ok = node >= 0
             pos, node = pos[ok], node[ok]
             k += 1
@@ -171,7 +177,8 @@ class Lattices:
         for p, *_ in found:
             count[p] += 1  # a position occurs once in each
         # edges lie in order of their start's distance from the word's end, so each distance is one stretch of them
-        order = np.argsort(end - np.arange(len(code)), kind="stable")
+        left = end - np.arange(len(code))
+        order = np.argsort(left.astype(np.uint16) if size.max() < 1 << 16 else left, kind="stable")
         per = count[order]
         lead = np.cumsum(per) - per
         first = np.empty_like(lead)
@@ -202,7 +209,7 @@ class Lattices:
         base, edge = self._first.n, self._q.n
         by_node, sizes = np.zeros(len(back), np.int64), np.zeros(len(back), np.int32)
         by_node[node], sizes[node] = lead + edge, per
-        for c, x in ((self._first, by_node), (self._size, sizes), (self._q, q), (self._log_q, np.log(q)), (self._cum, cum), (self._to, base + to), (self._piece, piece)):
+        for c, x in ((self._first, by_node), (self._size, sizes), (self._q, q), (self._cum, cum), (self._to, base + to), (self._piece, piece)):
             c.extend(x)
         for u, s in zip(units, (base + np.cumsum(size) - size + np.arange(len(units))).tolist()):
             self.start[u] = s
@@ -285,14 +292,14 @@ class Text:
         free = [e for e in range(lat.first[node], lat.first[node] + lat.size[node]) if e not in ex]
         w = np.cumsum(lat.q[free])
         e = free[min(int(np.searchsorted(w, uniform(self.seeds(1, tag))[0] * w[-1], side="right")), len(free) - 1)]
-        before = float(lat.log_q[path[:t]].sum())
+        before = float(np.log(lat.q[path[:t]]).sum())
         left = lat.q[free].sum() - lat.q[e] if len(free) > 1 else 0.0
         if left > 0:
             loc = np.array([before + np.log(left)])
             g = truncated(loc, top, uniform(self.seeds(1, tag + 1)))[0]
             self.push(g, np.append(path[:t], e), t, (*ex, e))
         head = np.append(path[:t], e)
-        self.pending = (top, head, before + float(lat.log_q[e]))
+        self.pending = (top, head, before + float(np.log(lat.q[e])))
         word = self.word_of(lat, head)
         nodes = np.concatenate([[lat.to[e]], self.nodes[word + 1 :]]).astype(np.int64)
         return nodes, self.seeds(len(nodes), tag + 2)
@@ -321,7 +328,7 @@ class Text:
         top, head, phi = self.pending
         path, tag = np.concatenate([head, tail]), 19 + 4 * len(self.samples)
         if len(tail):
-            log_q = lat.log_q[tail]
+            log_q = np.log(lat.q[tail])
             n = min(len(tail), 1024)
             while True:
                 with np.errstate(divide="ignore"):
