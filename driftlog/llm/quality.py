@@ -12,7 +12,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import SPACE_RE, discard, materialize
+from driftlog.llm.common import SPACE_RE, discard, fresh, materialize
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -116,24 +116,39 @@ def cascade(named: dict[str, Column], order: list[str]) -> Column:
 
 
 def quality_report(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """docs' columns plus the base columns, base_failed and kept.
+    """docs' columns plus the base columns, base_failed and kept; these take the place of columns of docs of their names.
 
     A null text has no words and fails as too short, as does an empty one. Rows are judged one by one, so repeated rows,
-    null ids and an empty table need nothing special. docs must not have columns of the added names.
+    null ids and an empty table need nothing special. Texts of any length are read whole.
     """
     order = cascade_order(docs, rules(text), sample_rows)
-    c = base_columns(F.col("_words"), text)
-    d = docs.withColumn("_words", split_words(text)).select("*", *(v.alias(k) for k, v in c.items())).drop("_words")
-    at_hand = {k: F.col(k) for k in c}
-    named = rules(text, at_hand)
+    words, whole_text = fresh("words"), fresh("text")
+    c = base_columns(F.col(words), whole_text)
+    added = [*c, "base_failed", "kept"]
+    d = docs.withColumns({whole_text: F.col(text), words: split_words(text)})
+    d = d.select(*(F.col(f"`{x}`") for x in docs.columns if x not in added), whole_text, *(v.alias(k) for k, v in c.items()))
+    named = rules(whole_text, {k: F.col(k) for k in c})
     failed = named["too_short"] | named["repeats"]
-    return d.withColumn("base_failed", failed).withColumn("kept", cascade(named, order).isNull())
+    return d.withColumn("base_failed", failed).withColumn("kept", cascade(named, order).isNull()).drop(whole_text)
+
+
+def verdict(text: str, order: list[str]) -> Column:
+    """cascade() over the rules, the text split into words once for all of them."""
+
+    def of(w: Column) -> Column:
+        sizes = F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"))
+        return let(sizes, lambda s: cascade(rules(text, base_columns(w, text) | {"n_words": s["n"], "word_chars": s["chars"]}), order))
+
+    return let(split_words(text), of)
 
 
 def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """The rows of docs that no rule rejects."""
-    named = rules(text)
-    return docs.where(cascade(named, cascade_order(docs, named, sample_rows)).isNull())
+    """The rows of docs that no rule rejects, with their columns, whatever their names.
+
+    Null and empty texts are rejected as too short. Rows are judged one by one: repeated rows, ties and null ids need
+    nothing special; an empty table gives an empty result.
+    """
+    return docs.where(verdict(text, cascade_order(docs, rules(text), sample_rows)).isNull())
 
 
 ORACLE = r"""

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from driftlog.llm.quality import keep_good, quality_report
 
 
@@ -39,3 +41,15 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert quality_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_and_empty_table(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    df = plain.withColumns({c: F.lit("x") for c in ("n_words", "_words", "kept", "words", "a.b")})
+    report = {r.doc_id: (r.n_words, r.kept) for r in quality_report(df).collect()}
+    assert report == {r.doc_id: (r.n_words, r.kept) for r in quality_report(plain).collect()}
+    assert quality_report(df).columns == ["doc_id", "text", "_words", "words", "a.b", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    good = keep_good(df)
+    assert good.columns == df.columns and {r.doc_id for r in good.collect()} == {i for i, (_, k) in report.items() if k}
+    assert keep_good(df.limit(0)).count() == 0 == quality_report(df.limit(0)).count()
