@@ -3,8 +3,9 @@
 Labels mark documents, so token labels are derived: a word, or a beginning of words, is a suspect if it occurs in far more toxic training
 documents than its share of others explains, and a suspect's tokens in toxic documents are labelled toxic. The field has
 two states; a token's features are its word, if it is a suspect, and otherwise the same bias for all, so long runs of
-plain tokens act as powers of one 2 x 2 matrix: forward and backward sums only visit suspects, exactly. Marginals of
-suspects give the offending spans, and three sums of them give the document's score by a logistic curve.
+plain tokens act as powers of one 2 x 2 matrix: forward and backward sums only visit suspects, exactly. Weights, bias and
+transitions are fitted together by gradient steps on the likelihood. Marginals of suspects give the offending spans, and
+three sums of them give the document's score by a logistic curve.
 """
 
 from __future__ import annotations
@@ -127,36 +128,89 @@ def find(text: str | None, look: Lookup) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array([i for i, _ in got], np.int64), np.array([k for _, k in got], np.int64), len(w)
 
 
-def fit_field(words: list[bytes], sample: list[tuple[np.ndarray, np.ndarray, int, int]], rounds: int = 60, l2: float = 0.01) -> Field:
+class Batch:
+    """Compressed texts (positions, suspects, length, toxic), most suspects first, so that the texts that have a t-th
+    suspect are the first rows."""
+
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray, int, int]]):
+        sample = sorted(sample, key=lambda s: -len(s[0]))
+        self.n = np.array([s[2] for s in sample], float)
+        count = np.array([len(s[0]) for s in sample], np.int64)
+        self.rows = [int((count > t).sum()) for t in range(int(count.max(initial=0)))]
+        self.word = [np.array([s[1][t] for s in sample[:m]], np.int64) for t, m in enumerate(self.rows)]
+        at = [np.array([s[0][t] for s in sample[:m]], float) for t, m in enumerate(self.rows)]
+        before = [np.full(m, -1.0) if t == 0 else at[t - 1][:m] for t, m in enumerate(self.rows)]
+        self.gap = [a - b - 1 for a, b in zip(at, before)]
+        last = np.array([s[0][-1] if len(s[0]) else -1 for s in sample], float)
+        self.rest = self.n - last - 1
+
+
+def powers(field: Field, k: np.ndarray) -> np.ndarray:
+    m = np.einsum("ij,nj,jk->nik", field.vec, (field.val / field.val.max())[None, :] ** k[:, None], field.inv)
+    return np.maximum(m.real, 0.0)
+
+
+def sums(field: Field, batch: Batch, marginals: bool = False) -> tuple[float, np.ndarray]:
+    """Sum of log Z over the texts; expected toxic tokens of each suspect (if asked for)."""
+    f, log_z, high = np.tile([1.0, 0.0], (len(batch.n), 1)), 0.0, float(np.log(field.val.max().real))
+    steps, got = [], np.zeros(len(field.words))
+    for m, k, gap in zip(batch.rows, batch.word, batch.gap):
+        unary = np.stack([np.ones(m), np.exp(field.weights[k])], axis=1)
+        g = np.einsum("ni,nij->nj", f[:m], powers(field, gap)) @ field.step * unary
+        z = g.sum(axis=1)
+        f[:m] = g / z[:, None]
+        log_z += float(np.log(z).sum() + high * gap.sum())
+        if marginals:
+            steps.append((f[:m].copy(), unary))
+    end = powers(field, batch.rest)
+    log_z += float(np.log(np.einsum("ni,nij->n", f, end)).sum() + high * batch.rest.sum())
+    if marginals:
+        b = end.sum(axis=2)
+        for t in range(len(batch.rows) - 1, -1, -1):
+            m, (fs, unary) = batch.rows[t], steps[t]
+            both = fs * b[:m]
+            np.add.at(got, batch.word[t], both[:, 1] / both.sum(axis=1))
+            up = np.einsum("nij,nj->ni", powers(field, batch.gap[t]), (unary * b[:m]) @ field.step.T)
+            b[:m] = up / up.sum(axis=1, keepdims=True)
+    return log_z, got
+
+
+def observed(words: int, sample: list[tuple[np.ndarray, np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each suspect is seen, and toxic; transitions, the one from the clean state before a text included."""
+    seen, hot, pairs = np.zeros(words), np.zeros(words), np.zeros((2, 2))
+    for at, k, m, y in sample:
+        np.add.at(seen, k, 1)
+        np.add.at(hot, k, y)
+        t = np.zeros(m + 1, np.int64)
+        t[at + 1] = y
+        np.add.at(pairs, (t[:-1], t[1:]), 1.0)
+    return seen, hot, pairs
+
+
+def fit_field(words: list[bytes], sample: list[tuple[np.ndarray, np.ndarray, int, int]], rounds: int = 60, l2: float = 0.01, step: float = 1e-4) -> Field:
     """Maximum likelihood by gradient steps over compressed texts (positions, suspects, length, toxic).
 
-    Expected counts come from forward-backward; plain tokens are clean by construction, so the bias and the transitions
-    out of clean runs are set from their share, and the remaining weights are trained.
+    A suspect's gradient is its observed less its expected toxic tokens, from forward and backward sums. For the bias of
+    plain tokens and the transitions, of which the one that stays clean is 0, log Z is differentiated by differences. All
+    start from observed shares, and a small penalty draws them there. An empty sample gives the start.
     """
+    seen, hot, pairs = observed(len(words), sample)
     n = sum(s[2] for s in sample)
-    seen, hot = np.zeros(len(words)), np.zeros(len(words))
-    for _, k, _, y in sample:
-        np.add.at(seen, k, 1)
-        np.add.at(hot, k, y)
-    pairs = np.full((2, 2), 1.0)
-    for at, _, m, y in sample:
-        t = np.zeros(m, np.int64)
-        t[at] = y
-        if m > 1:
-            np.add.at(pairs, (t[:-1], t[1:]), 1.0)
-    trans = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-    field = Field(words, np.log((hot + 0.5) / (seen - hot + 0.5)) - np.log(pairs[0, 1] / pairs[0, 0]), float(np.log(0.5 / max(n, 1)) - np.log(pairs[0, 1] / pairs[0, 0])), trans)
-    w, speed = field.weights.copy(), np.zeros(len(words)) + 1e-6
+    share = np.log((pairs + 1) / (pairs + 1).sum(axis=1, keepdims=True))
+    odds = np.log((pairs[0, 1] + 1) / (pairs[0, 0] + 1))
+    w0 = np.log((hot + 0.5) / (seen - hot + 0.5)) - odds
+    x0 = np.array([np.log(0.5 / max(n, 1)) - odds, *(share.ravel()[1:] - share[0, 0])])
+    make = lambda w, x: Field(words, w, float(x[0]), np.array([[0.0, x[1]], [x[2], x[3]]]))
+    w, x, batch, counted = w0.copy(), x0.copy(), Batch(sample), np.array([0.0, pairs[0, 1], pairs[1, 0], pairs[1, 1]])
+    fast_w, fast_x = np.full(len(w), 1e-6), np.full(4, 1e-6)
     for _ in range(rounds if len(words) else 0):
-        got = np.zeros(len(words))
-        for at, k, m, _ in sample:
-            if len(at):
-                np.add.at(got, k, field.marginals(at, k, m))
-        grad = hot - got - l2 * w
-        speed += grad**2
-        w = w + 0.5 * grad / np.sqrt(speed)
-        field = Field(words, w, field.plain, trans)
-    return field
+        _, got = sums(make(w, x), batch, marginals=True)
+        grad_w = hot - got - l2 * (w - w0)
+        slope = [(sums(make(w, x + d), batch)[0] - sums(make(w, x - d), batch)[0]) / (2 * step) for d in step * np.eye(4)]
+        grad_x = counted - np.array(slope) - l2 * (x - x0)
+        fast_w, fast_x = fast_w + grad_w**2, fast_x + grad_x**2
+        w, x = w + 0.5 * grad_w / np.sqrt(fast_w), x + 0.1 * grad_x / np.sqrt(fast_x)
+    return make(w, x)
 
 
 def evidence(field: Field, at: np.ndarray, word: np.ndarray, n: int) -> tuple[list[float], np.ndarray]:
@@ -183,7 +237,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50)
 def train(docs: DataFrame, labels: DataFrame, mod: int = 3, stat_rows: int = 20_000, field_rows: int = 4000, seed: int = 11) -> tuple[Field, np.ndarray]:
     """Word statistics over a sample of about stat_rows labelled training rows, the field and the curve over about
     field_rows of these, of which only suspects' positions reach the driver; both bounds hold whatever the input's size.
-    Training rows are those whose crc32(doc_id) mod 3 is not 1."""
+    Training rows are those whose crc32(doc_id) mod 3 is not 1.
+
+    Rows without a label or an id teach nothing; of a repeated label the toxic one counts; repeated documents count as
+    often as they come. Ties among suspects are broken by the word. Without training rows, as with an empty table, every
+    text has the same score. Null and empty texts have no words; other columns are not looked at."""
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     y = y.where(~held_out(F.col("doc_id"), mod))
     labelled = y.count()
@@ -217,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, stat_rows: int = 20_
 def score(docs: DataFrame, field: Field, curve: np.ndarray, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted and spans (first word, end word, marginal) of runs of tokens that are likelier toxic.
 
-    Null and empty texts get the curve's value without evidence. Rows are scored one by one.
+    Null and empty texts get the curve's value without evidence. Rows are scored one by one: repeated rows alike, null ids
+    kept, texts of any length whole. Other columns are not looked at. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field, curve))
 

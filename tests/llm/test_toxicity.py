@@ -1,10 +1,12 @@
 import itertools
+import math
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from driftlog.llm.toxicity import Field, score, suspects, train
+from driftlog.llm.toxicity import Batch, Field, fit_field, observed, score, sums, suspects, train
 
 
 def test_marginals_against_enumeration():
@@ -67,3 +69,59 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     assert score(d, *train(d, lab)).count() == 0
+
+
+def brute_sums(field, sample):
+    """Log Z and expected toxic tokens by all labellings."""
+    log_z, got = 0.0, np.zeros(len(field.words))
+    for at, k, n, _ in sample:
+        word, total, hot = dict(zip(at.tolist(), k.tolist())), 0.0, np.zeros(len(field.words))
+        for ys in itertools.product([0, 1], repeat=n):
+            v, last = 0.0, 0
+            for i, y in enumerate(ys):
+                v += field.trans[last, y] + y * (field.weights[word[i]] if i in word else field.plain)
+                last = y
+            total += math.exp(v)
+            for i, j in word.items():
+                hot[j] += ys[i] * math.exp(v)
+        log_z += math.log(total)
+        got += hot / total
+    return log_z, got
+
+
+def small_sample():
+    r = np.random.default_rng(2)
+    out = []
+    for _ in range(25):
+        n = int(r.integers(0, 9))
+        at = np.flatnonzero(r.random(n) < 0.4)
+        out.append((at, r.integers(0, 3, len(at)), n, int(r.random() < 0.5)))
+    return out
+
+
+def test_sums_against_all_labellings():
+    field = Field([b"a", b"b", b"c"], np.array([0.7, -0.4, 1.9]), -0.8, np.array([[0.0, -0.6], [0.3, 0.5]]))
+    for got, want in zip(sums(field, Batch(small_sample()), marginals=True), brute_sums(field, small_sample())):
+        assert np.allclose(got, want)
+
+
+def test_fit_raises_the_likelihood():
+    sample = small_sample()
+    seen, hot, pairs = observed(3, sample)
+
+    def likelihood(f):
+        return (hot * f.weights).sum() + (pairs * f.trans).sum() - brute_sums(f, sample)[0]
+
+    start, done = fit_field([b"a", b"b", b"c"], sample, rounds=0), fit_field([b"a", b"b", b"c"], sample, rounds=200)
+    assert likelihood(done) > likelihood(start) + 1
+    # at the maximum, up to the penalty, expected counts are the observed ones
+    assert np.abs(brute_sums(done, sample)[1] - hot).max() < 0.1
+    assert not np.allclose(start.trans, done.trans) and start.plain != done.plain
+
+
+def test_without_training_rows(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    field, curve = train(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    rows = spark.createDataFrame([(1, "some text"), (1, "some text"), (None, None), (2, "")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "spans", "predicted")})
+    assert len({r.score for r in score(rows, field, curve).collect()}) == 1 and score(rows, field, curve).count() == 4
+    assert score(df, field, curve).count() == 0
