@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftlog.llm.common import SPACE_RE, discard, fresh, materialize
+from driftlog.llm.common import SPACE_RE, discard, materialize
 from driftlog.llm.quality import SPACES, let, whole
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -104,12 +104,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a number), doc_id, text_key (hash of the text), base, and cand: what may be an identifier."""
-    t = whole(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("_t"))
+def find_spans(docs: DataFrame, text: str, **kept: Column) -> DataFrame:
+    """row (a number), the columns in kept, base, and cand: what may be an identifier."""
+    rows = docs.select(*(c.alias(k) for k, c in kept.items()), whole(text).alias("_t"))
     cand = spans(F.col("_t"), IDENT, 4, F.rlike("_t", F.lit("[0-9]")))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", base_spans(F.col("_t")).alias("base"), cand.alias("cand"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), *kept, base_spans(F.col("_t")).alias("base"), cand.alias("cand"))
 
 
 def all_hits(found: DataFrame) -> DataFrame:
@@ -166,18 +165,25 @@ def bootstrap(found: DataFrame, confidence: float = 0.8, support: int = 5, still
     return out
 
 
+def all_spans(found: DataFrame, *columns: str, **options) -> DataFrame:
+    """columns of found, base, and all: base and added spans. Rows without candidates meet no join."""
+    added = bootstrap(found, **options).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    held = found.select("row", *columns, plain("base").alias("base"), (F.size("cand") > 0).alias("more"))
+    alone = held.where("not more").select(*columns, "base", F.col("base").alias("all"))
+    both = held.where("more").join(added, "row", "left").select(*columns, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array()))).alias("all"))
+    return alone.unionByName(both)
+
+
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, text_key, base and all: arrays of struct(start, kind, end), by start and then kind; one row per row.
+    """doc_id, base and all: arrays of struct(start, kind, end), by start and then kind; one row per row.
 
     A null text counts as empty, and an empty one has no spans. Equal rows get equal spans; a null id is kept. Texts of any
     length and any number of matches take time in proportion. Other columns are not looked at. An empty table gives an
     empty result.
     """
-    found = materialize(find_spans(docs, doc_id, text), "pii")
-    added = bootstrap(found, **options).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    both = found.join(added, "row", "left").select("doc_id", "text_key", base.alias("base"), "extra")
-    return both.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array()))).alias("all"))
+    found = materialize(find_spans(docs, text, doc_id=F.col(doc_id)), "pii")
+    return all_spans(found, "doc_id", **options)
 
 
 def as_text(s: Column) -> Column:
@@ -219,12 +225,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; overlapping spans become one, named by the first.
 
     All rows and columns come back, whatever the columns' names; null and empty texts stay as they are; repeated rows are
-    treated alike and keep their number; an empty table gives an empty result.
+    treated alike and keep their number; an empty table gives an empty result. Rows are written once with their spans; only
+    those with a candidate are joined with what the bootstrap adds.
     """
-    ident, key, marked = fresh("id"), fresh("key"), fresh("all")
-    spanned = with_spans(docs, **options).where(F.size("all") > 0)
-    spanned = materialize(spanned.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), F.col("all").alias(marked)).dropDuplicates([ident, key]), "pii-marked")
-    on = (F.xxhash64(whole("text")) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(ident))
-    d = docs.join(spanned, on, "left")
-    text = F.when(F.col(marked).isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col(marked)))
-    return d.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    found = materialize(find_spans(docs, "text", doc=F.struct(*(F.col(f"`{c}`") for c in docs.columns))), "pii")
+    d, doc = all_spans(found, "doc", **options), F.col("doc")
+    text = F.when(F.size("all") > 0, replaced(doc.getField("text"), F.col("all"))).otherwise(doc.getField("text"))
+    return d.select(*(text.alias("text") if c == "text" else doc.getField(c).alias(c) for c in docs.columns))
