@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from driftlog.functions import schemas as S
+from driftlog.functions.crc import crc32c_many
 
 # Field, first byte, bytes, in the 61-byte header of a record batch, big-endian.
 HEADER = [
@@ -31,7 +31,6 @@ HEADER = [
 ]
 MAGIC = 2
 CRC_FROM = 21
-POLYNOMIAL = 0x82F63B78
 
 
 def be_int(b: Column, at: int, size: int, signed: bool = True) -> Column:
@@ -57,29 +56,24 @@ def header_fields(b: Column) -> list[Column]:
     return [F.when(ok, be_int(b, at, n, name != "crc")).alias(name) for name, at, n in HEADER]
 
 
-@lru_cache(1)
-def crc_table() -> np.ndarray:
-    t = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        t = np.where(t & 1, (t >> np.uint32(1)) ^ np.uint32(POLYNOMIAL), t >> np.uint32(1))
-    return t
-
-
 def crc32c_bytes(data: bytes) -> int:
-    t, c = crc_table().tolist(), 0xFFFFFFFF
-    for x in data:
-        c = t[(c ^ x) & 255] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_many([data])[0])
 
 
 @F.pandas_udf(LongType())
 def crc32c(b: pd.Series) -> pd.Series:
     """CRC-32C of each value, unsigned; Spark's own crc32 has another polynomial. Null stays null."""
-    return b.map(lambda x: None if x is None else crc32c_bytes(bytes(x)))
+    known = b.notna()
+    out = pd.Series(np.zeros(len(b)), index=b.index).astype("Int64")
+    out[known] = crc32c_many([bytes(x) for x in b[known]]).astype(np.int64)
+    return out.where(known)
 
 
-def rewrite(b: Column, base: Column) -> Column:
-    """b with its base offset replaced and its CRC-32C, over bytes 21 and on, renewed."""
+def rewrite(b: Column, base: Column, checked: bool = False) -> Column:
+    """b with its base offset replaced and its CRC-32C renewed. The CRC is over bytes 21 and on, which do not change, so
+    one that has been checked holds on."""
+    if checked:
+        return F.concat(to_be(base, 8), F.substring(b, 9, 1 << 30))
     tail = F.substring(b, CRC_FROM + 1, 1 << 30)
     return F.concat(to_be(base, 8), F.substring(b, 9, 9), to_be(crc32c(tail), 4), tail)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Error codes of the wire protocol.
@@ -76,3 +77,9 @@ def api_table(spark: SparkSession) -> DataFrame:
 
 def group_errors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GROUP_ERRORS, "op string, failure string, code int")
+
+
+def version_answers(requests: DataFrame) -> DataFrame:
+    """requests (rid, version) for the API table: a version above 0 is error 35, so that the client asks again with 0;
+    the table's entries go with every answer."""
+    return requests.select("rid", "version", F.when(F.col("version") > 0, UNSUPPORTED_VERSION).otherwise(NONE).alias("error"), F.lit(len(APIS)).alias("apis"))

@@ -36,6 +36,15 @@ def offset_fetch(state: DataFrame, requests: DataFrame) -> DataFrame:
     return r.select(*KEY, F.coalesce("off", F.lit(-1)).cast("long").alias("off"), "metadata", F.lit(S.NONE).alias("error"))
 
 
+def offset_fetch_wide(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (rid, grp, topic, part) where a null topic asks for all of the group's commits; a group without any gives
+    no rows for it. Otherwise as offset_fetch."""
+    named = requests.where("topic is not null").join(state.select(*KEY, "off", "metadata"), KEY, "left")
+    every = requests.where("topic is null").select("rid", "grp").join(state.select(*KEY, "off", "metadata"), "grp")
+    both = named.select("rid", *KEY, "off", "metadata").unionByName(every.select("rid", *KEY, "off", "metadata"))
+    return both.select("rid", *KEY, F.coalesce("off", F.lit(-1)).cast("long").alias("off"), "metadata", F.lit(S.NONE).alias("error"))
+
+
 def fetch_all(state: DataFrame) -> DataFrame:
     """Each group's topics with their committed partitions in order."""
     return state.groupBy("grp", "topic").agg(F.sort_array(F.collect_list("part")).alias("parts"))

@@ -50,18 +50,57 @@ def heartbeat(requests: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     return r.select("rid", "grp", "member", error.alias("error"))
 
 
+def sync_results(requests: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """requests (rid, grp, member, generation, assignments array<struct<member, assignment>>, the leader's counts) against
+    groups (grp, generation, leader): unknown member 25, then wrong generation 22; a member whose leader sends nothing
+    valid waits in vain, 27; else its assignment, '' if the leader has none for it."""
+    r = requests.join(members.select("grp", "member", F.lit(True).alias("known")), ["grp", "member"], "left")
+    r = r.join(groups.select("grp", F.col("generation").alias("now"), "leader"), "grp", "left")
+    r = r.withColumn("early", F.when(F.col("known").isNull(), S.UNKNOWN_MEMBER_ID).when(F.col("generation") != F.col("now"), S.ILLEGAL_GENERATION))
+    lead = r.where("early is null and member = leader").groupBy("grp").agg(F.min_by("assignments", "rid").alias("sent"))
+    given = lead.select("grp", F.inline("sent")).groupBy("grp", "member").agg(F.first("assignment").alias("assignment"))
+    r = r.drop("assignments").join(lead.select("grp", F.lit(True).alias("synced")), "grp", "left").join(given, ["grp", "member"], "left")
+    error = F.coalesce("early", F.when(F.col("synced").isNull(), S.REBALANCE_IN_PROGRESS), F.lit(S.NONE))
+    return r.select("rid", "grp", "member", error.alias("error"), F.when(error == S.NONE, F.coalesce("assignment", F.lit(""))).alias("assignment"))
+
+
 def leave(members: DataFrame, leavers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members that stay, groups that a known leaver empties: their members must join again, the generation stays)."""
     gone = members.join(leavers, ["grp", "member"], "left_semi")
     return members.join(leavers, ["grp", "member"], "left_anti"), gone.select("grp", F.lit("Empty").alias("state")).distinct()
 
 
+def leave_results(requests: DataFrame, members: DataFrame) -> DataFrame:
+    """requests (rid, grp, member) in order of rid: 25 for a member that is unknown or has left before."""
+    first = W.partitionBy("grp", "member").orderBy("rid")
+    r = requests.join(members.select("grp", "member", F.lit(True).alias("known")), ["grp", "member"], "left").withColumn("turn", F.row_number().over(first))
+    good = F.col("known").isNotNull() & (F.col("turn") == 1)
+    return r.select("rid", "grp", "member", F.when(good, S.NONE).otherwise(S.UNKNOWN_MEMBER_ID).alias("error"))
+
+
+def joined_members(members: DataFrame) -> DataFrame:
+    """What a group's leader is told: one row per member of its group, with the bytes of the picked protocol's metadata
+    (here the protocol's name). Groups without a common protocol tell nothing. Nothing is gathered into one row."""
+    r = members.join(leaders(members).select("grp", "leader"), "grp").join(select_protocol(members).where(F.col("error") == S.NONE), "grp")
+    return r.select("grp", "leader", "member", "protocol")
+
+
 def expired(beats: DataFrame, now: int, timeout_ms: int) -> DataFrame:
     """Members whose last of beats (grp, member, ts_ms) is more than timeout_ms ago."""
     last = beats.groupBy("grp", "member").agg(F.max("ts_ms").alias("last"))
     return last.where(F.lit(now) - F.col("last") > timeout_ms)
 
 
+def reap(beats: DataFrame, groups: DataFrame, now: int, timeout_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(members that stay, groups (grp, state) afterwards): only Stable groups lose expired members, and one that does is
+    Empty, so that those left join again."""
+    last = beats.groupBy("grp", "member").agg(F.max("ts_ms").alias("last")).join(groups, "grp")
+    late = (F.col("state") == "Stable") & (F.lit(now) - F.col("last") > timeout_ms)
+    emptied = last.where(late).select("grp", F.lit("Empty").alias("now")).distinct()
+    after = groups.join(emptied, "grp", "left").select("grp", F.coalesce("now", "state").alias("state"))
+    return last.where(~late).select("grp", "member", "last"), after
+
+
 def sessions(beats: DataFrame, timeout_ms: int) -> DataFrame:
     """Runs of a member's beats without a gap of more than timeout_ms: number, first, last, beats."""
     w = W.partitionBy("grp", "member").orderBy("ts_ms", "seq")

@@ -29,6 +29,12 @@ def histogram(r: DataFrame, keys: list[str]) -> DataFrame:
     return h.select(*keys, F.inline(cells))
 
 
+def histogram_totals(r: DataFrame, keys: list[str]) -> DataFrame:
+    """What goes with a histogram: the sum of seconds, exact to the nanosecond, and the count."""
+    ns = F.sum(F.round(F.col("ms") * 1_000_000).cast("decimal(38,0)"))
+    return r.groupBy(*keys).agg((ns.cast("double") / 1e9).alias("sum_s"), F.count("*").alias("n"))
+
+
 def gauge_last(samples: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     return samples.groupBy(*keys).agg(F.max_by(value, order).alias("value"))
 
@@ -41,13 +47,20 @@ def sum_over_brokers(samples: DataFrame, keys: list[str], series: list[str], val
 
 
 def percentiles(r: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """sorted[min(int(p * n), n - 1)] by keys. Equal values are counted first, so the window runs over distinct ones."""
-    d = r.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    """sorted[min(int(p * n), n - 1)] by keys. A histogram of some thousand bins tells in which bin each rank lies; only
+    that bin's distinct values are put in order, so no task sorts a key's values."""
+    bin_ = F.floor(F.signum(value) * F.log2(F.abs(F.col(value)) + 1) * 256)
+    d = r.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_b", bin_)
+    bins = d.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     w = W.partitionBy(*keys)
-    d = d.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda p: F.least(F.floor(p * F.col("_n")), F.col("_n") - 1)
-    named = [F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{int(p * 100)}") for p in ps]
-    return d.groupBy(*keys).agg(*named)
+    bins = bins.withColumn("_past", F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(w))
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.floor(p * F.col("_all")), F.col("_all") - 1).alias("rank")) for i, p in enumerate(ps)))
+    wanted = bins.select(*keys, "_b", "_n", "_past", F.explode(ranks).alias("_p")).where("_p.rank >= _past and _p.rank < _past + _n")
+    wanted = wanted.select(*keys, "_b", F.col("_p.i").alias("_i"), (F.col("_p.rank") - F.col("_past")).alias("_rank"))
+    inside = d.join(wanted, [*keys, "_b"])
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_i").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    hit = inside.withColumn("_upto", upto).where(F.col("_upto") > F.col("_rank"))
+    return hit.groupBy(*keys).agg(*(F.min(F.when(F.col("_i") == i, F.col(value))).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)))
 
 
 def throughput(r: DataFrame) -> DataFrame:
@@ -83,6 +96,7 @@ def histogram_quantile(r: DataFrame, window_ms: int = 5 * MINUTE, qs: tuple[floa
 
 
 def exposition(samples: DataFrame, name: str, labels: list[str], value: str = "value") -> DataFrame:
-    """Lines of the text format: name{label="value",...} value."""
-    pairs = F.concat_ws(",", *(F.concat(F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('"')) for k in labels))
+    """Lines of the text format: name{label="value",...} value; a label's backslashes, quotes and line ends are escaped."""
+    plain = lambda k: F.replace(F.replace(F.replace(F.col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.concat_ws(",", *(F.concat(F.lit(f'{k}="'), plain(k), F.lit('"')) for k in labels))
     return samples.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.functions import schemas as S
+from driftlog.plans.prefix import floor_join
 
 TP = ["topic", "part"]
 LATEST, EARLIEST = -1, -2
@@ -35,11 +36,22 @@ def list_offsets(batches: DataFrame, requests: DataFrame) -> DataFrame:
     return r.select("rid", *TP, error.alias("error"), F.lit(-1).cast("long").alias("timestamp"), off.cast("long").alias("off"))
 
 
-def as_of(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """For probes (pid, topic, part, t) the greatest indexed offset (ts_ms, base) whose time is at most t; null if none.
+def as_of(index: DataFrame, probes: DataFrame, chunk_ms: int = 1 << 26) -> DataFrame:
+    """For probes (pid, topic, part, t) the greatest indexed offset (ts_ms, base) whose time is at most t; null if none."""
+    return floor_join(probes, index, TP, "t", "ts_ms", F.col("base"), "off", chunk_ms).select("pid", *TP, "t", "off")
 
-    Sums up the join's matches per probe at once, so nothing but one row per probe leaves the join's task.
-    """
-    p = probes.alias("p")
-    on = (F.col("p.topic") == F.col("i.topic")) & (F.col("p.part") == F.col("i.part")) & (F.col("i.ts_ms") <= F.col("p.t"))
-    return p.join(index.alias("i"), on, "left").groupBy("p.pid", "p.topic", "p.part", "p.t").agg(F.max("i.base").alias("off"))
+
+def index_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """For probes (topic, part, off) the sparse index's entry from which a scan for the offset starts: the last one at or
+    before it, with its segment, its offset relative to that, and its byte position; nulls if none is."""
+    entry = F.struct("base", "segment_base", "rel", "position")
+    found = floor_join(probes.withColumn("at", F.col("off")), index, TP, "at", "base", entry, "entry")
+    return found.select(*TP, "off", F.col("entry.segment_base").alias("segment_base"), F.col("entry.rel").alias("rel"), F.col("entry.position").alias("position"))
+
+
+def reopened(segmented: DataFrame, every: int = S.INDEX_EVERY) -> DataFrame:
+    """What a partition goes on with when it is opened again: the next offset, the segment that takes appends, its blobs,
+    and how many of these came since the last index entry."""
+    g = segmented.groupBy(*TP, "segment_base").agg(F.count("*").alias("n"), F.max(F.col("base") + F.col("span")).alias("next"))
+    last = g.groupBy(*TP).agg(F.max(F.struct("segment_base", "next", "n")).alias("s"))
+    return last.select(*TP, F.col("s.next").alias("next_off"), F.col("s.segment_base").alias("segment_base"), F.col("s.n").alias("blobs"), (F.col("s.n") % every).alias("since_index"))

@@ -31,4 +31,4 @@ def produce(requests: DataFrame, catalog: DataFrame, ends: DataFrame, now_ms: in
     answers = good.select("rid", *TP, "error", "base", F.lit(now_ms).cast("long").alias("append_ms")).unionByName(
         r.where(F.col("error") != S.NONE).select("rid", *TP, "error", none.alias("base"), none.alias("append_ms"))
     )
-    return answers, good.select(*TP, "base", "span", rewrite(F.col("records"), F.col("base")).alias("payload"))
+    return answers, good.select(*TP, "base", "span", rewrite(F.col("records"), F.col("base"), check_crc).alias("payload"))

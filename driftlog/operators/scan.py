@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from driftlog.functions import schemas as S
 from driftlog.operators.offsets import earliest_latest
+from driftlog.plans.prefix import floor_join, running_sum
 
 TP = ["topic", "part"]
 
@@ -25,8 +26,9 @@ def read_from_offset(batches: DataFrame, requests: DataFrame, at_least_one: bool
 
 def batch_containing(batches: DataFrame, probes: DataFrame) -> DataFrame:
     """The batch that holds each probe's offset (topic, part, off), and the offset behind it."""
-    on = (batches.topic == probes.topic) & (batches.part == probes.part) & (batches.base <= probes.off) & (probes.off < batches.base + batches.span)
-    return batches.join(probes, on).select(probes.topic, probes.part, probes.off, "base", "span", (F.col("base") + F.col("span")).alias("next_off"))
+    found = floor_join(probes.withColumn("at", F.col("off")), batches, TP, "at", "base", F.struct("base", "span"), "b")
+    inside = F.col("off") < F.col("b.base") + F.col("b.span")
+    return found.where(inside).select(*TP, "off", "b.base", "b.span", (F.col("b.base") + F.col("b.span")).alias("next_off"))
 
 
 def range_join(batches: DataFrame, records: DataFrame, width: int) -> DataFrame:
@@ -53,8 +55,8 @@ def fetch(batches: DataFrame, requests: DataFrame) -> DataFrame:
 
 def torn_prefix(blobs: DataFrame, files: DataFrame) -> DataFrame:
     """What survives of files (topic, part, file_bytes): blobs (topic, part, base, span, bytes) that are complete."""
-    w = W.partitionBy(*TP).orderBy("base").rowsBetween(W.unboundedPreceding, 0)
-    end = blobs.withColumn("end", F.sum(F.col("bytes") + S.BLOB_HEADER).over(w)).join(files, TP)
+    size = F.col("bytes") + S.BLOB_HEADER
+    end = running_sum(blobs, TP, "base", size, "begins").withColumn("end", F.col("begins") + size).join(files, TP)
     keep = F.col("end") <= F.col("file_bytes")
     n = lambda c: F.coalesce(F.sum(F.when(keep, c)), F.lit(0)).cast("long")
     return end.groupBy(*TP).agg(n(F.lit(1)).alias("blobs"), n(F.col("span")).alias("offsets"), F.coalesce(F.max(F.when(keep, F.col("end"))), F.lit(0)).cast("long").alias("valid_bytes"))

@@ -296,11 +296,13 @@ def offset_fetch(spark, d):
     return commits.offset_fetch(commits.latest(view.commit_view(spark, d)), spark.createDataFrame(WANTED, "grp string, topic string, part int"))
 
 
-@query(" SELECT grp, topic, part, off, CASE WHEN seq % 5 = 0 THEN '' ELSE metadata END AS metadata FROM c WHERE seq % 3 = 0")
+@query(" SELECT grp, topic, part, off, CASE WHEN seq % 5 = 0 THEN '' ELSE metadata END AS metadata FROM c")
 def offset_commit_flatten(spark, d):
-    c = view.commit_view(spark, d).where("seq % 3 = 0").withColumn("metadata", F.when(F.col("seq") % 5 != 0, F.col("metadata")))
-    by_topic = c.groupBy("grp", "topic").agg(F.collect_list(F.struct("part", "off", "metadata")).alias("parts"))
-    return commits.flatten(by_topic.groupBy("grp").agg(F.collect_list(F.struct("topic", "parts")).alias("topics")))
+    c = view.commit_view(spark, d).withColumn("metadata", F.when(F.col("seq") % 5 != 0, F.col("metadata")))
+    # requests of a bounded size: the commits of a thousand consecutive records
+    c = c.withColumn("request", F.floor(F.col("seq") / 1000))
+    by_topic = c.groupBy("request", "grp", "topic").agg(F.collect_list(F.struct("part", "off", "metadata")).alias("parts"))
+    return commits.flatten(by_topic.groupBy("request", "grp").agg(F.collect_list(F.struct("topic", "parts")).alias("topics")))
 
 
 @query(" SELECT grp, last.topic, last.part, last.off, latest, latest - last.off AS lag FROM last JOIN ends ON last.topic = ends.topic AND last.part = ends.part")
@@ -574,11 +576,15 @@ def wire(spark: SparkSession, d: str) -> DataFrame:
 @query(""" SELECT seq AS rid, CASE WHEN seq % 13 = 0 THEN 'short' END AS error, CASE WHEN seq % 13 <> 0 THEN CAST(49 + span AS BIGINT) END AS batch_length,
  CASE WHEN seq % 13 <> 0 THEN CAST(2 AS BIGINT) END AS magic, CASE WHEN seq % 13 <> 0 THEN CAST(span - 1 AS BIGINT) END AS last_offset_delta,
  CASE WHEN seq % 13 <> 0 THEN CAST(1000 + seq % 7 AS BIGINT) END AS first_ts, CASE WHEN seq % 13 <> 0 THEN CAST(-1 AS BIGINT) END AS producer_id,
- CASE WHEN seq % 13 <> 0 THEN CAST(span AS BIGINT) END AS record_count FROM b""")
+ CASE WHEN seq % 13 <> 0 THEN CAST(span AS BIGINT) END AS record_count, CASE WHEN seq % 13 <> 0 THEN CAST(0 AS BIGINT) END AS base_offset,
+ CASE WHEN seq % 13 <> 0 THEN CAST(0 AS BIGINT) END AS leader_epoch, CASE WHEN seq % 13 <> 0 THEN true END AS crc_holds, CASE WHEN seq % 13 <> 0 THEN CAST(0 AS BIGINT) END AS attributes,
+ CASE WHEN seq % 13 <> 0 THEN CAST(1000 + seq % 7 AS BIGINT) END AS max_ts, CASE WHEN seq % 13 <> 0 THEN CAST(-1 AS BIGINT) END AS producer_epoch,
+ CASE WHEN seq % 13 <> 0 THEN CAST(-1 AS BIGINT) END AS base_sequence FROM b""")
 def batch_header_parse(spark, d):
     w = wire(spark, d)
     h = w.select("rid", codec.header_error(F.col("records")).alias("error"), *codec.header_fields(F.col("records")))
-    return h.select("rid", "error", "batch_length", "magic", "last_offset_delta", "first_ts", "producer_id", "record_count")
+    held = w.select("rid", F.when(codec.header_error(F.col("records")).isNull(), codec.crc_valid(F.col("records"))).alias("crc_holds"))
+    return h.drop("crc").join(held, "rid")
 
 
 @query(""" , g AS (SELECT *, CASE WHEN topic = 'error' THEN 3 WHEN seq % 13 = 0 THEN 2 ELSE 0 END AS error FROM b)
@@ -607,8 +613,12 @@ def stream_expired_members(spark, d):
 
 
 def queries() -> dict:
+    from driftlog import queries_wire  # noqa: F401  adds its own
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from driftlog import queries_wire  # noqa: F401  adds its own
+
     return dict(SQL)

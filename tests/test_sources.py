@@ -1,14 +1,16 @@
 import json
 import os
+import random
 import struct
 
 import pytest
 
 from driftlog.functions.codec import decode_commits, encode_commit
+from driftlog.functions.crc import crc32c_many
 from driftlog.functions.requests import LAYOUTS, decode_request, frames
 from driftlog.functions.schemas import APIS, MAX_FRAME
 from driftlog.sources import files
-from driftlog.sources.segments import register
+from driftlog.sources.segments import Tail, register
 
 
 @pytest.fixture(scope="module")
@@ -56,10 +58,13 @@ def test_catalog_file(spark, tmp_path):
     files.save_catalog(spark.createDataFrame([("b", 2), ("a", 1)], "name string, partitions int"), p)
     assert [t["name"] for t in json.load(open(p))["topics"]] == ["a", "b"]
     assert {r.name: r.partitions for r in files.load_catalog(spark, p).collect()} == {"a": 1, "b": 2}
-    one = lambda **t: {"version": 1, "topics": [{"name": "a", "partitions": 1}, t]}
-    bad = [{"version": 2, "topics": []}, [], one(name="a", partitions=1), one(name="../x", partitions=1), one(name="b", partitions=0), one(name="b", partitions=1001), one(name="", partitions=1), one(partitions=1), one(name="b", partitions="1")]
-    for x in bad:
-        open(p, "w").write(json.dumps(x))
+    good = {"name": "t.1", "partitions": 3}
+    for key, value in [("name", "a/b"), ("name", "x" * 250), ("name", ".."), ("partitions", -4), ("partitions", 5000), ("partitions", None), ("partitions", 2.5)]:
+        json.dump({"version": 1, "topics": [good, {"name": "u", "partitions": 1} | {key: value}]}, open(p, "w"))
+        with pytest.raises(ValueError):
+            files.load_catalog(spark, p)
+    for whole in ({"version": 1, "topics": [good, good]}, {"topics": [good]}, {"version": 7, "topics": [good]}, "topics"):
+        json.dump(whole, open(p, "w"))
         with pytest.raises(ValueError):
             files.load_catalog(spark, p)
     open(p, "w").write("{")
@@ -95,11 +100,15 @@ def test_requests():
     assert set(LAYOUTS) == {name for _, name, *_ in APIS}
 
 
-@pytest.mark.parametrize("n", [2**31 - 1, 2**20, -1, -2, -5])
-def test_hostile_counts(n):
-    for before in (head(1) + struct.pack(">iii", 0, 0, 0), head(2) + struct.pack(">i", 0), head(8) + text("g"), head(19), head(20), head(14) + text("g") + struct.pack(">i", 1) + text("m")):
-        with pytest.raises(ValueError):
-            decode_request(before + struct.pack(">i", n))
+def test_hostile_counts():
+    """Counts that are negative, or just above what the bytes behind them can hold."""
+    r = random.Random(11)
+    arrays = [head(1) + struct.pack(">iii", 0, 0, 0), head(2) + struct.pack(">i", 0), head(8) + text("g"), head(19), head(20), head(14) + text("g") + struct.pack(">i", 1) + text("m")]
+    for before in arrays:
+        for rest in (b"", bytes(r.randrange(1, 40))):
+            for n in (len(rest) + 1, r.randrange(len(rest) + 1, 2**31), *(-r.randrange(1, 2**31) for _ in range(4))):
+                with pytest.raises(ValueError):
+                    decode_request(before + struct.pack(">i", n) + rest)
 
 
 def test_frames():
@@ -107,3 +116,58 @@ def test_frames():
     assert frames(a + b + a[:5]) == ([b"abc", b""], a[:5])
     with pytest.raises(ValueError):
         frames(struct.pack(">I", MAX_FRAME + 1))
+
+
+def plain_crc(data):
+    c = 0xFFFFFFFF
+    for x in data:
+        c ^= x
+        for _ in range(8):
+            c = (c >> 1) ^ (0x82F63B78 if c & 1 else 0)
+    return c ^ 0xFFFFFFFF
+
+
+def test_crc_of_many_lengths():
+    r = random.Random(3)
+    blobs = [r.randbytes(n) for n in [*range(140), 255, 256, 257, 1000, 4096, 4097, 20_000]] + [b"123456789", bytes(300), b"\xff" * 65]
+    got = crc32c_many(blobs).tolist()
+    assert got == [plain_crc(b) for b in blobs] and got[-3] == 0xE3069283
+    assert crc32c_many(blobs, most_bytes=64).tolist() == got and crc32c_many([]).tolist() == []
+    big = r.randbytes(3_000_001)
+    assert crc32c_many([big, b"x", big[:-1]])[0] == crc32c_many([big])[0]
+
+
+def blobs_frame(spark, rows):
+    return spark.createDataFrame(rows, "topic string, part int, segment_base long, base long, span int, payload binary")
+
+
+def test_writer_refuses_a_segment_in_two_tasks_and_overwrites(spark, tmp_path):
+    register(spark)
+    root = str(tmp_path / "w")
+    rows = [("t", 0, 0, i, 1, b"%d" % i) for i in range(6)]
+    with pytest.raises(Exception, match="several tasks"):
+        blobs_frame(spark, rows).repartition(3).write.format("driftlog").mode("append").save(root)
+    assert [d for d in os.listdir(root) if os.listdir(os.path.join(root, d))] == []
+    blobs_frame(spark, rows).coalesce(1).write.format("driftlog").mode("append").save(root)
+    assert spark.read.format("driftlog").load(root).count() == 6
+    blobs_frame(spark, [("u", 1, 7, 7, 2, b"new")]).write.format("driftlog").mode("overwrite").save(root)
+    assert [(r.topic, r.base, bytes(r.payload)) for r in spark.read.format("driftlog").load(root).collect()] == [("u", 7, b"new")]
+
+
+def test_tail_reads_only_what_is_new(tmp_path):
+    folder = tmp_path / "t-0"
+    folder.mkdir()
+    blob = lambda b, span=1: struct.pack(">ii", len(b), span) + b
+    path = folder / ("0" * 20 + ".log")
+    path.write_bytes(blob(b"a", 3) + blob(b"b") + blob(b"torn")[:-1])
+    tail = Tail(str(tmp_path))
+    one = tail.latestOffset()
+    first = [x for p in tail.partitions(tail.initialOffset(), one) for x in tail.read(p)]
+    assert [(x[3], x[4], x[5], x[6]) for x in first] == [(0, 3, 0, b"a"), (3, 1, 9, b"b")]
+    with open(path, "ab") as f:
+        f.write(b"n" + blob(b"c"))
+    (folder / f"{5:020d}.log").write_bytes(blob(b"d"))
+    two = Tail(str(tmp_path)).latestOffset()  # as after a restart
+    more = [x for p in tail.partitions(one, two) for x in tail.read(p)]
+    assert [(x[3], x[6]) for x in sorted(more)] == [(4, b"tor" + b"n"), (5, b"c"), (5, b"d")]
+    assert tail.partitions(two, tail.latestOffset()) == []
