@@ -376,15 +376,15 @@ def piece_ids(lat: Lattices, path: np.ndarray) -> np.ndarray:
     return out
 
 
-_KEPT: dict[int, Lattices] = {}
+_KEPT: dict[int, Vocabulary] = {}
 
 
-def kept_lattices(pieces: list[str], kinds: list[int]) -> Lattices:
-    """One model's lattices, kept by a worker for its next task."""
+def kept_vocabulary(pieces: list[str], kinds: list[int]) -> Vocabulary:
+    """One model's trie, kept by a worker for its next task. Lattices are not: an idle worker should hold little."""
     model = xxhash.xxh64_intdigest("\n".join(pieces).encode() + bytes(kinds))
     if model not in _KEPT:
         _KEPT.clear()
-        _KEPT[model] = Lattices(Vocabulary(pieces, kinds))
+        _KEPT[model] = Vocabulary(pieces, kinds)
     return _KEPT[model]
 
 
@@ -406,7 +406,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
     names = ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", "round_trip"] + ["ids"] * with_ids
 
     def run(batches):
-        lat = kept_lattices(*shared.value)
+        lat = Lattices(kept_vocabulary(*shared.value))
         for b in batches:
             ids_in, texts_in = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts_in, 600_000):
