@@ -376,19 +376,19 @@ def piece_ids(lat: Lattices, path: np.ndarray) -> np.ndarray:
     return out
 
 
-_KEPT: dict[int, Vocabulary] = {}
+_KEPT: dict[int, Lattices] = {}
 
 
-def kept_vocabulary(pieces: list[str], kinds: list[int]) -> Vocabulary:
-    """One model's trie, kept by a worker for its next task. Lattices are not: an idle worker should hold little."""
+def kept_lattices(pieces: list[str], kinds: list[int], reuse: bool) -> Lattices:
+    """One model's lattices, kept by a worker for its next task if reuse is asked for; else its trie alone."""
     model = xxhash.xxh64_intdigest("\n".join(pieces).encode() + bytes(kinds))
     if model not in _KEPT:
         _KEPT.clear()
-        _KEPT[model] = Vocabulary(pieces, kinds)
-    return _KEPT[model]
+        _KEPT[model] = Lattices(Vocabulary(pieces, kinds))
+    return _KEPT[model] if reuse else Lattices(_KEPT[model].vocab)
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, reuse: bool = True) -> DataFrame:
     """Up to k rows per row of docs, fewer if the text has fewer segmentations: doc_id, sample (0 is the greatest
     variate), n_pieces, log_prob, log_inclusion, ids_hash (XXH64 of the ids as int32, signed), round_trip (decoding the
     ids gives the text back) and, if with_ids, ids.
@@ -398,6 +398,9 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
     vocabulary, and a literal U+2581, are spelled in bytes. Whole texts are read, whatever their length. Other columns are
     not looked at; an empty table gives an empty result.
 
+    With reuse a Python worker keeps its lattices, some 100 MB, for its next task, which saves building them anew; without,
+    it holds none when a task has ended, which leaves the memory to other stages of one session.
+
     The model is a merge list: its scores are ranks and no probabilities, and it is not trained here. A piece's probability
     is taken from its rank by a Zipf-Mandelbrot law.
     """
@@ -406,7 +409,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
     names = ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_hash", "round_trip"] + ["ids"] * with_ids
 
     def run(batches):
-        lat = Lattices(kept_vocabulary(*shared.value))
+        lat = kept_lattices(*shared.value, reuse)
         for b in batches:
             ids_in, texts_in = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts_in, 600_000):

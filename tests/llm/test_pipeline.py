@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from driftlog.llm.decontaminate import tokens
 from tests.llm.test_decontaminate import brute_sw
@@ -48,3 +50,19 @@ def test_stages_against_brute_force(spark, tmp_path):
         want = out + t[at:]
         assert {sp.decode(list(g.ids)) for g in got if g.doc_id == i} == {want}
     assert {len(s) for s in corpus_pipeline.STAGES} == {2} and len(corpus_pipeline.STAGES) == 5
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    r = random.Random(4)
+    vocab = ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(400)]
+    docs = [(i, " ".join(r.choices(vocab, k=80))) for i in range(6)] + [(6, None), (7, ""), (None, " ".join(r.choices(vocab, k=80)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = df.withColumns({c: F.lit(c) for c in ("lang", "_id", "_key", "_all", "_words", "n_words", "kept", "fp", "row", "base", "item", "first")})
+    spark.createDataFrame([(1, "one item of seven words in all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows, left in ((df, 7), (df.limit(0), 0)):
+        at = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == df.columns
+        assert at.count() == left
+        assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).select("doc_id").distinct().count() == left
