@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, personal data, segmentation.
 
 Each stage's result is written as Parquet in the shared folder and read again as the next one's input, so a stage that
-loses executors repeats only itself.
+loses executors repeats only itself. Null ids and texts, empty and very long texts, ties, repeated rows and further columns,
+whatever their names, are treated as each stage says; an empty table runs through all of them and gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,28 +19,30 @@ from driftlog.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. Null and empty texts are rejected as too short; repeated rows are judged alike."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest id, null ids last, then the smallest hash of the text. Of
+    repeated rows one stays."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts hold none; null ids are judged together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, identifiers replaced by their kind."""
+    """All documents, identifiers replaced by their kind. Null and empty texts stay as they are."""
     return redact(docs)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, with their ids."""
-    return sample_segmentations(docs, PIECE_MODEL, k=2)
+    """Two sampled segmentations of each document, with their ids; one, of no pieces, of null and empty texts. Repeated rows
+    get equal ones."""
+    return sample_segmentations(docs, PIECE_MODEL, k=2, reuse=False)
 
 
 STAGES = [
