@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id, null ids last, then the smallest hash of the text. Of
-    repeated rows one stays."""
+    """One document of each group of near copies, Jaccard 0.8 on five words: the smallest id, null ids last, then the
+    smallest hash of the text. Of repeated rows one stays."""
     return drop_near_duplicates(docs)
 
 

@@ -7,7 +7,7 @@ from driftlog.llm.decontaminate import tokens
 from tests.llm.test_decontaminate import brute_sw
 from tests.llm.test_pii import brute as brute_pii
 from tests.llm.test_quality import brute as brute_quality
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_simhash import brute_kept
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -26,12 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     kept = [d for d in docs if brute_quality(d[1])[-1]]
-    comp = brute_components(kept)
-    seen, second = set(), []
-    for d, (_, _, c) in zip(kept, comp):
-        if d[0] == c and (c, d[1]) not in seen:
-            seen.add((c, d[1]))
-            second.append(d)
+    second = sorted(brute_kept(kept), key=str)
     third = [d for d in second if not any(brute_sw(tokens(t), tokens(d[1])) >= len(tokens(t)) for _, t in items)]
     assert {g.doc_id for g in got} == {d[0] for d in third}
     assert all(g.round_trip for g in got)

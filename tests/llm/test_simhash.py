@@ -38,6 +38,26 @@ def brute_components(rows):
     return [(ids[i], fps[i], least[find(i)]) for i in range(len(rows))]
 
 
+def brute_shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_kept(rows, least=0.8):
+    """Names (id, text) of the first row of each component of texts with Jaccard of at least `least` on five words."""
+    sets = [brute_shingles(t) for _, t in rows]
+    lab = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) >= least * len(a | b):
+                lab = [lab[j] if x == lab[i] else x for x in lab] if lab[i] != lab[j] else lab
+    out = {}
+    for x, r in zip(lab, rows):
+        out.setdefault(x, []).append(r)
+    return {min(v, key=lambda r: (r[0] is None, r[0] or 0)) for v in out.values()}
+
+
 def corpus(n=160, seed=3):
     r = random.Random(seed)
     vocab = ["w%d" % i for i in range(300)]
@@ -100,3 +120,40 @@ def test_dropping_keeps_columns_that_clash(spark):
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["0", "8", "None"]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def edited(seed):
+    """Texts of 20 to 400 words and copies with edits around Jaccard 0.8, chains of copies, and short ones."""
+    r = random.Random(seed)
+    vocab = ["v%d" % i for i in range(2000)]
+    rows = [(i, " ".join(r.choices(vocab, k=r.choice([20, 50, 100, 400])))) for i in range(40)]
+    for i in range(40, 160):
+        w = r.choice(rows)[1].split()
+        for _ in range(r.randrange(0, 1 + max(2, len(w) // 40))):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = [r.choice(vocab)]
+        rows.append((i, " ".join(w)))
+    return rows + [(200, None), (201, ""), (202, " \t "), (203, "a b"), (204, "b a"), (205, "A\nb"), (None, rows[3][1]), (7, rows[3][1].upper())]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_against_brute_force(spark, seed):
+    rows = edited(seed)
+    want = brute_kept(rows)
+    assert len(want) < len(rows) - 60
+    got = drop_near_duplicates(spark.createDataFrame(rows + rows[:9], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in want)
+
+
+def test_tiles_of_a_large_bucket_lose_no_meeting(spark):
+    from driftlog.llm.simhash import meeting
+
+    g = np.random.default_rng(5)
+    base = g.integers(0, 2**62, 60)
+    fps = [*base.tolist(), *(int(x) ^ 5 for x in base[:20])]
+    rows = [(b, i, x) for b in (1, 2) for i, x in enumerate(fps) if b == 1 or i < 60]
+    want = {(b, i) for b, i, x in rows if any(b == c and i != j and (x ^ y).bit_count() <= 3 for c, j, y in rows)}
+    df = spark.createDataFrame(rows, "bucket long, node long, fp long")
+    for tile in (8, 8192):
+        got = [tuple(r) for r in meeting(df, 3, tile).collect()]
+        assert len(got) == len(want) and set(got) == want
