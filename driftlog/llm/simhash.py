@@ -347,12 +347,13 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE, threshold: float =
     met = materialize(meeting(members, radius), "met")
     texts = rows.select(F.col(rid).alias("rid"), F.col(own).alias("own"), F.col("text").alias("body"))
     wanted = materialize(nodes.join(met.select("node").distinct(), "node").select("node", "first.rid", "first.own"), "wanted")
-    bodies = materialize(texts.join(wanted, ["rid", "own"]).dropDuplicates(["rid", "own"]).select("node", "body"), "bodies")
+    bodies = materialize(texts.dropDuplicates(["rid", "own"]).join(wanted, ["rid", "own"]).select("node", "body"), "bodies")
     comp = connected_components(verified_links(met, bodies, threshold))
     kept = nodes.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     ident, key = fresh("id"), fresh("key")
     kept = materialize(kept.select(F.col("first.rid").alias(ident), F.col("first.own").alias(key)), "kept")
     for t in (nodes, met, wanted, bodies):
         discard(t)
-    out = rows.join(kept, (F.col(rid) == F.col(ident)) & (F.col(own) == F.col(key)), "left_semi")
-    return out.dropDuplicates([rid, own]).drop(rid, own)
+    # repeated rows are one before the shuffle, which the join then shares
+    once = rows.dropDuplicates([rid, own])
+    return once.join(kept, (F.col(rid) == F.col(ident)) & (F.col(own) == F.col(key)), "left_semi").drop(rid, own)

@@ -141,7 +141,7 @@ def test_near_copies_against_brute_force(spark, seed):
     rows = edited(seed)
     want = brute_kept(rows)
     assert len(want) < len(rows) - 60
-    got = drop_near_duplicates(spark.createDataFrame(rows + rows[:9], "doc_id long, text string")).collect()
+    got = drop_near_duplicates(spark.createDataFrame(rows + rows[:9] + 80 * rows[12:13], "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in want)
 
 
