@@ -3,9 +3,10 @@
 A paragraph is a line of at least `least` words; its shingles are five words. Equal lines are one node, so copies never
 meet as pairs. Each node's MinHash signature is cut into bands, and nodes that share a band meet in a bucket, where exact
 Jaccard on the shingle sets decides. Components of the links give the clusters; all but the first occurrence of a cluster
-are removals. A passage inside different lines is found by anchors: of any WINDOW runs of PIECE words in a row, the one of
-least hash is an anchor, so two lines that share PIECE + WINDOW - 1 words share one. Each line is compared with the first
-holder of each of its anchors, and the shared words around the anchor are followed to both sides as far as they go.
+are removals. Any other passage, inside lines or over several, short ones too, is found by anchors: of any WINDOW runs of
+PIECE words in a row of a whole text, whatever its lines, the one of least hash is an anchor, so two texts that share
+PIECE + WINDOW - 1 words share one. Equal texts are one node. Each text is compared with the first holder of each of its
+anchors, and the shared words around the anchor are followed to both sides as far as they go.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ PIECE, WINDOW = 25, 26
 #: Members of a bucket that one tile verifies against as many others.
 TILE = 2048
 WORD = re.compile("[^\x20\x09-\x0D]+")
-UNIT = "doc_id long, row long, start long, end long, n_words long, node long, keys array<bigint>, anchors array<bigint>, places array<bigint>, body string"
+#: A line, or with a null body a text that has anchors; short: some of its words are in lines of fewer than the least words.
+UNIT = "doc_id long, row long, start long, end long, n_words long, node long, keys array<bigint>, anchors array<bigint>, places array<bigint>, body string, short boolean"
 
 
 def signed(x: int) -> int:
@@ -39,8 +41,8 @@ def signed(x: int) -> int:
 
 
 def anchors(runs: np.ndarray, line: np.ndarray, most: int = 100_000) -> np.ndarray:
-    """Indices of the first least run of each WINDOW runs in a row within one line; all runs of a shorter line are one
-    window. line: each run's line, ascending."""
+    """Indices of the first least run of each WINDOW runs in a row within one text; all runs of a shorter text are one
+    window. line: each run's text, ascending."""
     if not len(runs):
         return np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
@@ -59,16 +61,21 @@ def anchors(runs: np.ndarray, line: np.ndarray, most: int = 100_000) -> np.ndarr
     return np.unique(np.concatenate(found))
 
 
+def shingles(h: np.ndarray, off: np.ndarray, wanted) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each wanted run h[off[i]:off[i + 1]] of words (all words as one if they are fewer)."""
+    s, at = ngram_hashes(h, off, SHINGLE)
+    cut = np.searchsorted(at, off)
+    return [np.unique(s[cut[i] : cut[i + 1]]) if cut[i + 1] > cut[i] else mix(h[off[i] : off[i + 1]].sum(keepdims=True)) for i in wanted]
+
+
 def shingle_sets(bodies: list[bytes], cache: HashCache) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each body (all words as one if they are fewer); words' hashes and offsets."""
+    """Shingles of each body; words' hashes and offsets."""
     flat, off = [], [0]
     for t in bodies:
         flat.extend(map(cache.__getitem__, t.lower().split()))
         off.append(len(flat))
     h, off = np.array(flat, np.uint64), np.array(off)
-    s, at = ngram_hashes(h, off, SHINGLE)
-    cut = np.searchsorted(at, off)
-    return [np.unique(s[a:b]) if b > a else mix(h[x:y].sum(keepdims=True)) for a, b, x, y in zip(cut, cut[1:], off, off[1:])], h, off
+    return shingles(h, off, range(len(bodies))), h, off
 
 
 def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -84,46 +91,62 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def units(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """Lines as they are written, with band keys, anchors and their places: node is a 64-bit hash of the line, row one of
-    the document's id and text."""
+    """Lines as they are written, with band keys, and texts with anchors and their places: node is a 64-bit hash of the
+    line or text (of a text that of F.xxhash64), row one of the document's id and text."""
 
     def run(batches):
         cache = HashCache()
-        names = ["doc_id", "row", "start", "end", "n_words", "node", "keys", "anchors", "places", "body"]
-        longs = names[:6]
+        longs = ["doc_id", "row", "start", "end", "n_words", "node"]
+        names = [*longs, "keys", "anchors", "places", "body", "short"]
+        listed = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int64()))
         for b in batches:
-            out: dict[str, list] = {n: [] for n in (*longs, "body")}
+            lines: dict[str, list] = {n: [] for n in (*longs, "body")}
+            texts: list[tuple] = []
+            flat, line_off, text_off, wanted = [], [0], [0], []
 
             def flush():
-                sets, h, off = shingle_sets([t.encode("utf-8", "surrogatepass") for t in out["body"]], cache)
-                keys = band_keys(sets)
+                h, off = np.array(flat, np.uint64), np.array(text_off)
+                n = len(wanted)
+                if n:
+                    keys = band_keys(shingles(h, np.array(line_off), wanted))
+                    none = pa.nulls(n, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(lines[c], pa.int64()) for c in longs), listed(keys.ravel(), np.arange(n + 1) * BANDS), none, none, pa.array(lines["body"], pa.string()), pa.nulls(n, pa.bool_())], names)
                 runs, at = ngram_hashes(h, off, PIECE)
-                line = np.searchsorted(off, at, side="right") - 1
-                spot = anchors(runs, line)
-                ends = np.searchsorted(line[spot], np.arange(len(sets) + 1))
-                listed = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int64()))
-                cols = [pa.array(out[n], pa.int64()) for n in longs]
-                cols += [listed(keys.ravel(), np.arange(len(sets) + 1) * BANDS), listed(runs[spot].view(np.int64), ends), listed((at - off[line])[spot], ends)]
-                done = pa.RecordBatch.from_arrays([*cols, pa.array(out["body"], pa.string())], names)
-                for v in out.values():
+                of = np.searchsorted(off, at, side="right") - 1
+                spot = anchors(runs, of)
+                ends = np.searchsorted(of[spot], np.arange(len(texts) + 1))
+                some = np.flatnonzero(np.diff(ends))
+                if len(some):
+                    cols = [pa.array([texts[i][k] for i in some.tolist()], pa.int64()) for k in range(len(longs))]
+                    ends = np.append(ends[some], ends[-1])
+                    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(some), pa.list_(pa.int64())), listed(runs[spot].view(np.int64), ends), listed((at - off[of])[spot], ends), pa.nulls(len(some), pa.string()), pa.array([texts[i][-1] for i in some.tolist()], pa.bool_())], names)
+                for v in (*lines.values(), texts, flat, wanted):
                     v.clear()
-                return done
+                line_off[:], text_off[:] = [0], [0]
 
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
                 row = signed(xxhash.xxh64_intdigest(f"{i}\n{t}".encode("utf-8", "surrogatepass")))
-                at = 0
+                at, short = 0, False
                 for line in t.split("\n"):
                     raw = line.encode("utf-8", "surrogatepass")
-                    n = len(raw.split())
-                    if n >= least:
-                        for k, v in zip(out, (i, row, at, at + len(line), n, signed(xxhash.xxh64_intdigest(raw)), line)):
-                            out[k].append(v)
+                    words = raw.lower().split()
+                    if words:
+                        flat.extend(map(cache.__getitem__, words))
+                        line_off.append(len(flat))
+                        if len(words) >= least:
+                            wanted.append(len(line_off) - 2)
+                            for k, v in zip(lines, (i, row, at, at + len(line), len(words), signed(xxhash.xxh64_intdigest(raw)), line)):
+                                lines[k].append(v)
+                        else:
+                            short = True
                     at += len(line) + 1
-                if len(out["body"]) >= 2000:
-                    yield flush()
-            if out["body"]:
-                yield flush()
+                texts.append((i, row, 0, len(t), len(flat) - text_off[-1], signed(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42)), short))
+                text_off.append(len(flat))
+                if len(flat) >= 150_000:
+                    yield from flush()
+            if texts:
+                yield from flush()
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, UNIT)
 
@@ -193,10 +216,10 @@ def with_order(lines: DataFrame) -> DataFrame:
     return lines.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start"))
 
 
-def shared_anchors(lines: DataFrame) -> DataFrame:
-    """(node, f_node, first, at): at are the places of anchors in a line and in the line that holds them first, whose first
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """(node, f_node, first, at): at are the places of anchors in a text and in the text that holds them first, whose first
     occurrence is first."""
-    spots = with_order(lines).select("node", "order", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("node", "order", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
+    spots = with_order(texts).select("node", "order", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("node", "order", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
     ends = [f(c).alias(f"{k}_{c}") for c in ("node", "place") for k, f in (("lo", F.min), ("hi", F.max))]
     held = spots.groupBy("anchor").agg(F.min(F.struct("order", "node", "place")).alias("f"), *ends).where("lo_node <> hi_node or lo_place <> hi_place")
     held = materialize(held.select("anchor", F.col("f.node").alias("f_node"), F.col("f.place").alias("f_place"), F.col("f.order").alias("first")), "anchors")
@@ -208,54 +231,80 @@ def shared_anchors(lines: DataFrame) -> DataFrame:
 
 
 def common_runs(h: np.ndarray, g: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(a, b, f_a): the longest h[a:b] = g[f_a:f_a + b - a] around each pair of places of at."""
-    found = set()
+    """(a, b, f_a): the longest h[a:b] = g[f_a:f_a + b - a] around each pair of places of at, but for some that lie inside
+    another h[a:b] of the list: words that come again and again match at many distances."""
+    found: dict[tuple[int, int], int] = {}
     by: dict[int, list[int]] = {}
     for p, q in at:
         by.setdefault(p - q, []).append(p)
-    for d, places in by.items():
-        lo, hi = max(0, d), min(len(h), len(g) + d)
-        cut = np.flatnonzero(h[lo:hi] != g[lo - d : hi - d]) + lo
-        for p in places:
-            k = int(np.searchsorted(cut, p))
-            a, b = int(cut[k - 1]) + 1 if k else lo, int(cut[k]) if k < len(cut) else hi
-            if b - a >= PIECE:  # else another line's run has the anchor's hash
-                found.add((a, b, a - d))
-    return sorted(found)
-
-
-def stretches(hits: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(node, a, s, e, n, f_node, f_a, f_b, f_s, f_e, first): n words from word a on, characters s to e of a line, repeat
-    words f_a to f_b, characters f_s to f_e, of the line f_node. Only the longest are left, of equal ones the first."""
+    n, m = len(h), len(g)
+    for d in sorted(by, key=lambda d: (-len(by[d]), d)):
+        lo, hi = max(0, d), min(n, m + d)
+        # a run cannot leave a stretch [a, b) if the words before and after differ at this distance
+        shut = [(a, b) for a, b in found if a < hi and lo < b and (a <= lo or h[a - 1] != g[a - 1 - d]) and (b >= hi or h[b] != g[b - d])]
+        left = [p for p in by[d] if not any(a <= p < b for a, b in shut)]
+        if left:
+            cut = np.flatnonzero(h[lo:hi] != g[lo - d : hi - d]) + lo
+            for p in left:
+                k = int(np.searchsorted(cut, p))
+                a, b = int(cut[k - 1]) + 1 if k else lo, int(cut[k]) if k < len(cut) else hi
+                if b - a >= PIECE:  # else another text's run has the anchor's hash
+                    found.setdefault((a, b), a - d)
+    return sorted((a, b, f) for (a, b), f in found.items())
+
+
+def line_around(t: str, s: int, e: int) -> str | None:
+    """The line that holds t[s:e], if one does."""
+    if "\n" in t[s:e]:
+        return None
+    end = t.find("\n", e)
+    return t[t.rfind("\n", 0, s) + 1 : end if end >= 0 else len(t)]
+
+
+def stretches(hits: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
+    """(node, a, s, e, n, f_node, f_a, f_b, f_s, f_e, first): n words from word a on, characters s to e of a text, repeat
+    words f_a to f_b, characters f_s to f_e, of the text f_node. Only the longest are left, of equal ones the first; what
+    lies within equal lines of at least `least` words is not among them."""
     both = hits.join(bodies, "node").join(bodies.select(F.col("node").alias("f_node"), F.col("body").alias("f_body")), "f_node")
     kinds = "node long, a long, s long, e long, n long, f_node long, f_a long, f_b long, f_s long, f_e long, first struct<none:boolean,doc_id:bigint,row:bigint,start:bigint>"
     names = ["node", "a", "s", "e", "n", "f_node", "f_a", "f_b", "f_s", "f_e"]
 
     def run(batches):
         cache = HashCache()
+        hashes = lambda t: np.array([cache[w] for w in t.encode("utf-8", "surrogatepass").lower().split()], np.uint64)
+        spans = lambda t: [m.span() for m in WORD.finditer(t)]
+        last = g = y = None
         for b in batches:
             out, source = [], []
-            node, f_node, at, body, f_body = (b.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            node, f_node, body, f_body = (b.column(k).to_pylist() for k in (0, 1, 4, 5))
+            at = b.column(3)
             for i in range(b.num_rows):
-                h, g = (np.array([cache[w] for w in x.encode("utf-8", "surrogatepass").lower().split()], np.uint64) for x in (body[i], f_body[i]))
-                runs = common_runs(h, g, [(p["place"], p["f_place"]) for p in at[i]])
+                if f_node[i] != last:  # a join's rows come by f_node
+                    last, g, y = f_node[i], hashes(f_body[i]), None
+                h = g if node[i] == last else hashes(body[i])
+                pairs = at[i].values
+                runs = common_runs(h, g, list(zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist())))
                 if runs:
-                    x, y = ([m.span() for m in WORD.finditer(t)] for t in (body[i], f_body[i]))
+                    y = y or spans(f_body[i])
+                    x = y if node[i] == last else spans(body[i])
                     for a, e, f in runs:
-                        out.append((node[i], a, x[a][0], x[e - 1][1], e - a, f_node[i], f, f + e - a, y[f][0], y[f + e - a - 1][1]))
-                        source.append(i)
+                        here, there = (x[a][0], x[e - 1][1]), (y[f][0], y[f + e - a - 1][1])
+                        line = line_around(body[i], *here)
+                        if line is None or line != line_around(f_body[i], *there) or len(WORD.findall(line)) < least:
+                            out.append((node[i], a, *here, e - a, f_node[i], f, f + e - a, *there))
+                            source.append(i)
             cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, b.column(2).take(pa.array(source, pa.int64()))], [*names, "first"])
 
     all_ = both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(run, kinds)
-    # an anchor at a passage's end may be none in the line that holds the passage first, so it has another first holder
+    # an anchor at a passage's end may be none in the text that holds the passage first, so it has another first holder
     longer = W.partitionBy("node").orderBy("a", F.desc("n"), "first").rowsBetween(W.unboundedPreceding, -1)
     return all_.withColumn("past", F.max(F.col("a") + F.col("n")).over(longer)).where("past is null or past < a + n").drop("past")
 
 
-def inner_passages(lines: DataFrame, hits: DataFrame, bodies: DataFrame) -> DataFrame:
+def inner_passages(texts: DataFrame, hits: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
     """Rows of repeated_passages() of kind 1."""
-    runs = materialize(stretches(hits, bodies), "stretches")
+    runs = materialize(stretches(hits, bodies, least), "stretches")
     spans = runs.select("f_node", "f_a", "f_b", "f_s", "f_e", "first").dropDuplicates(["f_node", "f_a", "f_b"])
     before = W.partitionBy("f_node").orderBy("f_a", "f_b").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("f_node").orderBy("f_a", "f_b").rowsBetween(W.unboundedPreceding, 0)
@@ -265,34 +314,36 @@ def inner_passages(lines: DataFrame, hits: DataFrame, bodies: DataFrame) -> Data
     own = spans.groupBy("f_node", "cluster").agg(F.min("f_a").alias("a"), F.max("f_b").alias("b"), F.min("f_s").alias("s"), F.max("f_e").alias("e"), F.min("first").alias("first"))
     parts = runs.join(spans.select("f_node", "f_a", "f_b", "cluster"), ["f_node", "f_a", "f_b"]).select("node", "s", "e", "n", "cluster", "first", F.lit(False).alias("own"))
     parts = parts.unionByName(own.select(F.col("f_node").alias("node"), "s", "e", (F.col("b") - F.col("a")).alias("n"), "cluster", "first", F.lit(True).alias("own")))
+    # equal texts are one node: where some of their lines have no rows, the whole text is a passage
+    equal = with_order(texts).where("short").groupBy("node").agg(F.count("*").alias("times"), F.min("order").alias("first"), F.first("end").alias("e"), F.first("n_words").alias("n")).where("times > 1")
+    parts = parts.unionByName(equal.select("node", F.lit(0).cast("long").alias("s"), "e", "n", F.xxhash64("node").alias("cluster"), "first", F.lit(True).alias("own")))
     parts = materialize(parts.groupBy("node").agg(F.collect_set(F.struct("s", "e", "n", "cluster", "first", "own")).alias("parts")), "parts")
     discard(runs), discard(spans)
-    t = with_order(lines.select("doc_id", "row", "start", "node")).join(parts, "node").select("doc_id", "start", "order", F.explode("parts").alias("p"))
+    t = with_order(texts.select("doc_id", "row", "start", "node")).join(parts, "node").select("doc_id", "start", "order", F.explode("parts").alias("p"))
     removed = ~F.col("p.own") | (F.col("order") != F.col("p.first"))
     at = lambda c: (F.col("start") + F.col(c)).cast("long")
     return t.select("doc_id", F.lit(1).alias("kind"), at("p.s").alias("start"), at("p.e").alias("end"), F.col("p.n").alias("n_words"), F.col("p.cluster").alias("cluster"), F.col("p.first.doc_id").alias("first_doc"), removed.alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 20, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per occurrence of a paragraph, or of a passage inside different lines: doc_id, kind (0 line, 1 passage),
+    """One row per occurrence of a paragraph, or of a passage inside or over lines: doc_id, kind (0 line, 1 passage),
     start, end (code points), n_words, cluster (smallest node of its component; of a passage, a hash of where it occurs
     first), first_doc, removed.
 
-    A run of 50 words and more that lines of at least `least` words share holds an anchor, and a run of PIECE words and
+    A run of 50 words and more that texts share, however it is cut into lines, holds an anchor, and a run of PIECE words and
     more may. A passage's row goes from an anchor as far to both sides as its words equal those around the anchor's first
-    occurrence; stretches that overlap there are one passage. Words beyond, that others share but not that first line, have
-    rows of their own if they hold an anchor. What only equal lines share is left to these lines' rows. Lines of fewer
-    words are not looked at.
+    occurrence; stretches that overlap there are one passage. Words beyond, that others share but not that first text, have
+    rows of their own if they hold an anchor. What lies within one line of at least `least` words that is equal in both
+    texts is left to these lines' rows. Equal texts get a row over the whole text if some of their lines are shorter.
 
     The occurrence that stays is the one with the smallest (doc_id, row, start), null ids last. Null and empty texts have
     no paragraphs; rows with equal id and text share their verdict; other columns are not looked at; an empty table gives
     an empty result.
     """
-    lines = materialize(units(docs, doc_id, text, least), "units")
+    found = materialize(units(docs, doc_id, text, least), "units")
+    lines, texts = found.where("body is not null"), found.where("body is null")
     members = buckets(lines)
-    hits = shared_anchors(lines)
-    wanted = members.select("node").union(hits.select("node")).union(hits.select("f_node")).distinct()
-    bodies = materialize(lines.select("node", "body").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    bodies = materialize(lines.select("node", "body").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "bodies")
     links = materialize(verified_links(members, bodies, threshold), "links")
     discard(members)
     comp = connected_components(links).withColumnRenamed("root", "cluster")
@@ -303,6 +354,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     t = materialize(with_order(lines.select("doc_id", "row", "start", "end", "n_words", "node")).join(known, "node"), "occurrences")
     first = materialize(t.groupBy("cluster").agg(F.min("order").alias("first")), "first")
     whole = t.join(first, "cluster").select("doc_id", F.lit(0).alias("kind"), "start", "end", "n_words", "cluster", F.col("first.doc_id").alias("first_doc"), (F.col("order") != F.col("first")).alias("removed"))
-    inner = inner_passages(lines, hits, bodies)
-    discard(hits), discard(bodies), discard(known)
+    discard(bodies), discard(known)
+    hits = shared_anchors(texts)
+    wanted = materialize(hits.select("node").union(hits.select("f_node")).distinct(), "wanted")
+    bodies = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("body"))
+    bodies = materialize(bodies.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    inner = inner_passages(texts, hits, bodies, least)
+    discard(hits), discard(bodies), discard(wanted)
     return whole.unionByName(inner)

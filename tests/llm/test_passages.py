@@ -128,3 +128,51 @@ def test_very_common_line_and_passage(spark):
     docs = [(i, f"{line}\n{other(5)}\n{other(20)} {inside} {other(20)}") for i in range(400)]
     got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((g.doc_id, g.kind, g.removed, g.n_words) for g in got) == sorted((i, k, i > 0, n) for i in range(400) for k, n in ((0, 40), (1, 60)))
+
+
+def test_passages_over_short_lines(spark):
+    """Passages of 51 words and more, cut into lines of few words at other places in each text."""
+    r = random.Random(6)
+    other = lambda n: ["w%d" % r.randrange(10**9) for _ in range(n)]
+    docs, want = [], {}
+    for k in range(30):
+        inside = other(r.choice([51, 60, 90]))
+        for i in (2 * k, 2 * k + 1):
+            joined = inside[0] + "".join(("\n" if r.random() < 0.25 else " ") + w for w in inside[1:])
+            before, after = " ".join(other(r.randrange(1, 15))), " ".join(other(r.randrange(1, 15)))
+            docs.append((i, f"{before}\n{joined}\n{after}"))
+            want[i] = (len(before) + 1, len(before) + 1 + len(joined), len(inside), 2 * k, i % 2 == 1)
+    poem = "\n".join(" ".join(other(9)) for _ in range(8))
+    docs += [(100, poem), (101, poem)]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).where("kind = 1").collect()
+    want |= {i: (0, len(poem), 72, 100, i > 100) for i in (100, 101)}
+    assert {g.doc_id: (g.start, g.end, g.n_words, g.first_doc, g.removed) for g in got} == want and len(got) == len(want)
+
+
+def test_equal_lines_are_left_to_their_rows(spark):
+    r = random.Random(7)
+    other = lambda n: " ".join("w%d" % r.randrange(10**9) for _ in range(n))
+    line = other(80)
+    docs = [(i, f"{other(4)}\n{line}\n{other(30)}") for i in range(5)]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((g.doc_id, g.kind, g.n_words, g.removed) for g in got) == [(i, 0, 80, i > 0) for i in range(5)]
+
+
+def test_common_runs_against_brute_force():
+    r = np.random.default_rng(3)
+    block = r.integers(0, 9, 30).astype(np.uint64)
+    for _ in range(30):
+        h, g = (np.concatenate([r.integers(0, 9, r.integers(40)), *[block] * r.integers(2, 6), r.integers(0, 9, r.integers(40))]).astype(np.uint64) for _ in range(2))
+        at = [(p, q) for p in range(len(h) - P.PIECE + 1) for q in range(len(g) - P.PIECE + 1) if (h[p : p + P.PIECE] == g[q : q + P.PIECE]).all()]
+        whole = set()
+        for p, q in at:
+            a, b = p, p
+            while a and q - p + a and h[a - 1] == g[a - 1 + q - p]:
+                a -= 1
+            while b < len(h) and b + q - p < len(g) and h[b] == g[b + q - p]:
+                b += 1
+            whole.add((a, b))
+        longest = lambda x: {s for s in x if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in x)}
+        got = P.common_runs(h, g, at)
+        assert longest({(a, b) for a, b, _ in got}) == longest(whole)
+        assert all((h[a:b] == g[f : f + b - a]).all() for a, b, f in got)
