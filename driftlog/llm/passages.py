@@ -11,8 +11,6 @@ anchors, and the shared words around the anchor are followed to both sides as fa
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +29,6 @@ BANDS, ROWS = 8, 2
 PIECE, WINDOW = 25, 26
 #: Members of a bucket that one tile verifies against as many others.
 TILE = 2048
-WORD = re.compile("[^\x20\x09-\x0D]+")
 #: A line, or with a null body a text that has anchors; short: some of its words are in lines of fewer than the least words.
 UNIT = "doc_id long, row long, start long, end long, n_words long, node long, keys array<bigint>, anchors array<bigint>, places array<bigint>, body string, short boolean"
 
@@ -253,9 +250,17 @@ def common_runs(h: np.ndarray, g: np.ndarray, at: list[tuple[int, int]]) -> list
     return sorted((a, b, f) for (a, b), f in found.items())
 
 
+def word_spans(t: str) -> np.ndarray:
+    """Start and end of each word, in code points."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.zeros(len(c) + 2, np.int8)
+    word[1:-1] = (c != 0x20) & ((c < 0x09) | (c > 0x0D))
+    return np.flatnonzero(np.diff(word)).reshape(-1, 2)
+
+
 def line_around(t: str, s: int, e: int) -> str | None:
     """The line that holds t[s:e], if one does."""
-    if "\n" in t[s:e]:
+    if t.find("\n", s, e) >= 0:
         return None
     end = t.find("\n", e)
     return t[t.rfind("\n", 0, s) + 1 : end if end >= 0 else len(t)]
@@ -271,8 +276,11 @@ def stretches(hits: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         cache = HashCache()
-        hashes = lambda t: np.array([cache[w] for w in t.encode("utf-8", "surrogatepass").lower().split()], np.uint64)
-        spans = lambda t: [m.span() for m in WORD.finditer(t)]
+
+        def hashes(t):
+            w = t.encode("utf-8", "surrogatepass").lower().split()
+            return np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+
         last = g = y = None
         for b in batches:
             out, source = [], []
@@ -285,12 +293,12 @@ def stretches(hits: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
                 pairs = at[i].values
                 runs = common_runs(h, g, list(zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist())))
                 if runs:
-                    y = y or spans(f_body[i])
-                    x = y if node[i] == last else spans(body[i])
+                    y = word_spans(f_body[i]) if y is None else y
+                    x = y if node[i] == last else word_spans(body[i])
                     for a, e, f in runs:
-                        here, there = (x[a][0], x[e - 1][1]), (y[f][0], y[f + e - a - 1][1])
+                        here, there = ((int(z[k][0]), int(z[k + e - a - 1][1])) for z, k in ((x, a), (y, f)))
                         line = line_around(body[i], *here)
-                        if line is None or line != line_around(f_body[i], *there) or len(WORD.findall(line)) < least:
+                        if line is None or line != line_around(f_body[i], *there) or len(line.encode("utf-8", "surrogatepass").split()) < least:
                             out.append((node[i], a, *here, e - a, f_node[i], f, f + e - a, *there))
                             source.append(i)
             cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
