@@ -380,12 +380,13 @@ _KEPT: dict[int, Lattices] = {}
 
 
 def kept_lattices(pieces: list[str], kinds: list[int], reuse: bool) -> Lattices:
-    """One model's lattices, kept by a worker for its next task if reuse is asked for; else its trie alone."""
+    """One model's lattices, kept by a worker for its next task if reuse is asked for; else its trie alone, and few lattices
+    at a time."""
     model = xxhash.xxh64_intdigest("\n".join(pieces).encode() + bytes(kinds))
     if model not in _KEPT:
         _KEPT.clear()
         _KEPT[model] = Lattices(Vocabulary(pieces, kinds))
-    return _KEPT[model] if reuse else Lattices(_KEPT[model].vocab)
+    return _KEPT[model] if reuse else Lattices(_KEPT[model].vocab, 25_000)
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, reuse: bool = True) -> DataFrame:
@@ -399,7 +400,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
     not looked at; an empty table gives an empty result.
 
     With reuse a Python worker keeps its lattices, some 100 MB, for its next task, which saves building them anew; without,
-    it holds none when a task has ended, which leaves the memory to other stages of one session.
+    it takes shorter runs of texts, holds the lattices of 25,000 words and a run's at most, and none when a task has ended,
+    which leaves the memory to other stages of one session. The result is the same.
 
     The model is a merge list: its scores are ranks and no probabilities, and it is not trained here. A piece's probability
     is taken from its rank by a Zipf-Mandelbrot law.
@@ -412,7 +414,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
         lat = kept_lattices(*shared.value, reuse)
         for b in batches:
             ids_in, texts_in = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts_in, 600_000):
+            for lo, hi in slices(texts_in, 600_000 if reuse else 150_000):
                 part = [t or "" for t in texts_in[lo:hi]]
                 words = [UNIT.findall(" " + t) if t else [] for t in part]
                 keys = [xxhash.xxh64_intdigest(b"" if i is None else str(i).encode(), 5) for i in ids_in[lo:hi]]

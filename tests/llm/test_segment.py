@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from driftlog.llm.queries import PIECE_MODEL
-from driftlog.llm.segment import UNIT, Lattices, Vocabulary, load_model, piece_ids, sample_segmentations, search
+from driftlog.llm.segment import UNIT, Lattices, Vocabulary, kept_lattices, load_model, piece_ids, sample_segmentations, search
 
 TINY = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "▁ab", "aa"] + [f"<0x{i:02X}>" for i in range(256)]
 KINDS = [2] + [0] * 8 + [1] * 256
@@ -80,3 +80,14 @@ def test_speed_unit():
     lat = Lattices(vocab)
     (t,) = search(lat, [UNIT.findall(" " + "word and another word " * 500)], [1], 2)
     assert len(t.samples) == 2
+
+
+def test_few_lattices_without_reuse(spark, rows):
+    model = load_model(PIECE_MODEL)
+    lat = kept_lattices(*model, reuse=False)
+    for lo in range(0, 60_000, 10_000):
+        lat.starts([f" w{i}" for i in range(lo, lo + 10_000)])
+        assert len(lat.start) <= 35_000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (Counter(str(r) for r in sample_segmentations(df, PIECE_MODEL, 3, reuse=x).collect()) for x in (True, False))
+    assert a == b
