@@ -1,13 +1,16 @@
 """A hierarchical Pitman-Yor bigram model with Gibbs-sampled seating.
 
-Contexts are the most frequent words, one restaurant each; rarer words share restaurants by their ending, and the start
-of a text has its own. Dishes are the most frequent words and, for all others, their class (again by the ending). All
-context restaurants share one parent, the root restaurant, whose base is uniform over the dishes. A rare word is then
-drawn from its class, a Pitman-Yor process with a diffuse base: there each type sits at one table, and the mass of a new
-table is that of an unseen word, the one type beyond the V known ones.
-
-So the state that is sampled is bounded by contexts x dishes, whatever the corpus; it is sampled on the driver. What
-grows, the counts of rare words and the texts' rare tokens, is counted and joined on executors.
+Upper restaurants: the most frequent words and the start of a text have one each, all others share one with the words of
+their ending. Their dishes are the most frequent words and, for all others, their class (again by the ending). All have one
+parent, the root restaurant, whose base is uniform over the dishes. A rare word is then drawn from its class, a Pitman-Yor
+process with a diffuse base: there each type sits at one table, and the mass of a new table is that of an unseen word, the
+one type beyond the V known ones. This state is bounded by contexts x dishes, whatever the corpus; it is sampled on the driver.
+
+Lower restaurants hold every other pair of words, so each pair of the corpus has a cell of its own: each rarer word is a
+context with all words for dishes, over its ending's restaurant; each frequent context has, for each class, one with the
+class's words for dishes, over the class. They grow with the corpus and are sampled on executors, each whole in one task.
+Their tables are the customers of what lies over them. They are seated twice: over the words' frequencies, for the
+customers that they send up, and then over the sampled upper restaurants, for the scores.
 
 Customers of a dish in a restaurant are exchangeable, so its seating is the histogram of its table sizes. Tables of
 more than J customers are pooled: their number and customers are exact, only how often one falls back to J is estimated.
@@ -21,11 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import held_out, materialize
+from driftlog.llm.common import discard, held_out, materialize
 
 CONTEXTS, DISHES, CLASSES, LISTED = 384, 6144, 64, 200_000
 J = 8
 UNLISTED = 1 << 63
+SPLIT, UPPER = 1 << 40, 1 << 50
+LOWER_MOVES = 3
 END = b"\n"  # no word: words hold no white space
 
 
@@ -115,6 +120,15 @@ def part_of(table: DataFrame, level: Column, room: int) -> Column:
     return level & (F.shiftright("h", 51) < end)
 
 
+def classes_of(table: DataFrame, h: np.ndarray) -> np.ndarray:
+    """The class of each of these words."""
+    wanted = table.sparkSession.createDataFrame(pa.table({"h": pa.array(h, pa.int64())}), "h long")
+    found = table.join(F.broadcast(wanted), "h", "left_semi").select("h", "cls").toArrow()
+    have, k = found.column("h").to_numpy(), found.column("cls").to_numpy().astype(np.int64)
+    order = np.argsort(have)
+    return k[order][np.searchsorted(have[order], h)]
+
+
 class Codes(dict):
     """Word -> its rank if it is listed, else its hash with bit 63 set; remembers a bounded number of words."""
 
@@ -170,9 +184,31 @@ def parts(texts, most: int = 3_000_000):
         yield lo, len(texts)
 
 
-def cell_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFrame:
-    """(cell, c): how often each dish follows in each restaurant; tasks sum up a matrix of fixed size."""
+def lower_pairs(c: np.ndarray, u: np.ndarray, dish: np.ndarray, k: np.ndarray, contexts: int, dishes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose pair has no cell in the upper restaurants, their lower restaurants, all tokens' words. A lower restaurant
+    is its context's code, or, from SPLIT on, the frequent context and the class."""
+    frequent = (u < contexts) | (u == contexts + CLASSES)
+    at = np.flatnonzero(~frequent | (c >= dishes))
+    w = c.view(np.int64)
+    before = np.empty_like(w)
+    before[1:], before[:1] = w[:-1], 0
+    return at, np.where(frequent[at], SPLIT + u[at] * CLASSES + k[at], before[at]), w
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of the keys starts; equal ones lie together."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def pair_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFrame:
+    """(g, w, cell, c), partial sums: how often each word follows in each lower restaurant; from UPPER on g stands for an upper
+    restaurant of a frequent context and w for its dish, which tasks sum up in a matrix of fixed size."""
     width = dishes + CLASSES
+    names = ["g", "w", "cell", "c"]
 
     def run(batches):
         codes, classes = Codes(shared.value[0]), Classes()
@@ -180,15 +216,154 @@ def cell_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFra
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in parts(texts):
-                u, d = restaurants_and_dishes(*encode(texts[lo:hi], codes, classes), contexts, dishes)
-                at, n = np.unique(u * width + d, return_counts=True)
-                total[at] += n.astype(np.int32)
+                c, k, off = encode(texts[lo:hi], codes, classes)
+                u, dish = restaurants_and_dishes(c, k, off, contexts, dishes)
+                cell = u * width + dish
+                x, n = np.unique(cell[(u < contexts) | (u == contexts + CLASSES)], return_counts=True)
+                total[x] += n.astype(np.int32)
+                at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
+                w, cell = w[at], cell[at]
+                order = np.lexsort((w, g))
+                g, w, cell = g[order], w[order], cell[order]
+                new = runs_of(g, w)
+                n = np.diff(np.append(new, len(g)))
+                for i in range(0, len(new), 100_000):
+                    x = new[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(g[x]), pa.array(w[x]), pa.array(cell[x].astype(np.int32)), pa.array(n[i : i + 100_000].astype(np.int64))], names)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 100_000):
             x = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(total[x].astype(np.int64))], ["cell", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(UPPER + x // width), pa.array(x % width), pa.array(x.astype(np.int32)), pa.array(total[x].astype(np.int64))], names)
+
+    return train.select("text").mapInArrow(run, "g long, w long, cell int, c long")
+
+
+def whole_restaurants(batches, least: int = 400_000):
+    """Columns as arrays, in pieces of `least` rows and more that end where a restaurant, the column g, ends; rows are sorted by g."""
+    kept, size, enough = [], 0, least
+    for b in batches:
+        kept.append(b)
+        size += b.num_rows
+        if size < enough:
+            continue
+        t = pa.Table.from_batches(kept)
+        g = t.column("g").to_numpy()
+        end = int(np.searchsorted(g, g[-1]))
+        if end:
+            yield {n: t.column(n).slice(0, end) for n in t.column_names}
+        kept = t.slice(end).combine_chunks().to_batches()
+        size = t.num_rows - end
+        enough = max(least, 2 * size)
+    if size:
+        t = pa.Table.from_batches(kept)
+        yield {n: t.column(n) for n in t.column_names}
+
+
+def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> DataFrame:
+    """(kind, key, t) from pair_counts: kind 0, customers of each upper cell; 1 and 2, tables of each listed word (by rank) and
+    of each other word (by hash) in lower restaurants, if it is no dish; 3, lower cells of one and of two customers."""
+    width = dishes + CLASSES
+    names = ["kind", "key", "t"]
 
-    return train.select("text").mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    def run(batches):
+        count, n_all, class_n, mean, d = start.value
+        cells, words, ones = np.zeros(restaurants * width, np.int64), np.zeros(len(count), np.int64), np.zeros(3, np.int64)
+
+        def out(kind, key, t):
+            for lo in range(0, len(key), 100_000):
+                x = key[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(t[lo : lo + 100_000].astype(np.int64))], names)
+
+        for cols in whole_restaurants(batches):
+            g, w, cell, c = (cols[n].to_numpy() for n in ("g", "w", "cell", "c"))
+            new = runs_of(g, w)
+            g, w, cell, c = g[new], w[new], cell[new].astype(np.int64), np.add.reduceat(c, new)
+            low = g < UPPER
+            np.add.at(cells, cell[~low], c[~low])
+            g, w, cell, c = g[low], w[low], cell[low], c[low]
+            if not len(g):
+                continue
+            ones += np.bincount(np.minimum(c, 3), minlength=4)[1:]
+            dish = cell % width
+            k, rare = np.maximum(dish - dishes, 0), dish >= dishes
+            base = np.where(w >= 0, count[np.maximum(w, 0)] if len(count) else 0, mean[k])
+            base = base / np.where(g >= SPLIT, class_n[k], n_all)
+            starts = runs_of(g)
+            u = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
+            seats = Seating(u, c, len(starts), d, 1.0, np.random.default_rng(abs(int(g[0]))))
+            seats.begin(base)
+            seats.sweep(base, moves=LOWER_MOVES)
+            t = seats.tables()
+            shared = g < SPLIT
+            np.add.at(cells, cell[shared], t[shared])
+            at = rare & (w >= 0)
+            np.add.at(words, w[at], t[at])
+            at = np.flatnonzero(w < 0)
+            order = at[np.argsort(w[at])]
+            new = runs_of(w[order])
+            if len(order):
+                yield from out(2, w[order][new] & (UNLISTED - 1), np.add.reduceat(t[order], new))
+        for kind, x in ((0, cells), (1, words), (3, ones)):
+            yield from out(kind, np.flatnonzero(x), x[np.flatnonzero(x)])
+
+    grouped = pairs.repartition(F.col("g")).sortWithinPartitions("g", "w")
+    return grouped.mapInArrow(run, "kind int, key long, t long").groupBy("kind", "key").agg(F.sum("t").alias("t"))
+
+
+def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: int = 2) -> DataFrame:
+    """(row, known, base, score) to be summed up by row: what a text's lower pairs add to its upper score. pairs: row, g, w,
+    cell, n (times in the row, negative if held out), and for unlisted words their count c and tables t.
+
+    A pair's probability is own + mass * p over its parent's p; the upper score has p already, so log10(mass + own / p) is added.
+    """
+    width = dishes + CLASSES
+    names = ["row", "known", "base", "score"]
+
+    def run(batches):
+        m = model.value
+        for cols in whole_restaurants(batches):
+            row, g, w, cell, n = (cols[x].to_numpy() for x in ("row", "g", "w", "cell", "n"))
+            new = runs_of(g, w)
+            pair = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(g))))
+            c = np.add.reduceat(np.maximum(n, 0).astype(np.int64), new)
+            g, w, cell = g[new], w[new], cell[new].astype(np.int64)
+            count, t = (cols[x].fill_null(0).to_numpy()[new] for x in ("c", "t"))
+            listed = w >= 0
+            t[listed] = m["tables"][w[listed]]
+            u, dish = cell // width, cell % width
+            k, rare = np.maximum(dish - dishes, 0), dish >= dishes
+            inside = np.where(t > 0, t - m["disc"][k], m["fresh"][k]) / m["norm"][k]
+            p = np.where(g >= SPLIT, 1.0, m["prob"][u, dish]) * np.where(rare, inside, 1.0)
+            starts = runs_of(g)
+            at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
+            seen = np.flatnonzero(c)
+            own, mass = lower_model(at[seen], c[seen], len(starts), p[seen], m["d"], burn, samples, abs(int(g[0])))
+            ratio = mass[at]
+            ratio[seen] += own / p[seen]
+            add = np.log10(ratio) + np.where(listed, 0.0, np.log10(inside))
+            base = np.where(listed, 0.0, np.log10((count + 0.5) / m["z"]))
+            known = (~listed & (count > 0)).astype(np.int64)
+            n = np.abs(n).astype(np.int64)
+            for lo in range(0, len(row), 100_000):
+                i, x = pair[lo : lo + 100_000], n[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (row[lo : lo + 100_000], x * known[i], x * base[i], x * add[i])], names)
+
+    grouped = pairs.repartition(F.col("g")).sortWithinPartitions("g", "w")
+    return grouped.mapInArrow(run, "row long, known long, base double, score double")
+
+
+def lower_model(u: np.ndarray, c: np.ndarray, restaurants: int, p: np.ndarray, d: float, burn: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's own probability and each restaurant's mass for its parent, averaged over states of the Gibbs sampler."""
+    seats = Seating(u, c, restaurants, d, 1.0, np.random.default_rng(seed))
+    seats.begin(p)
+    own, mass = np.zeros(len(c)), np.zeros(restaurants)
+    for s in range(burn + samples):
+        seats.sweep(p, moves=LOWER_MOVES)
+        if s >= burn:
+            x, y = seats.kept()
+            own += x
+            mass += y
+    return own / samples, mass / samples
 
 
 # Seating
@@ -340,7 +515,10 @@ class Seating:
 
 
 def discount(c: np.ndarray) -> float:
-    one, two = int((c == 1).sum()), int((c == 2).sum())
+    return discount_of(int((c == 1).sum()), int((c == 2).sum()))
+
+
+def discount_of(one: float, two: float) -> float:
     return float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.9))
 
 
@@ -386,71 +564,101 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows whose crc32(doc_id) mod 5 is 1 are held out; all others' whole texts are counted. A null text is empty: its one
     token is the end. A null id counts as the empty text in the hash and stays null. Equal rows get equal scores; an
     empty table gives an empty result. Counts of the `listed` most frequent words, a fixed number, are broadcast; other
-    words meet their counts in a join, after each text's equal words have been summed up.
+    words meet their counts in a join. Every pair of words has a cell: in an upper restaurant, on the driver, if both are
+    frequent, else in a lower one, in a task.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    train = d.where(~held_out(F.col("doc_id"), mod))
+    d = d.withColumn("held", held_out(F.col("doc_id"), mod))
+    train = d.where(~F.col("held"))
     table = materialize(word_table(train), "words")
-    n_all, v_all = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_all, v_all, one, two = table.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c"), F.lit(1), (F.col("c") == 1).cast("int"), (F.col("c") == 2).cast("int")))).first()
     top_h, top_c = most_frequent(table, listed)
+    top_k = classes_of(table, top_h)
     shared = spark.sparkContext.broadcast(({h: i for i, h in enumerate(top_h.tolist())},))
-    cells = cell_counts(train, shared, contexts, dishes).toArrow()
     width, restaurants = dishes + CLASSES, contexts + CLASSES + 1
-    prob = sample_model(cells.column("cell").to_numpy(), cells.column("c").to_numpy(), restaurants, width)
-    common = top_h[:dishes].tolist()
-    rare = table.join(F.broadcast(spark.createDataFrame([(h,) for h in common], "h long")), "h", "left_anti")
-    stats = {r.cls: r for r in rare.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("int")).alias("one"), F.sum((F.col("c") == 2).cast("int")).alias("two")).collect()}
-    disc, norm, fresh = np.full(CLASSES, 0.5), np.ones(CLASSES), np.ones(CLASSES)
-    for k, r in stats.items():
-        disc[k] = np.clip(r.one / max(r.one + 2 * r.two, 1), 0.1, 0.9)
-        norm[k], fresh[k] = 1.0 + r.n, 1.0 + disc[k] * r.v
+    class_n, class_v = np.zeros((2, CLASSES))
+    for r in table.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        class_n[r.cls], class_v[r.cls] = r.n, r.v
+    mean = (class_n - np.bincount(top_k, top_c, CLASSES)) / np.maximum(class_v - np.bincount(top_k, minlength=CLASSES), 1)
+    class_n -= np.bincount(top_k[:dishes], top_c[:dishes], CLASSES)
+    start = spark.sparkContext.broadcast((top_c, n_all, class_n, mean, discount_of(one, two)))
+    sent = materialize(lower_tables(pair_counts(train, shared, contexts, dishes), start, restaurants, dishes), "tables")
+    cells = sent.where("kind = 0").select("key", "t").toArrow()
+    prob = sample_model(cells.column("key").to_numpy(), cells.column("t").to_numpy(), restaurants, width)
+    by_rank = sent.where("kind = 1").select("key", "t").toArrow()
+    top_t = np.zeros(len(top_h), np.int64)
+    top_t[by_rank.column("key").to_numpy()] = by_rank.column("t").to_numpy()
+    ones = {r.key: r.t for r in sent.where("kind = 3").collect()}
+    # a rare word has as many customers in its class as it has tables in lower restaurants
+    unlisted = materialize(table.join(sent.where("kind = 2").select(F.col("key").alias("h"), "t"), "h"), "unlisted")
+    discard(table), discard(sent)
+    n, v, once, twice = np.zeros((4, CLASSES))
+    for r in unlisted.groupBy("cls").agg(F.sum("t").alias("n"), F.count("*").alias("v"), F.sum((F.col("t") == 1).cast("int")).alias("one"), F.sum((F.col("t") == 2).cast("int")).alias("two")).collect():
+        n[r.cls], v[r.cls], once[r.cls], twice[r.cls] = r.n, r.v, r.one, r.two
+    t = top_t[dishes:]
+    for x, y in ((n, t), (v, t > 0), (once, t == 1), (twice, t == 2)):
+        x += np.bincount(top_k[dishes:], y, CLASSES)
+    disc = np.array([discount_of(x, y) if z else 0.5 for x, y, z in zip(once, twice, v)])
+    norm, fresh = 1.0 + n, 1.0 + disc * v
     z = n_all + 0.5 * (v_all + 1)
-    model = spark.sparkContext.broadcast((np.log10(np.maximum(prob, 1e-300)).astype(np.float32), np.log10((top_c + 0.5) / z), top_c, disc, norm))
+    prob = np.maximum(prob, 1e-300)
+    model = spark.sparkContext.broadcast((np.log10(prob).astype(np.float32), np.log10((top_c + 0.5) / z), top_t, disc, norm))
+    lower = spark.sparkContext.broadcast({"prob": prob, "tables": top_t, "disc": disc, "norm": norm, "fresh": fresh, "z": z, "d": discount_of(ones.get(0, 0), ones.get(1, 0))})
 
-    def run(batches):
-        log_p, log_base, count, disc, norm = model.value
+    def encoded(batches):
         codes, classes = Codes(shared.value[0]), Classes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts, held = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in parts(texts):
                 c, k, off = encode(texts[lo:hi], codes, classes)
-                u, dish = restaurants_and_dishes(c, k, off, contexts, dishes)
-                s = log_p[u, dish].astype(np.float64)
-                known = c < UNLISTED
-                at = np.flatnonzero(known)
-                i = c[at].astype(np.int64)
-                base = np.zeros(len(c))
-                base[at] = log_base[i]
-                more = at[i >= dishes]  # listed, but with a class for a dish
-                j = c[more].astype(np.int64)
-                s[more] += np.log10((count[j] - disc[k[more]]) / norm[k[more]])
-                sums = [np.add.reduceat(x, off[:-1]) for x in (s, base, known.astype(np.int64))]
-                rows = [xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids[lo:hi], texts[lo:hi])]
-                n = hi - lo
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                whole = [rows, ids[lo:hi], [None] * n, [None] * n, np.diff(off), sums[2], sums[1], sums[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(whole, kinds)], NAMES)
-                at = np.flatnonzero(~known)
-                if len(at):
-                    text_of = np.repeat(np.arange(n), np.diff(off))[at]
-                    order = np.lexsort((c[at], text_of))
-                    at, text_of = at[order], text_of[order]
-                    new = np.flatnonzero(np.concatenate(([True], (c[at][1:] != c[at][:-1]) | (text_of[1:] != text_of[:-1]))))
-                    times = np.diff(np.append(new, len(at)))
-                    h = (c[at][new] & np.uint64(UNLISTED - 1)).astype(np.int64)
-                    m = len(new)
-                    rare = [np.array(rows)[text_of[new]], pa.nulls(m, pa.int64()), h, k[at][new].astype(np.int32), times, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())]
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, y) for x, y in zip(rare, kinds)], NAMES)
-
-    both = materialize(d.mapInArrow(run, SCHEMA), "lm")
-    cell = lambda x: F.element_at(F.array(*(F.lit(float(y)) for y in x)), F.col("cls") + 1)
-    lookup = both.where("h is not null").join(table.select("h", "c"), "h", "left")
-    n, cnt = F.col("n"), F.coalesce("c", F.lit(0))
-    inside = F.when(cnt > 0, cnt - cell(disc)).otherwise(cell(fresh)) / cell(norm)
-    found = lookup.select("row", F.when(cnt > 0, n).otherwise(0).alias("known"), (n * F.log10((cnt + 0.5) / F.lit(z))).alias("base"), (n * F.log10(inside)).alias("score"))
+                rows = np.array([xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids[lo:hi], texts[lo:hi])])
+                yield ids[lo:hi], rows, np.where(held[lo:hi], -1, 1), c, k, off, *restaurants_and_dishes(c, k, off, contexts, dishes)
+
+    def pairs_of(rows, sign, c, k, off, u, dish, wanted):
+        """row, g, w, cell, n of the wanted tokens' lower pairs, each once a row."""
+        at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
+        text_of = np.repeat(np.arange(len(rows)), np.diff(off))
+        keep = wanted[at]
+        at, g = at[keep], g[keep]
+        w, text_of = w[at], text_of[at]
+        order = np.lexsort((w, g, text_of))
+        at, g, w, text_of = at[order], g[order], w[order], text_of[order]
+        new = runs_of(text_of, g, w)
+        n = np.diff(np.append(new, len(at))) * sign[text_of[new]]
+        at, x = at[new], text_of[new]
+        return rows[x], g[new], w[new], (u[at] * width + dish[at]).astype(np.int32), n.astype(np.int32)
+
+    def upper(batches):
+        log_p, log_base, tables, disc, norm = model.value
+        for ids, rows, sign, c, k, off, u, dish in encoded(batches):
+            s = log_p[u, dish].astype(np.float64)
+            known = c < UNLISTED
+            at = np.flatnonzero(known)
+            i = c[at].astype(np.int64)
+            base = np.zeros(len(c))
+            base[at] = log_base[i]
+            more = at[i >= dishes]  # listed, but with a class for a dish
+            s[more] += np.log10((tables[c[more].astype(np.int64)] - disc[k[more]]) / norm[k[more]])
+            sums = [np.add.reduceat(x, off[:-1]) for x in (s, base, known.astype(np.int64))]
+            whole = [rows, ids, None, None, None, np.diff(off), sums[2], sums[1], sums[0]]
+            pairs = pairs_of(rows, sign, c, k, off, u, dish, ~known)
+            for columns, m in (whole, len(rows)), ([pairs[0], None, *pairs[1:], None, None, None], len(pairs[0])):
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, y) if x is None else pa.array(x, y) for x, y in zip(columns, KINDS)], NAMES)
+
+    def listed_pairs(batches):
+        for _, rows, sign, c, k, off, u, dish in encoded(batches):
+            columns = pairs_of(rows, sign, c, k, off, u, dish, c < UNLISTED)
+            for lo in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in columns], ["row", "g", "w", "cell", "n"])
+
+    both = materialize(d.mapInArrow(upper, SCHEMA), "lm")
+    lookup = both.where("g is not null").select("row", "g", "w", "cell", F.col("n").cast("int").alias("n"), F.col("w").bitwiseAND(UNLISTED - 1).alias("h"))
+    lookup = lookup.join(unlisted.select("h", "c", "t"), "h", "left").drop("h")
+    pairs = d.mapInArrow(listed_pairs, "row long, g long, w long, cell int, n int").withColumn("c", F.lit(None).cast("long")).withColumn("t", F.lit(None).cast("long"))
+    found = score_lower(pairs.unionByName(lookup), lower, dishes)
     found = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))
-    own = both.where("h is null").select("row", "known", "base", "score", F.lit(1).cast("long").alias("copies"), "doc_id", "n")
+    own = both.where("g is null").select("row", "known", "base", "score", F.lit(1).cast("long").alias("copies"), "doc_id", "n")
     total = own.unionByName(found).groupBy("row").agg(F.sum("copies").alias("copies"), F.max("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     # equal rows share a key: their sums are shared out, and each comes out again
     each = total.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -458,5 +666,6 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return each.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score"))
 
 
-NAMES = ["row", "doc_id", "h", "cls", "n", "known", "base", "score"]
-SCHEMA = "row long, doc_id long, h long, cls int, n long, known long, base double, score double"
+NAMES = ["row", "doc_id", "g", "w", "cell", "n", "known", "base", "score"]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+SCHEMA = "row long, doc_id long, g long, w long, cell int, n long, known long, base double, score double"

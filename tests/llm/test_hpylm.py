@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from driftlog.llm.hpylm import J, Seating, most_frequent, sample_model, train_and_score
+from driftlog.llm.hpylm import CLASSES, J, SPLIT, UNLISTED, Seating, lower_model, most_frequent, sample_model, score_lower, train_and_score, whole_restaurants
 
 
 def partitions(n, most=None):
@@ -131,3 +131,75 @@ def test_most_frequent_with_ties(spark):
         want = sorted(((-c, h) for h, _, c in rows))[:most]
         got = list(zip((-c).tolist(), h.tolist()))
         assert got == want[: len(got)] and len(want) - len(got) <= 8
+
+
+def test_rare_pairs_have_cells(spark):
+    """Words past every limit, of one class and equally frequent: only a cell of their own tells pairs apart."""
+    n = 12
+    train = [(i, " ".join(f"w{i % n}zz v{i % n}zz" for _ in range(3))) for i in range(400)]
+    held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 5 == 1][: 2 * n]
+    seen = [(held[j], f"w{j}zz v{j}zz") for j in range(n)]
+    unseen = [(held[n + j], f"w{j}zz v{(j + 1) % n}zz") for j in range(n)]
+    df = spark.createDataFrame(train + seen + unseen, "doc_id long, text string")
+    for listed in (2, 10, 100):
+        got = {r.doc_id: r.score for r in train_and_score(df, contexts=1, dishes=1, listed=listed).collect()}
+        # v follows w always: a ninth of the class's probability, or less, goes to any other
+        assert min(got[i] for i, _ in seen) > max(got[i] for i, _ in unseen) + 0.9
+
+
+def test_lower_restaurants_sum_to_one(spark):
+    """One held-out occurrence of each word in each lower restaurant: the probabilities sum up to one."""
+    dishes, contexts, r = 3, 2, np.random.default_rng(3)
+    width, k = dishes + CLASSES, 5
+    count = np.array([90, 70, 50, 8, 7, 6, 0, 0])  # ranks 0-2 dishes, 3-5 listed; two unlisted words, the last one unseen
+    code = [0, 1, 2, 3, 4, 5, 11 - UNLISTED, 12 - UNLISTED]
+    tables, other = np.array([0, 0, 0, 4, 3, 2]), {6: 2, 7: 0}
+    prob = r.dirichlet(np.ones(width), contexts + CLASSES + 1)
+    prob[:, dishes:] = 0
+    prob[:, dishes + k] = 1 - prob[:, :dishes].sum(axis=1)
+    disc, v, n = np.full(CLASSES, 0.4), 4, 11
+    norm, fresh = np.full(CLASSES, 1.0 + n), np.full(CLASSES, 1 + 0.4 * v)
+    m = {"prob": prob, "tables": tables, "disc": disc, "norm": norm, "fresh": fresh, "z": 300.0, "d": 0.6}
+    rows, row, upper = [], 0, {}
+    # a rare context with every word, an unseen context, a frequent context's class with the class's words
+    for g, u, words, seen in ((4, contexts + k, range(8), True), (5, contexts + k, range(8), False), (SPLIT + 1 * CLASSES + k, 1, range(3, 8), True)):
+        for w in words:
+            dish = w if w < dishes else dishes + k
+            extra = (int(count[w]) or None, other[w] or None) if w >= 6 else (None, None)
+            if seen and w in (1, 3, 4, 6):
+                rows.append((-1 - row, g, code[w], u * width + dish, int(r.integers(1, 30)), *extra))
+            rows.append((row, g, code[w], u * width + dish, -1, *extra))
+            t = tables[w] if w < 6 else other[w]
+            inside = 1 if w < dishes else (t - 0.4 if t else fresh[0]) / norm[0]
+            upper[row] = g, (inside if w < 6 else 1) * (1 if g >= SPLIT else prob[u, dish])
+            row += 1
+
+    class Shared:
+        value = m
+
+    df = spark.createDataFrame(rows, "row long, g long, w long, cell int, n int, c long, t long")
+    total = Counter()
+    for x in score_lower(df, Shared, dishes).collect():
+        if x.row >= 0:
+            total[upper[x.row][0]] += upper[x.row][1] * 10**x.score
+    assert all(abs(p - 1) < 1e-9 for p in total.values()) and len(total) == 3
+
+
+@pytest.mark.parametrize("c", [2, 5])
+def test_lower_model_against_enumeration(c):
+    """One cell in each restaurant: the mean of own against the exact distribution of tables."""
+    n, d, p0 = 30000, 0.6, 0.2
+    own, mass = lower_model(np.arange(n), np.full(n, c), n, np.full(n, p0), d, 10, 2, 1)
+    mean = sum(t * p for t, p in exact_tables(c, d, 1.0, p0).items())
+    assert abs(own.mean() - (c - d * mean) / (1 + c)) < 3e-3 and np.allclose(own + mass, 1)
+
+
+def test_whole_restaurants():
+    import pyarrow as pa
+
+    g = np.repeat(np.arange(40), np.random.default_rng(0).integers(1, 90, 40))
+    t = pa.table({"g": g, "x": np.arange(len(g))})
+    for least, size in ((1, 7), (50, 7), (100, 1000), (10**6, 11)):
+        parts = [p["g"].to_numpy() for p in whole_restaurants(iter(t.to_batches(max_chunksize=size)), least)]
+        assert (np.concatenate(parts) == g).all() and all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
+    assert not list(whole_restaurants(iter(())))
