@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import discard, held_out, materialize
+from driftlog.llm.common import discard, held_out, materialize, mix
 
 CONTEXTS, DISHES, CLASSES, LISTED = 384, 6144, 64, 200_000
 J = 8
 UNLISTED = 1 << 63
 SPLIT, UPPER = 1 << 40, 1 << 50
 LOWER_MOVES = 3
+BUCKET = 500_000  # training tokens for each part of the lower restaurants
 END = b"\n"  # no word: words hold no white space
 
 
@@ -204,11 +206,57 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pair_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFrame:
-    """(g, w, cell, c), partial sums: how often each word follows in each lower restaurant; from UPPER on g stands for an upper
-    restaurant of a frequent context and w for its dish, which tasks sum up in a matrix of fixed size."""
+CODEC = "zstd"
+LENGTHS = 3  # of a block's header: restaurants, pairs, rows
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which packs well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def blocks(buckets: int, g: np.ndarray, u: np.ndarray, w: np.ndarray, k: np.ndarray, n: np.ndarray, row: np.ndarray | None = None):
+    """(bucket, block) of pairs: all of a lower restaurant are in one bucket. Equal pairs (of a row) are summed up."""
+    bucket = bucket_of(g, buckets)
+    order = np.lexsort((w, g, bucket) if row is None else (row, w, g, bucket))
+    g, u, w, k, n, bucket = (x[order] for x in (g, u, w, k, n, bucket))
+    row = None if row is None else row[order]
+    new = runs_of(g, w) if row is None else runs_of(g, w, row)
+    n = np.add.reduceat(n, new) if len(n) else n
+    g, u, w, k, bucket = (x[new] for x in (g, u, w, k, bucket))
+    row = None if row is None else row[new]
+    ends = [*runs_of(bucket).tolist(), len(g)]
+    for lo, hi in zip(ends, ends[1:]):
+        x = slice(lo, hi)
+        starts = runs_of(g[x])
+        rows, at = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if row is None else np.unique(row[x], return_inverse=True)
+        header = np.array([len(starts), hi - lo, len(rows)], np.int32)
+        columns = (g[x][starts], u[x][starts].astype(np.int16), np.diff(np.append(starts, hi - lo)).astype(np.int32), w[x], k[x].astype(np.int8), n[x].astype(np.int32), rows, at.astype(np.int32))
+        yield int(bucket[lo]), header.tobytes() + pa.compress(b"".join(map(planes, columns)), CODEC, asbytes=True)
+
+
+def unpack(block: bytes):
+    """g, u, w, k, n of a block's pairs, their rows (none if the block has none)."""
+    a, m, r = np.frombuffer(block[: 4 * LENGTHS], np.int32).tolist()
+    kinds = [(np.int64, a), (np.int16, a), (np.int32, a), (np.int64, m), (np.int8, m), (np.int32, m), (np.int64, r), (np.int32, m if r else 0)]
+    raw = pa.decompress(block[4 * LENGTHS :], sum(np.dtype(t).itemsize * n for t, n in kinds), CODEC, asbytes=True)
+    out, at = [], 0
+    for t, n in kinds:
+        size = np.dtype(t).itemsize
+        out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).reshape(n))
+        at += n * size
+    g, u, runs, w, k, n, rows, i = out
+    return np.repeat(g, runs), np.repeat(u, runs).astype(np.int64), w, k.astype(np.int64), n.astype(np.int64), rows[i]
+
+
+def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(g.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def pair_counts(train: DataFrame, shared, contexts: int, dishes: int, buckets: int) -> DataFrame:
+    """(bucket, block), partial sums: how often each word follows in each lower restaurant; from UPPER on g stands for an
+    upper restaurant of a frequent context and w for its dish, which tasks sum up in a matrix of fixed size."""
     width = dishes + CLASSES
-    names = ["g", "w", "cell", "c"]
 
     def run(batches):
         codes, classes = Codes(shared.value[0]), Classes()
@@ -218,45 +266,43 @@ def pair_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFra
             for lo, hi in parts(texts):
                 c, k, off = encode(texts[lo:hi], codes, classes)
                 u, dish = restaurants_and_dishes(c, k, off, contexts, dishes)
-                cell = u * width + dish
-                x, n = np.unique(cell[(u < contexts) | (u == contexts + CLASSES)], return_counts=True)
+                x, n = np.unique((u * width + dish)[(u < contexts) | (u == contexts + CLASSES)], return_counts=True)
                 total[x] += n.astype(np.int32)
                 at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
-                w, cell = w[at], cell[at]
-                order = np.lexsort((w, g))
-                g, w, cell = g[order], w[order], cell[order]
-                new = runs_of(g, w)
-                n = np.diff(np.append(new, len(g)))
-                for i in range(0, len(new), 100_000):
-                    x = new[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[x]), pa.array(w[x]), pa.array(cell[x].astype(np.int32)), pa.array(n[i : i + 100_000].astype(np.int64))], names)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            x = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(UPPER + x // width), pa.array(x % width), pa.array(x.astype(np.int32)), pa.array(total[x].astype(np.int64))], names)
-
-    return train.select("text").mapInArrow(run, "g long, w long, cell int, c long")
-
-
-def whole_restaurants(batches, least: int = 400_000):
-    """Columns as arrays, in pieces of `least` rows and more that end where a restaurant, the column g, ends; rows are sorted by g."""
-    kept, size, enough = [], 0, least
+                yield batch_of(blocks(buckets, g, u[at], w[at], k[at], np.ones(len(at), np.int64)))
+        x = np.flatnonzero(total)
+        for lo in range(0, len(x), 500_000):
+            y = x[lo : lo + 500_000]
+            u, dish = y // width, y % width
+            yield batch_of(blocks(buckets, UPPER + u, u, dish, np.zeros_like(u), total[y].astype(np.int64)))
+
+    def batch_of(found):
+        found = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
+
+    return train.select("text").mapInArrow(run, "bucket int, block binary")
+
+
+def whole_buckets(batches):
+    """Rows of each bucket as a table; rows are sorted by bucket."""
+    kept = []
     for b in batches:
-        kept.append(b)
-        size += b.num_rows
-        if size < enough:
-            continue
-        t = pa.Table.from_batches(kept)
-        g = t.column("g").to_numpy()
-        end = int(np.searchsorted(g, g[-1]))
-        if end:
-            yield {n: t.column(n).slice(0, end) for n in t.column_names}
-        kept = t.slice(end).combine_chunks().to_batches()
-        size = t.num_rows - end
-        enough = max(least, 2 * size)
-    if size:
-        t = pa.Table.from_batches(kept)
-        yield {n: t.column(n) for n in t.column_names}
+        x = b.column("bucket").to_numpy()
+        ends = [*runs_of(x).tolist(), len(x)]
+        for lo, hi in zip(ends, ends[1:]):
+            if kept and kept[0].column("bucket")[0].as_py() != x[lo]:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(b.slice(lo, hi - lo))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def pairs_in(t: pa.Table) -> list[np.ndarray]:
+    """g, u, w, k, n, row of all blocks of a bucket."""
+    found = [unpack(x) for x in t.column("block").drop_null().to_pylist()]
+    kinds = [np.int64] * 6
+    return [np.concatenate([np.zeros(0, y), *x]) for x, y in zip(zip(*found) if found else [()] * 6, kinds)]
 
 
 def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> DataFrame:
@@ -274,10 +320,14 @@ def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> Data
                 x = key[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(t[lo : lo + 100_000].astype(np.int64))], names)
 
-        for cols in whole_restaurants(batches):
-            g, w, cell, c = (cols[n].to_numpy() for n in ("g", "w", "cell", "c"))
+        for bucket in whole_buckets(batches):
+            g, u, w, k, c, _ = pairs_in(bucket)
+            order = np.lexsort((w, g))
+            g, u, w, k, c = (x[order] for x in (g, u, w, k, c))
             new = runs_of(g, w)
-            g, w, cell, c = g[new], w[new], cell[new].astype(np.int64), np.add.reduceat(c, new)
+            g, u, w, k, c = g[new], u[new], w[new], k[new], np.add.reduceat(c, new)
+            dish = np.where((w >= 0) & (w < dishes) | (g >= UPPER), w, dishes + k)
+            cell = u * width + dish
             low = g < UPPER
             np.add.at(cells, cell[~low], c[~low])
             g, w, cell, c = g[low], w[low], cell[low], c[low]
@@ -306,32 +356,37 @@ def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> Data
         for kind, x in ((0, cells), (1, words), (3, ones)):
             yield from out(kind, np.flatnonzero(x), x[np.flatnonzero(x)])
 
-    grouped = pairs.repartition(F.col("g")).sortWithinPartitions("g", "w")
+    grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return grouped.mapInArrow(run, "kind int, key long, t long").groupBy("kind", "key").agg(F.sum("t").alias("t"))
 
 
 def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: int = 2) -> DataFrame:
-    """(row, known, base, score) to be summed up by row: what a text's lower pairs add to its upper score. pairs: row, g, w,
-    cell, n (times in the row, negative if held out), and for unlisted words their count c and tables t.
+    """(row, known, base, score) to be summed up by row: what a text's lower pairs add to its upper score. pairs: bucket, and a
+    block of pairs of listed words, or one pair of another word: row, g, u, w, k, n, the word's count c and tables t. n:
+    times in the row, negative if held out.
 
     A pair's probability is own + mass * p over its parent's p; the upper score has p already, so log10(mass + own / p) is added.
     """
-    width = dishes + CLASSES
     names = ["row", "known", "base", "score"]
 
     def run(batches):
         m = model.value
-        for cols in whole_restaurants(batches):
-            row, g, w, cell, n = (cols[x].to_numpy() for x in ("row", "g", "w", "cell", "n"))
+        for bucket in whole_buckets(batches):
+            g, u, w, k, n, row = pairs_in(bucket)
+            alone = bucket.filter(pc.is_null(bucket.column("block")))
+            one = [alone.column(x).to_numpy() for x in ("g", "u", "w", "k", "n", "row")]
+            g, u, w, k, n, row = (np.concatenate([x, y]) for x, y in zip((g, u, w, k, n, row), one))
+            count, t = (np.concatenate([np.zeros(len(g) - len(alone), np.int64), alone.column(x).fill_null(0).to_numpy()]) for x in ("c", "t"))
+            order = np.lexsort((w, g))
+            g, u, w, k, n, row, count, t = (x[order] for x in (g, u, w, k, n, row, count, t))
             new = runs_of(g, w)
             pair = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(g))))
             c = np.add.reduceat(np.maximum(n, 0).astype(np.int64), new)
-            g, w, cell = g[new], w[new], cell[new].astype(np.int64)
-            count, t = (cols[x].fill_null(0).to_numpy()[new] for x in ("c", "t"))
+            g, u, w, k, count, t = (x[new] for x in (g, u, w, k, count, t))
             listed = w >= 0
             t[listed] = m["tables"][w[listed]]
-            u, dish = cell // width, cell % width
-            k, rare = np.maximum(dish - dishes, 0), dish >= dishes
+            rare = ~listed | (w >= dishes)
+            dish = np.where(rare, dishes + k, w)
             inside = np.where(t > 0, t - m["disc"][k], m["fresh"][k]) / m["norm"][k]
             p = np.where(g >= SPLIT, 1.0, m["prob"][u, dish]) * np.where(rare, inside, 1.0)
             starts = runs_of(g)
@@ -343,12 +398,12 @@ def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: in
             add = np.log10(ratio) + np.where(listed, 0.0, np.log10(inside))
             base = np.where(listed, 0.0, np.log10((count + 0.5) / m["z"]))
             known = (~listed & (count > 0)).astype(np.int64)
-            n = np.abs(n).astype(np.int64)
-            for lo in range(0, len(row), 100_000):
-                i, x = pair[lo : lo + 100_000], n[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (row[lo : lo + 100_000], x * known[i], x * base[i], x * add[i])], names)
+            n = np.abs(n)
+            rows, i = np.unique(row, return_inverse=True)
+            sums = [np.bincount(i, n * x[pair]) for x in (known, base, add)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
 
-    grouped = pairs.repartition(F.col("g")).sortWithinPartitions("g", "w")
+    grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return grouped.mapInArrow(run, "row long, known long, base double, score double")
 
 
@@ -583,7 +638,8 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mean = (class_n - np.bincount(top_k, top_c, CLASSES)) / np.maximum(class_v - np.bincount(top_k, minlength=CLASSES), 1)
     class_n -= np.bincount(top_k[:dishes], top_c[:dishes], CLASSES)
     start = spark.sparkContext.broadcast((top_c, n_all, class_n, mean, discount_of(one, two)))
-    sent = materialize(lower_tables(pair_counts(train, shared, contexts, dishes), start, restaurants, dishes), "tables")
+    buckets = n_all // BUCKET + 1
+    sent = materialize(lower_tables(pair_counts(train, shared, contexts, dishes, buckets), start, restaurants, dishes), "tables")
     cells = sent.where("kind = 0").select("key", "t").toArrow()
     prob = sample_model(cells.column("key").to_numpy(), cells.column("t").to_numpy(), restaurants, width)
     by_rank = sent.where("kind = 1").select("key", "t").toArrow()
@@ -615,20 +671,6 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 rows = np.array([xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids[lo:hi], texts[lo:hi])])
                 yield ids[lo:hi], rows, np.where(held[lo:hi], -1, 1), c, k, off, *restaurants_and_dishes(c, k, off, contexts, dishes)
 
-    def pairs_of(rows, sign, c, k, off, u, dish, wanted):
-        """row, g, w, cell, n of the wanted tokens' lower pairs, each once a row."""
-        at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
-        text_of = np.repeat(np.arange(len(rows)), np.diff(off))
-        keep = wanted[at]
-        at, g = at[keep], g[keep]
-        w, text_of = w[at], text_of[at]
-        order = np.lexsort((w, g, text_of))
-        at, g, w, text_of = at[order], g[order], w[order], text_of[order]
-        new = runs_of(text_of, g, w)
-        n = np.diff(np.append(new, len(at))) * sign[text_of[new]]
-        at, x = at[new], text_of[new]
-        return rows[x], g[new], w[new], (u[at] * width + dish[at]).astype(np.int32), n.astype(np.int32)
-
     def upper(batches):
         log_p, log_base, tables, disc, norm = model.value
         for ids, rows, sign, c, k, off, u, dish in encoded(batches):
@@ -641,22 +683,34 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             more = at[i >= dishes]  # listed, but with a class for a dish
             s[more] += np.log10((tables[c[more].astype(np.int64)] - disc[k[more]]) / norm[k[more]])
             sums = [np.add.reduceat(x, off[:-1]) for x in (s, base, known.astype(np.int64))]
-            whole = [rows, ids, None, None, None, np.diff(off), sums[2], sums[1], sums[0]]
-            pairs = pairs_of(rows, sign, c, k, off, u, dish, ~known)
-            for columns, m in (whole, len(rows)), ([pairs[0], None, *pairs[1:], None, None, None], len(pairs[0])):
+            whole = [rows, ids, None, None, None, None, None, np.diff(off), sums[2], sums[1], sums[0]]
+            at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
+            un = ~known[at]
+            at, g = at[un], g[un]
+            text_of, w = np.repeat(np.arange(len(rows)), np.diff(off))[at], w[at]
+            order = np.lexsort((w, g, text_of))
+            at, g, w, text_of = at[order], g[order], w[order], text_of[order]
+            new = runs_of(text_of, g, w)
+            n = np.diff(np.append(new, len(at))) * sign[text_of[new]]
+            at, g = at[new], g[new]
+            pairs = [rows[text_of[new]], None, bucket_of(g, buckets), g, u[at], w[new], k[at], n, None, None, None]
+            for columns, m in (whole, len(rows)), (pairs, len(at)):
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, y) if x is None else pa.array(x, y) for x, y in zip(columns, KINDS)], NAMES)
 
     def listed_pairs(batches):
         for _, rows, sign, c, k, off, u, dish in encoded(batches):
-            columns = pairs_of(rows, sign, c, k, off, u, dish, c < UNLISTED)
-            for lo in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in columns], ["row", "g", "w", "cell", "n"])
+            at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
+            keep = c[at] < UNLISTED
+            at, g = at[keep], g[keep]
+            text_of = np.repeat(np.arange(len(rows)), np.diff(off))[at]
+            found = list(blocks(buckets, g, u[at], w[at], k[at], sign[text_of], rows[text_of]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
 
     both = materialize(d.mapInArrow(upper, SCHEMA), "lm")
-    lookup = both.where("g is not null").select("row", "g", "w", "cell", F.col("n").cast("int").alias("n"), F.col("w").bitwiseAND(UNLISTED - 1).alias("h"))
+    lookup = both.where("g is not null").select("row", "bucket", "g", "u", "w", "k", "n", F.col("w").bitwiseAND(UNLISTED - 1).alias("h"))
     lookup = lookup.join(unlisted.select("h", "c", "t"), "h", "left").drop("h")
-    pairs = d.mapInArrow(listed_pairs, "row long, g long, w long, cell int, n int").withColumn("c", F.lit(None).cast("long")).withColumn("t", F.lit(None).cast("long"))
-    found = score_lower(pairs.unionByName(lookup), lower, dishes)
+    pairs = d.mapInArrow(listed_pairs, "bucket int, block binary")
+    found = score_lower(pairs.unionByName(lookup, allowMissingColumns=True), lower, dishes)
     found = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))
     own = both.where("g is null").select("row", "known", "base", "score", F.lit(1).cast("long").alias("copies"), "doc_id", "n")
     total = own.unionByName(found).groupBy("row").agg(F.sum("copies").alias("copies"), F.max("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
@@ -666,6 +720,6 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return each.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score"))
 
 
-NAMES = ["row", "doc_id", "g", "w", "cell", "n", "known", "base", "score"]
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-SCHEMA = "row long, doc_id long, g long, w long, cell int, n long, known long, base double, score double"
+NAMES = ["row", "doc_id", "bucket", "g", "u", "w", "k", "n", "known", "base", "score"]
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+SCHEMA = "row long, doc_id long, bucket int, g long, u long, w long, k long, n long, known long, base double, score double"

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from driftlog.llm.hpylm import CLASSES, J, SPLIT, UNLISTED, Seating, lower_model, most_frequent, sample_model, score_lower, train_and_score, whole_restaurants
+from driftlog.llm.hpylm import CLASSES, J, SPLIT, UNLISTED, Seating, blocks, lower_model, most_frequent, sample_model, score_lower, train_and_score, unpack, whole_buckets
 
 
 def partitions(n, most=None):
@@ -177,7 +177,12 @@ def test_lower_restaurants_sum_to_one(spark):
     class Shared:
         value = m
 
-    df = spark.createDataFrame(rows, "row long, g long, w long, cell int, n int, c long, t long")
+    listed = [x for x in rows if x[2] >= 0]
+    column = lambda i: np.array([x[i] for x in listed])
+    cell = column(3)
+    packed = blocks(1, column(1), cell // width, column(2), np.maximum(cell % width - dishes, 0), column(4), column(0))
+    others = [(b, None, row, g, cell // width, w, cell % width - dishes, n, c, t) for b, (row, g, w, cell, n, c, t) in ((0, x) for x in rows if x[2] < 0)]
+    df = spark.createDataFrame([(b, bytearray(x), *[None] * 8) for b, x in packed] + others, "bucket int, block binary, row long, g long, u long, w long, k long, n long, c long, t long")
     total = Counter()
     for x in score_lower(df, Shared, dishes).collect():
         if x.row >= 0:
@@ -194,12 +199,30 @@ def test_lower_model_against_enumeration(c):
     assert abs(own.mean() - (c - d * mean) / (1 + c)) < 3e-3 and np.allclose(own + mass, 1)
 
 
-def test_whole_restaurants():
+def test_blocks():
+    r = np.random.default_rng(0)
+    n = 4000
+    g, w = r.choice([-(1 << 63) + 5, -7, 3, 9, 400, SPLIT + 77], n), r.choice([-9, 0, 5, 199_999, -(1 << 62)], n)
+    u, k, times, row = g % 400, w % CLASSES, r.choice([-2, -1, 40_000], n), r.integers(-(1 << 63), 1 << 63, 300)[r.integers(0, 300, n)]
+    for rows in (row, None):
+        want, seen = Counter(), {}
+        for x in zip(g.tolist(), u.tolist(), w.tolist(), k.tolist(), times.tolist(), row.tolist() if rows is not None else [0] * n):
+            want[(*x[:4], x[5])] += x[4]
+        got = Counter()
+        for bucket, b in blocks(4, g, u, w, k, times, rows):
+            *pair, c, back = unpack(b)
+            for x in zip(*(y.tolist() for y in pair), back.tolist() if rows is not None else [0] * len(c), c.tolist()):
+                assert x[:-1] not in got and seen.setdefault(x[0], bucket) == bucket
+                got[x[:-1]] = x[-1]
+        assert got == want
+    assert not list(blocks(4, *(np.zeros(0, np.int64) for _ in range(5))))
+
+
+def test_whole_buckets():
     import pyarrow as pa
 
-    g = np.repeat(np.arange(40), np.random.default_rng(0).integers(1, 90, 40))
-    t = pa.table({"g": g, "x": np.arange(len(g))})
-    for least, size in ((1, 7), (50, 7), (100, 1000), (10**6, 11)):
-        parts = [p["g"].to_numpy() for p in whole_restaurants(iter(t.to_batches(max_chunksize=size)), least)]
-        assert (np.concatenate(parts) == g).all() and all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
-    assert not list(whole_restaurants(iter(())))
+    x = np.repeat(np.arange(40), np.random.default_rng(0).integers(1, 90, 40)).astype(np.int32)
+    for size in (1, 7, 1000, 10**6):
+        parts = [t.column("bucket").to_numpy() for t in whole_buckets(iter(pa.table({"bucket": x}).to_batches(max_chunksize=size)))]
+        assert (np.concatenate(parts) == x).all() and [p[0] for p in parts] == list(range(40)) and all((p == p[0]).all() for p in parts)
+    assert not list(whole_buckets(iter(())))
