@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftlog.llm.common import HashCache, discard, fresh, materialize, mix
+from driftlog.llm.common import HashCache, discard, fresh, frugal, materialize, mix
 
 WORD = re.compile(r"\w+")
 SEED = 4
@@ -90,7 +90,7 @@ def item_seeds(benchmark: DataFrame, seed: int = SEED, rare: int = RARE, floor:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip((words, sizes, found), kinds))], ["item_id", "words", "size", "seeds"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    items = materialize(items.mapInArrow(run, "item_id long, words array<string>, size int, seeds array<bigint>"), "items")
+    items = materialize(items.mapInArrow(frugal(run), "item_id long, words array<string>, size int, seeds array<bigint>"), "items")
     held = materialize(items.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")), "seeds")
     one = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     by = W.partitionBy("item").orderBy("n")
@@ -148,7 +148,7 @@ def find_passages(docs: DataFrame, items: list, doc_id: str, text: str, seed: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item", "first", "passage"])
 
     schema = "doc_id long, item long, first long, passage string"
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(frugal(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, seed: int = SEED) -> DataFrame:
@@ -209,7 +209,7 @@ def pairs_of(passages: DataFrame, items: list, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
     spread = passages.repartition(F.xxhash64("doc_id", "item", "first"))
-    return spread.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+    return spread.mapInArrow(frugal(run), "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

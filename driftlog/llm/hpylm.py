@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import discard, held_out, materialize, mix
+from driftlog.llm.common import discard, frugal, held_out, materialize, mix
 
 CONTEXTS, DISHES, CLASSES, LISTED = 384, 6144, 64, 200_000
 J = 8
@@ -86,7 +86,7 @@ def word_table(train: DataFrame) -> DataFrame:
                     yield t.batch()
         yield t.batch()
 
-    return train.select("text").mapInArrow(run, "h long, cls int, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(frugal(run), "h long, cls int, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def pair_counts(train: DataFrame, shared, contexts: int, dishes: int, buckets: i
         found = list(found)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
 
-    return train.select("text").mapInArrow(run, "bucket int, block binary")
+    return train.select("text").mapInArrow(frugal(run), "bucket int, block binary")
 
 
 def whole_buckets(batches):
@@ -357,7 +357,7 @@ def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> Data
             yield from out(kind, np.flatnonzero(x), x[np.flatnonzero(x)])
 
     grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return grouped.mapInArrow(run, "kind int, key long, t long").groupBy("kind", "key").agg(F.sum("t").alias("t"))
+    return grouped.mapInArrow(frugal(run), "kind int, key long, t long").groupBy("kind", "key").agg(F.sum("t").alias("t"))
 
 
 def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: int = 2) -> DataFrame:
@@ -404,7 +404,7 @@ def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: in
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
 
     grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return grouped.mapInArrow(run, "row long, known long, base double, score double")
+    return grouped.mapInArrow(frugal(run), "row long, known long, base double, score double")
 
 
 def lower_model(u: np.ndarray, c: np.ndarray, restaurants: int, p: np.ndarray, d: float, burn: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -706,10 +706,10 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             found = list(blocks(buckets, g, u[at], w[at], k[at], sign[text_of], rows[text_of]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
 
-    both = materialize(d.mapInArrow(upper, SCHEMA), "lm")
+    both = materialize(d.mapInArrow(frugal(upper), SCHEMA), "lm")
     lookup = both.where("g is not null").select("row", "bucket", "g", "u", "w", "k", "n", F.col("w").bitwiseAND(UNLISTED - 1).alias("h"))
     lookup = lookup.join(unlisted.select("h", "c", "t"), "h", "left").drop("h")
-    pairs = d.mapInArrow(listed_pairs, "bucket int, block binary")
+    pairs = d.mapInArrow(frugal(listed_pairs), "bucket int, block binary")
     found = score_lower(pairs.unionByName(lookup, allowMissingColumns=True), lower, dishes)
     found = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))
     own = both.where("g is null").select("row", "known", "base", "score", F.lit(1).cast("long").alias("copies"), "doc_id", "n")

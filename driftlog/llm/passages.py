@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from driftlog.llm.common import HashCache, discard, materialize, mix, ngram_hashes
+from driftlog.llm.common import HashCache, discard, frugal, materialize, mix, ngram_hashes
 from driftlog.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -145,7 +145,7 @@ def units(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
             if texts:
                 yield from flush()
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, UNIT)
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(frugal(run), UNIT)
 
 
 def buckets(lines: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def verified_links(members: DataFrame, bodies: DataFrame, threshold: float, tile
         out = list(link(nodes, texts, cache))
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
-    return m.select("node", "tile", "body").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "src long, dst long")
+    return m.select("node", "tile", "body").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(frugal(run), "src long, dst long")
 
 
 def with_order(lines: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def stretches(hits: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
             cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, b.column(2).take(pa.array(source, pa.int64()))], [*names, "first"])
 
-    all_ = both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(run, kinds)
+    all_ = both.select("node", "f_node", "first", "at", "body", "f_body").mapInArrow(frugal(run), kinds)
     # an anchor at a passage's end may be none in the text that holds the passage first, so it has another first holder
     longer = W.partitionBy("node").orderBy("a", F.desc("n"), "first").rowsBetween(W.unboundedPreceding, -1)
     return all_.withColumn("past", F.max(F.col("a") + F.col("n")).over(longer)).where("past is null or past < a + n").drop("past")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import mix, slices
+from driftlog.llm.common import frugal, mix, portions
 
 META = "▁"
 UNIT = re.compile(f" *[^ {META}]+|{META}| +")
@@ -45,6 +46,8 @@ EMPTY = np.uint64(2**64 - 1)
 #: -log of the smallest exponential variate that a 53-bit uniform number gives, rounded up.
 REACH = 38.0
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+STRIDE = np.uint64(0xD1342543DE82EF95)
+FIRST = 1024  # edges of a text that get their variates at once
 
 
 class Vocabulary:
@@ -150,7 +153,7 @@ class Lattices:
         return -1 - self.spell[code]
 
     def add(self, units: list[str]) -> None:
-        v, size = self.vocab, np.array([len(u) for u in units])
+        v, size = self.vocab, np.fromiter(map(len, units), np.int64, len(units))
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         end = np.repeat(np.cumsum(size), size)
         literal = code == ord(META)
@@ -211,17 +214,19 @@ class Lattices:
         by_node[node], sizes[node] = lead + edge, per
         for c, x in ((self._first, by_node), (self._size, sizes), (self._q, q), (self._cum, cum), (self._to, base + to), (self._piece, piece)):
             c.extend(x)
-        for u, s in zip(units, (base + np.cumsum(size) - size + np.arange(len(units))).tolist()):
-            self.start[u] = s
+        self.start.update(zip(units, (base + np.cumsum(size) - size + np.arange(len(units))).tolist()))
         self.view()
 
     def starts(self, units: list[str]) -> np.ndarray:
         if len(self.start) > self.limit:
             self.clear()
-        missing = list(set(units).difference(self.start))
-        if missing:
-            self.add(missing)
-        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+        out = np.fromiter(map(self.start.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            self.add(list(dict.fromkeys(new)))
+            out[missing] = np.fromiter(map(self.start.__getitem__, new), np.int64, len(new))
+        return out
 
     def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One random path from each node to its word's end: edges, and offsets by path. seed: one number per path."""
@@ -256,7 +261,24 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def truncated(loc: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def mix_one(h: int) -> int:
+    """mix() of one number."""
+    h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & 0xFFFFFFFFFFFFFFFF
+    return h ^ (h >> 33)
+
+
+def within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of the runs of these sizes."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def spread(bases: list[int], size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each place of each run, from the run's base."""
+    return np.repeat(np.array(bases, np.uint64), size) + place.astype(np.uint64) * STRIDE
+
+
+def truncated(loc: np.ndarray, top, u: np.ndarray) -> np.ndarray:
     """Gumbel variates at loc, each given that it is below top."""
     with np.errstate(over="ignore", divide="ignore"):
         return np.where(np.isneginf(loc), -np.inf, loc - np.log(np.exp(np.minimum(loc - top, 700.0)) - np.log(u)))
@@ -266,43 +288,43 @@ class Text:
     """The search for one text: its words' start nodes, its queue, its samples so far."""
 
     def __init__(self, nodes: np.ndarray, key: int):
-        self.nodes, self.key, self.queue, self.count = nodes, np.uint64(key), [], 0
+        self.nodes, self.key, self.queue, self.count = nodes, int(key), [], 0
         self.samples: list[tuple[np.ndarray, float]] = []
 
-    def seeds(self, n: int, tag: int) -> np.ndarray:
-        base = np.uint64((int(self.key) + tag * 0x9E3779B97F4A7C15) % 2**64)
-        return mix(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    def base(self, tag: int) -> int:
+        return (self.key + tag * 0x9E3779B97F4A7C15) % 2**64
 
-    def numbers(self, n: int, tag: int) -> np.ndarray:
-        """In (0, 1); the first ones do not depend on n."""
-        base = np.uint64((int(self.key) + tag * 0x9E3779B97F4A7C15) % 2**64)
-        return uniform(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    def number(self, tag: int) -> float:
+        """In (0, 1)."""
+        return ((mix_one(mix_one(self.base(tag))) >> 11) + 0.5) * 2.0**-53
 
-    def begin(self) -> tuple[np.ndarray, np.ndarray]:
-        self.pending = (float(-np.log(-np.log(uniform(self.seeds(1, 1))[0]))), np.zeros(0, np.int64), 0.0)
-        return self.nodes, self.seeds(len(self.nodes), 2)
+    def begin(self) -> tuple[np.ndarray, int]:
+        """What is to walk, and the tag of its random numbers."""
+        self.pending = (float(-np.log(-np.log(self.number(1)))), np.zeros(0, np.int64), 0.0)
+        return self.nodes, 2
 
-    def resume(self, lat: Lattices) -> tuple[np.ndarray, np.ndarray] | None:
+    def resume(self, lat: Lattices) -> tuple[np.ndarray, int] | None:
         """Take the best node of the queue, choose among its edges; what is left to walk, or None if the queue is empty."""
         if not self.queue:
             return None
         top, _, path, t, ex = heapq.heappop(self.queue)
         top, tag = -top, 16 + 4 * len(self.samples)
         node = self.node_of(lat, path, t)
-        free = [e for e in range(lat.first[node], lat.first[node] + lat.size[node]) if e not in ex]
+        first = int(lat.first[node])
+        free = [e for e in range(first, first + int(lat.size[node])) if e not in ex]
         w = np.cumsum(lat.q[free])
-        e = free[min(int(np.searchsorted(w, uniform(self.seeds(1, tag))[0] * w[-1], side="right")), len(free) - 1)]
+        e = free[min(int(np.searchsorted(w, self.number(tag) * w[-1], side="right")), len(free) - 1)]
         before = float(np.log(lat.q[path[:t]]).sum())
         left = lat.q[free].sum() - lat.q[e] if len(free) > 1 else 0.0
         if left > 0:
-            loc = np.array([before + np.log(left)])
-            g = truncated(loc, top, uniform(self.seeds(1, tag + 1)))[0]
+            loc = before + np.log(left)
+            g = loc - np.log(np.exp(min(loc - top, 700.0)) - np.log(self.number(tag + 1)))
             self.push(g, np.append(path[:t], e), t, (*ex, e))
         head = np.append(path[:t], e)
         self.pending = (top, head, before + float(np.log(lat.q[e])))
         word = self.word_of(lat, head)
         nodes = np.concatenate([[lat.to[e]], self.nodes[word + 1 :]]).astype(np.int64)
-        return nodes, self.seeds(len(nodes), tag + 2)
+        return nodes, tag + 2
 
     def push(self, g: float, path: np.ndarray, t: int, ex: tuple) -> None:
         if np.isfinite(g):
@@ -323,44 +345,72 @@ class Text:
         end = lat.to[path]
         return int((lat.size[end] == 0).sum()) - int(lat.size[end[-1]] == 0)
 
-    def finish(self, lat: Lattices, tail: np.ndarray, keep: int) -> None:
-        """Complete the pending node by the walked edges, and queue the best keep nodes that they passed by."""
+    def finish(self, lat: Lattices, tail: np.ndarray, log_q: np.ndarray, g: np.ndarray, keep: int) -> None:
+        """Complete the pending node by the walked edges, and queue the best keep nodes that they passed by. g: the variates
+        of the first ones."""
         top, head, phi = self.pending
-        path, tag = np.concatenate([head, tail]), 19 + 4 * len(self.samples)
+        path = np.concatenate([head, tail])
         if len(tail):
-            log_q = np.log(lat.q[tail])
-            n = min(len(tail), 1024)
             while True:
-                with np.errstate(divide="ignore"):
-                    loc = phi + np.concatenate([[0.0], np.cumsum(log_q[: n - 1])]) + np.log(lat.rest(tail[:n]))
-                g = truncated(loc, top, self.numbers(n, tag))
+                n = len(g)
                 best = np.argpartition(-g, keep)[:keep] if n > keep else np.arange(n)
                 # a variate is at most REACH above its location, and locations only fall: none further on can be better
                 if n == len(tail) or (n > keep and phi + log_q[:n].sum() + REACH < g[best].min()):
                     break
-                n = min(len(tail), 8 * n)
+                g = variates(lat, [self], tail, log_q, np.array([0, len(tail)]), 8 * n)
             for t in sorted(best.tolist()):
                 self.push(float(g[t]), path, len(head) + t, (int(tail[t]),))
             phi += float(log_q.sum())
         self.samples.append((path, phi))
 
 
+def variates(lat: Lattices, texts: list[Text], edges: np.ndarray, log_q: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """For the first edges of each text, at most `most`, the variates of the nodes that they passed by. Text i has
+    edges[ends[i]:ends[i + 1]]."""
+    size = np.minimum(np.diff(ends), most)
+    place = within(size)
+    before = np.zeros(len(place))
+    for a, n, x in zip(ends.tolist(), size.tolist(), (np.cumsum(size) - size).tolist()):
+        if n > 1:
+            np.cumsum(log_q[a : a + n - 1], out=before[x + 1 : x + n])
+    phi, top = (np.repeat([t.pending[i] for t in texts], size) for i in (2, 0))
+    with np.errstate(divide="ignore"):
+        loc = phi + before + np.log(lat.rest(edges[np.repeat(ends[:-1], size) + place]))
+    return truncated(loc, top, uniform(spread([t.base(19 + 4 * len(t.samples)) for t in texts], size, place)))
+
+
 def search(lat: Lattices, words: list[list[str]], keys: list[int], k: int) -> list[Text]:
-    """k samples of each text; all texts' walks of a round run together."""
+    """k samples of each text; all texts' walks of a round run together, and so do the variates along them."""
     flat = lat.starts([u for w in words for u in w])
     off = np.cumsum([0, *map(len, words)])
     texts = [Text(flat[off[i] : off[i + 1]], key) for i, key in enumerate(keys)]
     for r in range(k):
-        todo = [(t, w) for t in texts if (w := t.begin() if r == 0 else t.resume(lat)) is not None]
+        todo = [(t, *w) for t in texts if (w := t.begin() if r == 0 else t.resume(lat)) is not None]
         if not todo:
             break
-        edges, at = lat.walk(np.concatenate([w[0] for _, w in todo]), np.concatenate([w[1] for _, w in todo]))
-        ends = np.cumsum([0, *(len(w[0]) for _, w in todo)])
-        for (t, _), a, b in zip(todo, at[ends[:-1]], at[ends[1:]]):
-            t.finish(lat, edges[a:b], k + 1)  # k - 1 more pops and the threshold need no others
+        size = np.array([len(nodes) for _, nodes, _ in todo])
+        seeds = mix(spread([t.base(tag) for t, _, tag in todo], size, within(size)))
+        edges, at = lat.walk(np.concatenate([nodes for _, nodes, _ in todo]), seeds)
+        ends = at[np.concatenate([[0], np.cumsum(size)])]
+        log_q = np.log(lat.q[edges])
+        g = variates(lat, [t for t, *_ in todo], edges, log_q, ends, FIRST)
+        upto = np.cumsum([0, *np.minimum(np.diff(ends), FIRST).tolist()]).tolist()
+        for (t, *_), a, b, x, y in zip(todo, ends[:-1].tolist(), ends[1:].tolist(), upto, upto[1:]):
+            t.finish(lat, edges[a:b], log_q[a:b], g[x:y], k + 1)  # k - 1 more pops and the threshold need no others
     return texts
 
 
+def piece_runs(lat: Lattices, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all paths, and where each path's start."""
+    ends = np.cumsum([0, *map(len, paths)])
+    if not ends[-1]:
+        return np.zeros(0, np.int32), ends
+    path = np.concatenate(paths)
+    odd = np.flatnonzero(lat.piece[path] < 0)
+    more = np.array([len(lat.spelled[x]) - 1 for x in (-1 - lat.piece[path[odd]]).tolist()], np.int64)
+    return piece_ids(lat, path), ends + np.concatenate([[0], np.cumsum(more)])[np.searchsorted(odd, ends)]
+
+
 def piece_ids(lat: Lattices, path: np.ndarray) -> np.ndarray:
     ids = lat.piece[path]
     odd = np.flatnonzero(ids < 0)
@@ -413,30 +463,31 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, doc_id: str =
     def run(batches):
         lat = kept_lattices(*shared.value, reuse)
         for b in batches:
-            ids_in, texts_in = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts_in, 600_000 if reuse else 150_000):
-                part = [t or "" for t in texts_in[lo:hi]]
-                words = [UNIT.findall(" " + t) if t else [] for t in part]
-                keys = [xxhash.xxh64_intdigest(b"" if i is None else str(i).encode(), 5) for i in ids_in[lo:hi]]
-                rows = {n: [] for n in names}
-                runs, source = [], []
-                for i, t, s in zip(ids_in[lo:hi], part, search(lat, words, keys, k)):
-                    kappa = -s.queue[0][0] if s.queue else -np.inf
-                    for n, (path, phi) in enumerate(s.samples):
-                        ids = piece_ids(lat, path)
-                        runs.append(ids), source.append(t)
-                        rows["doc_id"].append(i), rows["sample"].append(n), rows["n_pieces"].append(len(ids)), rows["log_prob"].append(phi)
-                        with np.errstate(divide="ignore", over="ignore"):
-                            x = phi - kappa
-                            rows["log_inclusion"].append(float(x if x < -30 else np.log(-np.expm1(-np.exp(x)))))
-                        rows["ids_hash"].append(xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63))
-                back = lat.vocab.decode(np.concatenate(runs), np.cumsum([0, *map(len, runs)])) if runs else []
-                rows["round_trip"] = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, source)]
-                arrays = [pa.array(rows[n], y) for n, y in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()))]
-                if with_ids:
-                    ends = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
-                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(runs) if runs else [], pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            for part in portions(b, 1, 600_000 if reuse else 150_000):
+                yield sampled(lat, part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
+
+    def sampled(lat, doc_ids, texts):
+        words = [UNIT.findall(" " + t) if t else [] for t in texts]
+        keys = [xxhash.xxh64_intdigest(b"" if i is None else str(i).encode(), 5) for i in doc_ids]
+        rows = {n: [] for n in names}
+        paths, source = [], []
+        for i, t, s in zip(doc_ids, texts, search(lat, words, keys, k)):
+            kappa = -s.queue[0][0] if s.queue else -np.inf
+            for n, (path, phi) in enumerate(s.samples):
+                paths.append(path), source.append(t)
+                rows["doc_id"].append(i), rows["sample"].append(n), rows["log_prob"].append(phi)
+                with np.errstate(divide="ignore", over="ignore"):
+                    x = phi - kappa
+                    rows["log_inclusion"].append(float(x if x < -30 else np.log(-np.expm1(-np.exp(x)))))
+        ids, off = piece_runs(lat, paths)
+        rows["n_pieces"] = np.diff(off)
+        raw = memoryview(ids).cast("B")
+        rows["ids_hash"] = [xxhash.xxh64_intdigest(raw[4 * x : 4 * y]) - (1 << 63) for x, y in zip(off.tolist(), off[1:].tolist())]
+        rows["round_trip"] = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(lat.vocab.decode(ids, off), source)]
+        arrays = [pa.array(rows[n], y) for n, y in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()))]
+        if with_ids:
+            arrays.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)))
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, sample int, n_pieces long, log_prob double, log_inclusion double, ids_hash long, round_trip boolean"
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(frugal(run), schema + ", ids array<int>" * with_ids)

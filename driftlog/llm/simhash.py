@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import HashCache, discard, fresh, materialize, slices, words
+from driftlog.llm.common import HashCache, discard, fresh, frugal, materialize, portions, words
 from driftlog.llm.components import connected_components
 from driftlog.llm.passages import SHINGLE, THRESHOLD, band_keys, buckets, shingle_sets, verified_links
 
@@ -57,7 +57,7 @@ def add_fingerprint(df: DataFrame, text: str = "text", keep: dict[str, Column] |
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(fp.view(np.int64))], names)
 
     cols = [c.cast("long").alias(n) for n, c in keep.items()]
-    return df.select(*cols, F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return df.select(*cols, F.col(text).alias("_text")).mapInArrow(frugal(run), ", ".join(f"{n} long" for n in names))
 
 
 def exceeds(c: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -222,7 +222,7 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
             x, y, _, _ = flush(True)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["src", "dst"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "src long, dst long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -278,9 +278,8 @@ def with_sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         cache = HashCache()
         for b in batches:
-            texts = b.column(3).to_pylist()
-            for lo, hi in slices(texts):
-                sets = text_sets(texts[lo:hi], cache)
+            for part in portions(b, 3, 2_000_000):
+                sets = text_sets(part.column(3).to_pylist(), cache)
                 some = [i for i, x in enumerate(sets) if len(x)]
                 keys = np.zeros((len(sets), BANDS), np.int64)
                 if some:
@@ -288,10 +287,9 @@ def with_sets(rows: DataFrame) -> DataFrame:
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
                 fp = np.array([set_print(x) for x in sets], np.uint64).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                head = [b.column(i).slice(lo, hi - lo) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(node), pa.array(fp), listed], ["doc_id", "rid", "own", "node", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(node), pa.array(fp), listed], ["doc_id", "rid", "own", "node", "fp", "keys"])
 
-    return rows.select("doc_id", "rid", "own", "text").mapInArrow(run, "doc_id long, rid long, own long, node long, fp long, keys array<bigint>")
+    return rows.select("doc_id", "rid", "own", "text").mapInArrow(frugal(run), "doc_id long, rid long, own long, node long, fp long, keys array<bigint>")
 
 
 def meeting(members: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
@@ -321,7 +319,7 @@ def meeting(members: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         if held is not None and len(held[0]):
             yield met(held)
 
-    return m.select("fp", "tile", "bucket", "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "bucket long, node long").distinct()
+    return m.select("fp", "tile", "bucket", "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(frugal(run), "bucket long, node long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = WIDE, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from driftlog.llm import common
 from driftlog.llm.decontaminate import tokens
 from tests.llm.test_decontaminate import brute_sw
 from tests.llm.test_pii import brute as brute_pii
@@ -61,3 +63,25 @@ def test_empty_table_and_clashing_columns(spark, tmp_path):
             assert at.columns == df.columns
         assert at.count() == left
         assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).select("doc_id").distinct().count() == left
+
+
+def test_workers_hold_a_part_of_a_batch_and_give_memory_back(monkeypatch):
+    texts = [None, "", "a" * 10, "é" * 10, "b" * 90, "", "c", None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["i", "text"])
+    got = [p.column(1).to_pylist() for p in common.portions(b, 1, 32)]
+    assert sum(got, []) == texts and len(got) == 3
+    assert all(sum(len((t or "").encode()) for t in p) <= 32 or len([t for t in p if t]) == 1 for p in got)
+    assert not list(common.portions(b.slice(0, 0), 1, 32))
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    assert list(common.frugal(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and done == [1]
+
+
+def test_every_worker_of_the_pipeline_is_frugal(spark, tmp_path, monkeypatch):
+    seen = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, g=frame.mapInArrow, **k: seen.append(f.__name__) or g(self, f, *a, **k))
+    spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one item of seven words in all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert seen and set(seen) == {"tidy"}

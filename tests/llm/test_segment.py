@@ -5,6 +5,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
+from driftlog.llm import segment
 from driftlog.llm.queries import PIECE_MODEL
 from driftlog.llm.segment import UNIT, Lattices, Vocabulary, kept_lattices, load_model, piece_ids, sample_segmentations, search
 
@@ -91,3 +92,17 @@ def test_few_lattices_without_reuse(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     a, b = (Counter(str(r) for r in sample_segmentations(df, PIECE_MODEL, 3, reuse=x).collect()) for x in (True, False))
     assert a == b
+
+
+def test_texts_of_a_run_are_searched_together(monkeypatch):
+    vocab, calls = Vocabulary(TINY, KINDS), []
+    monkeypatch.setattr(segment, "uniform", lambda x, f=segment.uniform: calls.append(len(x)) or f(x))
+    texts = ["ab aab" * (1 + i % 7) + " ba" * (i % 5) for i in range(200)] + ["ab ba " * 3000, "", "b"]
+    words = [UNIT.findall(" " + t) if t else [] for t in texts]
+    together = search(Lattices(vocab), words, list(range(len(texts))), 3)
+    assert len(calls) < 200  # steps of the longest word and rounds, not some for each text
+    lat = Lattices(vocab)
+    for i in (0, 6, 40, 199, 200, 201, 202):
+        (alone,) = search(lat, [words[i]], [i], 3)
+        assert [phi for _, phi in alone.samples] == [phi for _, phi in together[i].samples]
+        assert [q[0] for q in alone.queue] == [q[0] for q in together[i].queue]
