@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.common import discard, frugal, held_out, materialize, mix
+from driftlog.llm.common import discard, frugal, held_out, materialize, mix, portions
 
 CONTEXTS, DISHES, CLASSES, LISTED = 384, 6144, 64, 200_000
 J = 8
@@ -33,6 +33,8 @@ UNLISTED = 1 << 63
 SPLIT, UPPER = 1 << 40, 1 << 50
 LOWER_MOVES = 3
 BUCKET = 500_000  # training tokens for each part of the lower restaurants
+PART = 3_000_000  # bytes of text encoded at a time
+SUMS = 1_000_000  # rows of sums that a task holds
 END = b"\n"  # no word: words hold no white space
 
 
@@ -175,17 +177,6 @@ def restaurants_and_dishes(c: np.ndarray, k: np.ndarray, off: np.ndarray, contex
     return u, dish
 
 
-def parts(texts, most: int = 3_000_000):
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def lower_pairs(c: np.ndarray, u: np.ndarray, dish: np.ndarray, k: np.ndarray, contexts: int, dishes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens whose pair has no cell in the upper restaurants, their lower restaurants, all tokens' words. A lower restaurant
     is its context's code, or, from SPLIT on, the frequent context and the class."""
@@ -262,9 +253,8 @@ def pair_counts(train: DataFrame, shared, contexts: int, dishes: int, buckets: i
         codes, classes = Codes(shared.value[0]), Classes()
         total = np.zeros((contexts + CLASSES + 1) * width, np.int32)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in parts(texts):
-                c, k, off = encode(texts[lo:hi], codes, classes)
+            for part in portions(b, 0, PART):
+                c, k, off = encode(part.column(0).to_pylist(), codes, classes)
                 u, dish = restaurants_and_dishes(c, k, off, contexts, dishes)
                 x, n = np.unique((u * width + dish)[(u < contexts) | (u == contexts + CLASSES)], return_counts=True)
                 total[x] += n.astype(np.int32)
@@ -369,7 +359,7 @@ def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: in
     """
     names = ["row", "known", "base", "score"]
 
-    def run(batches):
+    def sums_of(batches):
         m = model.value
         for bucket in whole_buckets(batches):
             g, u, w, k, n, row = pairs_in(bucket)
@@ -399,14 +389,41 @@ def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: in
             base = np.where(listed, 0.0, np.log10((count + 0.5) / m["z"]))
             known = (~listed & (count > 0)).astype(np.int64)
             n = np.abs(n)
-            rows, i = np.unique(row, return_inverse=True)
-            sums = [np.bincount(i, n * x[pair]) for x in (known, base, add)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names)
+            yield row, *(n * x[pair] for x in (known, base, add))
+
+    def run(batches):
+        for row, known, base, add in summed(sums_of(batches)):
+            for lo in range(0, len(row), 100_000):
+                x = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[x]), pa.array(known[x].astype(np.int64)), pa.array(base[x]), pa.array(add[x])], names)
 
     grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return grouped.mapInArrow(frugal(run), "row long, known long, base double, score double")
 
 
+def summed(found, most: int = SUMS):
+    """Sums by row of all of found (row, values, ...), each row once while a task's rows are at most half of `most`; of
+    more, rows come out as partial sums."""
+
+    def by_row(held):
+        row, *values = map(np.concatenate, zip(*held))
+        rows, i = np.unique(row, return_inverse=True)
+        return rows, *(np.bincount(i, x, len(rows)) for x in values)
+
+    held, size = [], 0
+    for x in found:
+        held.append(by_row([x]))
+        size += len(held[-1][0])
+        if size > most:
+            held = [by_row(held)]
+            size = len(held[0][0])
+            if size > most // 2:
+                yield held.pop()
+                size = 0
+    if held:
+        yield by_row(held)
+
+
 def lower_model(u: np.ndarray, c: np.ndarray, restaurants: int, p: np.ndarray, d: float, burn: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Each cell's own probability and each restaurant's mass for its parent, averaged over states of the Gibbs sampler."""
     seats = Seating(u, c, restaurants, d, 1.0, np.random.default_rng(seed))
@@ -665,11 +682,11 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def encoded(batches):
         codes, classes = Codes(shared.value[0]), Classes()
         for b in batches:
-            ids, texts, held = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in parts(texts):
-                c, k, off = encode(texts[lo:hi], codes, classes)
-                rows = np.array([xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids[lo:hi], texts[lo:hi])])
-                yield ids[lo:hi], rows, np.where(held[lo:hi], -1, 1), c, k, off, *restaurants_and_dishes(c, k, off, contexts, dishes)
+            for part in portions(b, 1, PART):
+                ids, texts, held = (part.column(i).to_pylist() for i in range(3))
+                c, k, off = encode(texts, codes, classes)
+                rows = np.array([xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids, texts)])
+                yield ids, rows, np.where(held, -1, 1), c, k, off, *restaurants_and_dishes(c, k, off, contexts, dishes)
 
     def upper(batches):
         log_p, log_base, tables, disc, norm = model.value

@@ -226,3 +226,16 @@ def test_whole_buckets():
         parts = [t.column("bucket").to_numpy() for t in whole_buckets(iter(pa.table({"bucket": x}).to_batches(max_chunksize=size)))]
         assert (np.concatenate(parts) == x).all() and [p[0] for p in parts] == list(range(40)) and all((p == p[0]).all() for p in parts)
     assert not list(whole_buckets(iter(())))
+
+
+def test_a_task_gives_one_row_of_sums_for_each_text():
+    from driftlog.llm.hpylm import summed
+
+    rng = np.random.default_rng(3)
+    found = [(rng.integers(0, 200, 500), rng.integers(0, 3, 500), rng.random(500)) for _ in range(40)]
+    for most, limit in ((10_000, 200), (1000, 200), (300, 200 * 40)):
+        got = [np.concatenate(x) for x in zip(*summed(iter(found), most))]
+        assert len(got[0]) <= limit
+        for k in (1, 2):
+            assert np.allclose(np.bincount(got[0], got[k], 200), sum(np.bincount(x[0], x[k], 200) for x in found))
+    assert not list(summed(iter([])))
