@@ -12,12 +12,19 @@ class's words for dishes, over the class. They grow with the corpus and are samp
 Their tables are the customers of what lies over them. They are seated twice: over the words' frequencies, for the
 customers that they send up, and then over the sampled upper restaurants, for the scores.
 
+Texts stay where they are: a part of a few MB of text asks once for each of its distinct pairs, and keeps, for each text,
+the places of its pairs in what it asked. The answers come back in that order, one number a pair, and are added up over the
+part's texts. What travels is then at most one pair a token there and one number back, however many texts and tasks there are.
+
 Customers of a dish in a restaurant are exchangeable, so its seating is the histogram of its table sizes. Tables of
 more than J customers are pooled: their number and customers are exact, only how often one falls back to J is estimated.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +40,10 @@ UNLISTED = 1 << 63
 SPLIT, UPPER = 1 << 40, 1 << 50
 LOWER_MOVES = 3
 BUCKET = 500_000  # training tokens for each part of the lower restaurants
-PART = 3_000_000  # bytes of text encoded at a time
+WORDS = 5_000_000  # training tokens for each part of the words that are not listed
+PART = 4_000_000  # bytes of text that ask together
+INTERNED = 200_000  # words that a task remembers from part to part
+ROWS = 1000  # texts or blocks that go to a worker together
 SUMS = 1_000_000  # rows of sums that a task holds
 END = b"\n"  # no word: words hold no white space
 
@@ -54,18 +64,16 @@ class Tally:
     """Sums by word, given out when many words have gathered."""
 
     def __init__(self):
-        self.n: dict[bytes, int] = {}
+        self.n: Counter[bytes] = Counter()
 
     def add(self, words: list[bytes]) -> None:
-        n = self.n
-        for w in words:
-            n[w] = n.get(w, 0) + 1
+        self.n.update(words)
 
     def batch(self) -> pa.RecordBatch:
         ws = list(self.n)
         h, c = [word_hash(w) for w in ws], [word_class(w) for w in ws]
         out = pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int32()), pa.array(self.n.values(), pa.int64())], ["h", "cls", "c"])
-        self.n = {}
+        self.n = Counter()
         return out
 
 
@@ -133,59 +141,55 @@ def classes_of(table: DataFrame, h: np.ndarray) -> np.ndarray:
     return k[order][np.searchsorted(have[order], h)]
 
 
-class Codes(dict):
-    """Word -> its rank if it is listed, else its hash with bit 63 set; remembers a bounded number of words."""
+class Words(dict):
+    """Word -> its place in codes (its rank if it is listed, else its hash less 1 << 63) and classes."""
 
-    def __init__(self, listed: dict[int, int], limit: int = 250_000):
+    def __init__(self, listed: dict[int, int]):
         super().__init__()
-        self.listed, self.limit = listed, limit
+        self.listed, self.codes, self.classes = listed, array("q"), array("q")
 
     def __missing__(self, w: bytes) -> int:
         h = word_hash(w)
-        code = self.listed.get(h, -1)
-        out = h | UNLISTED if code < 0 else code
-        if len(self) < self.limit:
-            self[w] = out
-        return out
-
+        self.codes.append(self.listed.get(h, h - UNLISTED))
+        self.classes.append(word_class(w))
+        i = self[w] = len(self)
+        return i
 
-class Classes(dict):
-    def __missing__(self, ending: bytes) -> int:
-        k = self[ending] = word_class(ending)
-        return k
+    def forget(self, most: int) -> None:
+        """Start anew if there are more words than that."""
+        if len(self) > most:
+            self.clear()
+            self.codes, self.classes = array("q"), array("q")
 
 
-def encode(texts, codes: Codes, classes: Classes):
-    """Codes and classes of all tokens, offsets, the words."""
+def pairs_of(texts, words: Words):
+    """Of all tokens of texts the distinct pairs (place of the word before, or one beyond all for the start; of the word);
+    each token's pair; offsets of the texts."""
     flat: list[bytes] = []
     off = [0]
     for t in texts:
         flat.extend(tokens(t))
         off.append(len(flat))
-    c = np.fromiter(map(codes.__getitem__, flat), np.uint64, len(flat))
-    k = np.fromiter([classes[w[-2:]] for w in flat], np.int64, len(flat))
-    return c, k, np.array(off)
-
-
-def restaurants_and_dishes(c: np.ndarray, k: np.ndarray, off: np.ndarray, contexts: int, dishes: int):
-    """For each token its context's restaurant and its dish. Restaurants: contexts, classes, the start."""
-    dish = np.where(c < dishes, c, dishes + k.astype(np.uint64)).astype(np.int64)
-    own = np.where(c < contexts, c, contexts + k.astype(np.uint64)).astype(np.int64)
-    u = np.empty_like(own)
-    u[1:] = own[:-1]
-    u[off[:-1]] = contexts + CLASSES
-    return u, dish
-
-
-def lower_pairs(c: np.ndarray, u: np.ndarray, dish: np.ndarray, k: np.ndarray, contexts: int, dishes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens whose pair has no cell in the upper restaurants, their lower restaurants, all tokens' words. A lower restaurant
-    is its context's code, or, from SPLIT on, the frequent context and the class."""
-    frequent = (u < contexts) | (u == contexts + CLASSES)
-    at = np.flatnonzero(~frequent | (c >= dishes))
-    w = c.view(np.int64)
+    off = np.array(off)
+    w = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+    start = len(words)
     before = np.empty_like(w)
-    before[1:], before[:1] = w[:-1], 0
-    return at, np.where(frequent[at], SPLIT + u[at] * CLASSES + k[at], before[at]), w
+    before[1:] = w[:-1]
+    before[off[:-1]] = start
+    pair, index = np.unique(before * (start + 1) + w, return_inverse=True)
+    return pair // (start + 1), pair % (start + 1), index, off
+
+
+def cells_of(before: np.ndarray, w: np.ndarray, words: Words, contexts: int, dishes: int):
+    """g, u, code, k of pairs_of's pairs: u the context's upper restaurant (contexts, classes, the start), the word's code and
+    class. g is the pair's lower restaurant: the context's code, or, from SPLIT on, the frequent context and the class; if
+    the pair has a cell in an upper restaurant, UPPER + u."""
+    code, k = np.array(words.codes, np.int64), np.array(words.classes, np.int64)
+    own = np.append(np.where((code >= 0) & (code < contexts), code, contexts + k), contexts + CLASSES)
+    u, g, code, k = own[before], np.append(code, 0)[before], code[w], k[w]
+    frequent = (u < contexts) | (u == contexts + CLASSES)
+    g = np.where(frequent, np.where((code >= 0) & (code < dishes), UPPER + u, SPLIT + u * CLASSES + k), g)
+    return g, u, code, k
 
 
 def runs_of(*keys: np.ndarray) -> np.ndarray:
@@ -198,7 +202,6 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
 
 
 CODEC = "zstd"
-LENGTHS = 3  # of a block's header: restaurants, pairs, rows
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -206,6 +209,23 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns' lengths, and all of them compressed."""
+    return np.array([len(x) for x in columns], np.int32).tobytes() + pa.compress(b"".join(map(planes, columns)), CODEC, asbytes=True)
+
+
+def columns_of(block: bytes, *kinds) -> list[np.ndarray]:
+    """What pack() was given."""
+    head = 4 * len(kinds)
+    kinds = [(np.dtype(t), n) for t, n in zip(kinds, np.frombuffer(block[:head], np.int32).tolist())]
+    raw = pa.decompress(block[head:], sum(t.itemsize * n for t, n in kinds), CODEC, asbytes=True)
+    out, at = [], 0
+    for t, n in kinds:
+        out.append(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T.copy().view(t).reshape(n))
+        at += n * t.itemsize
+    return out
+
+
 def blocks(buckets: int, g: np.ndarray, u: np.ndarray, w: np.ndarray, k: np.ndarray, n: np.ndarray, row: np.ndarray | None = None):
     """(bucket, block) of pairs: all of a lower restaurant are in one bucket. Equal pairs (of a row) are summed up."""
     bucket = bucket_of(g, buckets)
@@ -215,28 +235,22 @@ def blocks(buckets: int, g: np.ndarray, u: np.ndarray, w: np.ndarray, k: np.ndar
     new = runs_of(g, w) if row is None else runs_of(g, w, row)
     n = np.add.reduceat(n, new) if len(n) else n
     g, u, w, k, bucket = (x[new] for x in (g, u, w, k, bucket))
-    row = None if row is None else row[new]
+    yield from packed(bucket, g, u, w, k, n, None if row is None else row[new])
+
+
+def packed(bucket: np.ndarray, g: np.ndarray, u: np.ndarray, w: np.ndarray, k: np.ndarray, n: np.ndarray, row: np.ndarray | None = None):
+    """(bucket, block) of distinct pairs that lie by bucket and restaurant."""
     ends = [*runs_of(bucket).tolist(), len(g)]
     for lo, hi in zip(ends, ends[1:]):
         x = slice(lo, hi)
         starts = runs_of(g[x])
         rows, at = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if row is None else np.unique(row[x], return_inverse=True)
-        header = np.array([len(starts), hi - lo, len(rows)], np.int32)
-        columns = (g[x][starts], u[x][starts].astype(np.int16), np.diff(np.append(starts, hi - lo)).astype(np.int32), w[x], k[x].astype(np.int8), n[x].astype(np.int32), rows, at.astype(np.int32))
-        yield int(bucket[lo]), header.tobytes() + pa.compress(b"".join(map(planes, columns)), CODEC, asbytes=True)
+        yield int(bucket[lo]), pack(g[x][starts], u[x][starts].astype(np.int16), np.diff(np.append(starts, hi - lo)).astype(np.int32), w[x], k[x].astype(np.int8), n[x].astype(np.int32), rows, at.astype(np.int32))
 
 
 def unpack(block: bytes):
     """g, u, w, k, n of a block's pairs, their rows (none if the block has none)."""
-    a, m, r = np.frombuffer(block[: 4 * LENGTHS], np.int32).tolist()
-    kinds = [(np.int64, a), (np.int16, a), (np.int32, a), (np.int64, m), (np.int8, m), (np.int32, m), (np.int64, r), (np.int32, m if r else 0)]
-    raw = pa.decompress(block[4 * LENGTHS :], sum(np.dtype(t).itemsize * n for t, n in kinds), CODEC, asbytes=True)
-    out, at = [], 0
-    for t, n in kinds:
-        size = np.dtype(t).itemsize
-        out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).reshape(n))
-        at += n * size
-    g, u, runs, w, k, n, rows, i = out
+    g, u, runs, w, k, n, rows, i = columns_of(block, np.int64, np.int16, np.int32, np.int64, np.int8, np.int32, np.int64, np.int32)
     return np.repeat(g, runs), np.repeat(u, runs).astype(np.int64), w, k.astype(np.int64), n.astype(np.int64), rows[i]
 
 
@@ -244,43 +258,85 @@ def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(g.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def pair_counts(train: DataFrame, shared, contexts: int, dishes: int, buckets: int) -> DataFrame:
-    """(bucket, block), partial sums: how often each word follows in each lower restaurant; from UPPER on g stands for an
-    upper restaurant of a frequent context and w for its dish, which tasks sum up in a matrix of fixed size."""
+def on_grid(x: np.ndarray, bits: int) -> np.ndarray:
+    """x as multiples of 2 ** -bits: their sums are exact, whatever the order."""
+    return np.round(x * 2.0**bits) / 2.0**bits
+
+
+GRID, FINE_GRID = 24, 36  # of scores, which float32 holds up to 1, and of base scores
+
+
+def batch_of(names: list[str], kinds: list, rows) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
+
+
+ASKED = ["chunk", "bucket", "block"], [pa.int64(), pa.int32(), pa.binary()]
+
+
+def asked_pairs(docs: DataFrame, shared, contexts: int, dishes: int, buckets: int) -> DataFrame:
+    """(chunk, bucket, block) from docs(doc_id, text, held). A chunk is a part of the texts. Where bucket is -1, its record: the
+    chunk's pairs are those that it asks for, by bucket, then those with cells in upper restaurants. It has the numbers
+    of its pairs that it asks for, places among these of words that are not listed, upper cells of the other pairs; each
+    text's pairs in rising order, as differences; offsets of texts, their ids, which are null, and listed words' counts and
+    base scores. Else the pairs that it asks for (no class if the word is listed) and how often training texts have them.
+    Without a chunk g stands for an upper restaurant of a frequent context and w for its dish, which tasks sum up in a
+    matrix of fixed size."""
     width = dishes + CLASSES
 
     def run(batches):
-        codes, classes = Codes(shared.value[0]), Classes()
+        listed, log_base = shared.value
+        words = Words(listed)
         total = np.zeros((contexts + CLASSES + 1) * width, np.int32)
         for b in batches:
-            for part in portions(b, 0, PART):
-                c, k, off = encode(part.column(0).to_pylist(), codes, classes)
-                u, dish = restaurants_and_dishes(c, k, off, contexts, dishes)
-                x, n = np.unique((u * width + dish)[(u < contexts) | (u == contexts + CLASSES)], return_counts=True)
-                total[x] += n.astype(np.int32)
-                at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
-                yield batch_of(blocks(buckets, g, u[at], w[at], k[at], np.ones(len(at), np.int64)))
+            for part in portions(b, 2, PART):
+                chunk, ids, texts, held = (part.column(i) for i in range(4))
+                words.forget(INTERNED)
+                before, w, index, off = pairs_of(texts.to_pylist(), words)
+                g, u, w, k = cells_of(before, w, words, contexts, dishes)
+                trained = np.repeat(1.0 - held.to_numpy(zero_copy_only=False), np.diff(off))
+                n = np.bincount(index, trained, len(g)).astype(np.int64)
+                bucket = bucket_of(g, buckets)
+                bucket[g >= UPPER] = buckets
+                order = np.lexsort((g, bucket))
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                g, u, w, k, n, bucket = (x[order] for x in (g, u, w, k, n, bucket))
+                low = int(np.searchsorted(bucket, buckets))
+                frequent = g >= SPLIT
+                np.add.at(total, (u * width + np.where(g >= UPPER, w, dishes + k))[frequent], n[frequent].astype(np.int32))
+                base = np.zeros(len(w))
+                base[w >= 0] = log_base[w[w >= 0]]
+                index = place[index]
+                known, base = (np.add.reduceat(x[index], off[:-1]) for x in ((w >= 0).astype(np.int64), base))
+                index += np.repeat(np.arange(len(ids)) << 32, np.diff(off))
+                index.sort()
+                index = np.diff(index & 0xFFFFFFFF, prepend=0)
+                null = np.array(ids.is_null())
+                other = np.flatnonzero(w[:low] < 0)
+                record = pack(np.array([low]), other.astype(np.int32), (u * width + w)[low:].astype(np.int32), index.astype(np.int32), off.astype(np.int32), ids.fill_null(0).to_numpy(), null.astype(np.int8), known.astype(np.int32), base)
+                k[w >= 0] = 0
+                chunk = chunk[0].as_py()
+                found = packed(*(x[:low] for x in (bucket, g, u, w, k, n)))
+                yield batch_of(*ASKED, [(chunk, -1, record), *((chunk, *x) for x in found)])
         x = np.flatnonzero(total)
-        for lo in range(0, len(x), 500_000):
-            y = x[lo : lo + 500_000]
-            u, dish = y // width, y % width
-            yield batch_of(blocks(buckets, UPPER + u, u, dish, np.zeros_like(u), total[y].astype(np.int64)))
+        for lo in range(0, len(x), 100_000):
+            y = x[lo : lo + 100_000]
+            u, w = y // width, y % width
+            yield batch_of(*ASKED, [(None, *x) for x in blocks(buckets, UPPER + u, u, w, np.zeros_like(u), total[y].astype(np.int64))])
 
-    def batch_of(found):
-        found = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
+    docs = docs.select(F.monotonically_increasing_id().alias("chunk"), "doc_id", "text", "held")
+    return docs.mapInArrow(frugal(run), "chunk long, bucket int, block binary")
 
-    return train.select("text").mapInArrow(frugal(run), "bucket int, block binary")
 
-
-def whole_buckets(batches):
+def whole_buckets(batches, by: str = "bucket"):
     """Rows of each bucket as a table; rows are sorted by bucket."""
     kept = []
     for b in batches:
-        x = b.column("bucket").to_numpy()
+        x = b.column(by).to_numpy()
         ends = [*runs_of(x).tolist(), len(x)]
         for lo, hi in zip(ends, ends[1:]):
-            if kept and kept[0].column("bucket")[0].as_py() != x[lo]:
+            if kept and kept[0].column(by)[0].as_py() != x[lo]:
                 yield pa.Table.from_batches(kept)
                 kept = []
             kept.append(b.slice(lo, hi - lo))
@@ -295,63 +351,206 @@ def pairs_in(t: pa.Table) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, y), *x]) for x, y in zip(zip(*found) if found else [()] * 6, kinds)]
 
 
-def lower_tables(pairs: DataFrame, start, restaurants: int, dishes: int) -> DataFrame:
-    """(kind, key, t) from pair_counts: kind 0, customers of each upper cell; 1 and 2, tables of each listed word (by rank) and
-    of each other word (by hash) in lower restaurants, if it is no dish; 3, lower cells of one and of two customers."""
+def distinct(g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, by g, and each pair's number among these. The order depends on the set of pairs alone."""
+    h = mix(g.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * mix(w.view(np.uint64)))
+    order = np.argsort(h)
+    new = runs_of(h[order])
+    if len(new) != len(runs_of(g[order], w[order])):  # pairs that differ share a hash
+        order = np.lexsort((w, g))
+        new = runs_of(g[order], w[order])
+    first = order[new]
+    by = np.argsort(g[first], kind="stable")
+    number, index = np.empty_like(by), np.empty_like(order)
+    number[by] = np.arange(len(by))
+    index[order] = np.repeat(number, np.diff(np.append(new, len(order))))
+    return first[by], index
+
+
+def unlisted_words(w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words without a rank among w by their part, that part, and each one's places in w as an index of these
+    (-1: listed)."""
+    at = np.flatnonzero(w < 0)
+    words, i = np.unique(w[at], return_inverse=True)
+    part = bucket_of(words, parts)
+    order = np.argsort(part, kind="stable")
+    place, index = np.empty_like(order), np.full(len(w), -1)
+    place[order] = np.arange(len(order))
+    index[at] = place[i]
+    return words[order], part[order], index
+
+
+TABLES = ["kind", "key", "t", "bucket", "block"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def lower_tables(asked: DataFrame, start, restaurants: int, dishes: int, parts: int) -> DataFrame:
+    """(kind, key, t, bucket, block) from what chunks ask: kind 0, customers of each upper cell; 1, tables of each listed word
+    (by rank) in lower restaurants, if it is no dish; 3, lower cells of one and of two customers, all as partial sums. Kind 2:
+    of a bucket's words without a rank that lie in part `key` of all such words the hashes, classes, counts and tables."""
     width = dishes + CLASSES
-    names = ["kind", "key", "t"]
 
     def run(batches):
-        count, n_all, class_n, mean, d = start.value
+        count, top_k, n_all, class_n, mean, d = start.value
         cells, words, ones = np.zeros(restaurants * width, np.int64), np.zeros(len(count), np.int64), np.zeros(3, np.int64)
-
-        def out(kind, key, t):
-            for lo in range(0, len(key), 100_000):
-                x = key[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(t[lo : lo + 100_000].astype(np.int64))], names)
-
         for bucket in whole_buckets(batches):
             g, u, w, k, c, _ = pairs_in(bucket)
-            order = np.lexsort((w, g))
-            g, u, w, k, c = (x[order] for x in (g, u, w, k, c))
-            new = runs_of(g, w)
-            g, u, w, k, c = g[new], u[new], w[new], k[new], np.add.reduceat(c, new)
-            dish = np.where((w >= 0) & (w < dishes) | (g >= UPPER), w, dishes + k)
-            cell = u * width + dish
+            first, index = distinct(g, w)
+            c = np.bincount(index, c, len(first)).astype(np.int64)
+            g, u, w, k = (x[first] for x in (g, u, w, k))
             low = g < UPPER
-            np.add.at(cells, cell[~low], c[~low])
-            g, w, cell, c = g[low], w[low], cell[low], c[low]
-            if not len(g):
-                continue
-            ones += np.bincount(np.minimum(c, 3), minlength=4)[1:]
-            dish = cell % width
-            k, rare = np.maximum(dish - dishes, 0), dish >= dishes
-            base = np.where(w >= 0, count[np.maximum(w, 0)] if len(count) else 0, mean[k])
-            base = base / np.where(g >= SPLIT, class_n[k], n_all)
-            starts = runs_of(g)
-            u = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
-            seats = Seating(u, c, len(starts), d, 1.0, np.random.default_rng(abs(int(g[0]))))
-            seats.begin(base)
-            seats.sweep(base, moves=LOWER_MOVES)
-            t = seats.tables()
-            shared = g < SPLIT
-            np.add.at(cells, cell[shared], t[shared])
-            at = rare & (w >= 0)
+            listed = low & (w >= 0)
+            k[listed] = top_k[w[listed]]
+            np.add.at(cells, u[~low] * width + w[~low], c[~low])
+            t = np.zeros(len(g), np.int64)
+            at = np.flatnonzero(low & (c > 0))
+            if len(at):
+                t[at] = first_tables(g[at], w[at], k[at], c[at], count, n_all, class_n, mean, d, dishes)
+                ones += np.bincount(np.minimum(c[at], 3), minlength=4)[1:]
+            rare = ~listed | (w >= dishes)
+            at = np.flatnonzero(low & (g < SPLIT))
+            np.add.at(cells, u[at] * width + np.where(rare, dishes + k, w)[at], t[at])
+            at = np.flatnonzero(listed & rare)
             np.add.at(words, w[at], t[at])
-            at = np.flatnonzero(w < 0)
-            order = at[np.argsort(w[at])]
-            new = runs_of(w[order])
-            if len(order):
-                yield from out(2, w[order][new] & (UNLISTED - 1), np.add.reduceat(t[order], new))
+            other, part, index = unlisted_words(w, parts)
+            at = np.flatnonzero(index >= 0)
+            kind = np.zeros(len(other), np.int8)
+            kind[index[at]] = k[at]
+            sums = [np.bincount(index[at], x[at], len(other)).astype(np.int64) for x in (c, t)]
+            ends = [*runs_of(part).tolist(), len(part)]
+            number = bucket.column("bucket")[0].as_py()
+            yield batch_of(*TABLES, [(2, int(part[lo]), None, number, pack(*(x[lo:hi] for x in (other, kind, *sums)))) for lo, hi in zip(ends, ends[1:])])
         for kind, x in ((0, cells), (1, words), (3, ones)):
-            yield from out(kind, np.flatnonzero(x), x[np.flatnonzero(x)])
+            key = np.flatnonzero(x)
+            for lo in range(0, len(key), 100_000):
+                y = key[lo : lo + 100_000]
+                columns = np.full(len(y), kind), y, x[y], pa.nulls(len(y), pa.int32()), pa.nulls(len(y), pa.binary())
+                yield pa.RecordBatch.from_arrays([z if isinstance(z, pa.Array) else pa.array(z, t) for z, t in zip(columns, TABLES[1])], TABLES[0])
+
+    grouped = asked.select("bucket", "block").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return grouped.mapInArrow(frugal(run), "kind int, key long, t long, bucket int, block binary")
+
+
+def first_tables(g, w, k, c, count, n_all, class_n, mean, d, dishes) -> np.ndarray:
+    """Tables of each lower cell, seated over the words' frequencies."""
+    rare = (w < 0) | (w >= dishes)
+    base = np.where(w >= 0, count[np.maximum(w, 0)] if len(count) else 0, mean[k])
+    base = base / np.where(g >= SPLIT, class_n[k], n_all)
+    starts = runs_of(g)
+    u = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
+    seats = Seating(u, c, len(starts), d, 1.0, np.random.default_rng(abs(int(g[0]))))
+    seats.begin(base)
+    seats.sweep(base, moves=LOWER_MOVES)
+    return seats.tables()
 
-    grouped = pairs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return grouped.mapInArrow(frugal(run), "kind int, key long, t long").groupBy("kind", "key").agg(F.sum("t").alias("t"))
+
+def word_totals(sent: DataFrame) -> DataFrame:
+    """(bucket, key, block) from kind 2 of lower_tables: back to each bucket, for its words of part `key` and in their order,
+    the words' counts and tables over all buckets. Where bucket is -1, partial sums by class: tables, words that have any, that
+    have one, that have two."""
+
+    def run(batches):
+        stats = np.zeros((4, CLASSES), np.int64)
+        names = ["bucket", "key", "block"], [pa.int32(), pa.int64(), pa.binary()]
+        for part in whole_buckets(batches, "key"):
+            found = [columns_of(x, np.int64, np.int8, np.int64, np.int64) for x in part.column("block").to_pylist()]
+            w, k, c, t = map(np.concatenate, zip(*found))
+            words, first, i = np.unique(w, return_index=True, return_inverse=True)
+            c, t = (np.bincount(i, x, len(words)).astype(np.int64) for x in (c, t))
+            for s, x in zip(stats, (t, t > 0, t == 1, t == 2)):
+                s += np.bincount(k[first], x, CLASSES).astype(np.int64)
+            ends = np.cumsum([0, *(len(x[0]) for x in found)])
+            key = part.column("key")[0].as_py()
+            yield batch_of(*names, [(b, key, pack(c[i[lo:hi]], t[i[lo:hi]])) for b, lo, hi in zip(part.column("bucket").to_pylist(), ends, ends[1:])])
+        yield batch_of(*names, [(-1, 0, stats.tobytes())])
+
+    grouped = sent.select("key", "bucket", "block").repartition(F.col("key")).sortWithinPartitions("key")
+    return grouped.mapInArrow(frugal(run), "bucket int, key long, block binary")
+
+
+def lower_values(g, u, w, k, c, t, m: dict, dishes: int, burn: int = 1, samples: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pairs by g, with c training customers and the words' t tables: the probability of the dish in the upper
+    restaurant, that of the word in its dish, and what the pair's own cell makes of the two, as a factor.
+
+    A pair's probability is own + mass * p over its parent's p: p * (mass + own / p).
+    """
+    rare = (w < 0) | (w >= dishes)
+    inside = np.where(rare, np.where(t > 0, t - m["disc"][k], m["fresh"][k]) / m["norm"][k], 1.0)
+    dish = m["prob"][u, np.where(rare, dishes + k, w)]
+    p = np.where(g >= SPLIT, 1.0, dish) * inside
+    starts = runs_of(g)
+    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
+    seen = np.flatnonzero(c)
+    own, mass = lower_model(at[seen], c[seen], len(starts), p[seen], m["d"], burn, samples, abs(int(g[0])))
+    ratio = mass[at]
+    ratio[seen] += own / p[seen]
+    return dish, inside, ratio
+
+
+def answers(asked: DataFrame, model, dishes: int, parts: int, burn: int = 1, samples: int = 2) -> DataFrame:
+    """(chunk, bucket, block) for each block of pairs that a chunk asks for: the log10 probabilities of the pairs in their order,
+    and the counts of those words that are not listed. asked: also, without a chunk, word_totals' blocks for the bucket."""
+
+    def run(batches):
+        m = model.value
+        for bucket in whole_buckets(batches):
+            alone = bucket.filter(pc.is_null(bucket.column("chunk"))).sort_by("key")
+            bucket = bucket.filter(pc.is_valid(bucket.column("chunk")))
+            if not len(bucket):
+                continue
+            found = [unpack(x) for x in bucket.column("block").to_pylist()]
+            ends = np.cumsum([0, *(len(x[0]) for x in found)])
+            g, u, w, k, n, _ = map(np.concatenate, zip(*found))
+            first, index = distinct(g, w)
+            n = np.bincount(index, n, len(first)).astype(np.int64)
+            g, u, w, k = (x[first] for x in (g, u, w, k))
+            k[w >= 0] = m["classes"][w[w >= 0]]
+            other, _, place = unlisted_words(w, parts)
+            count, tables = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*(columns_of(x, np.int64, np.int64) for x in [pack(*np.zeros((2, 0), np.int64)), *alone.column("block").to_pylist()])))
+            if len(count) != len(other):
+                raise ValueError(f"bucket has {len(other)} unlisted words and totals of {len(count)}")
+            t = np.zeros(len(w), np.int64)
+            t[w < 0], t[w >= 0] = tables[place[w < 0]], m["tables"][w[w >= 0]]
+            dish, inside, ratio = lower_values(g, u, w, k, n, t, m, dishes, burn, samples)
+            value = on_grid(np.log10(dish) + np.log10(inside) + np.log10(ratio), GRID).astype(np.float32)[index]
+            place = place[index]
+            number, rows = bucket.column("bucket")[0].as_py(), []
+            for chunk, lo, hi in zip(bucket.column("chunk").to_pylist(), ends, ends[1:]):
+                x = place[lo:hi]
+                rows.append((chunk, number, pack(value[lo:hi], count[x[x >= 0]])))
+            yield batch_of(*ASKED, rows)
+
+    grouped = asked.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return grouped.mapInArrow(frugal(run), "chunk long, bucket int, block binary")
+
+
+def text_scores(records: DataFrame, answered: DataFrame, model) -> DataFrame:
+    """(doc_id, n, known, base, score) of each text from the chunks' records and the answers that they got."""
+    names = ["doc_id", "n", "known", "base", "score"]
+
+    def run(batches):
+        log_p, z = model.value
+        log_p = log_p.reshape(-1)
+        for chunk in whole_buckets(batches, "chunk"):
+            record, *found = chunk.column("block").to_pylist()
+            low, other, upper, index, off, ids, null, known, base = columns_of(record, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int8, np.int32, np.float64)
+            got, count = (np.concatenate(x) for x in zip((np.zeros(0), np.zeros(0, np.int64)), *(columns_of(x, np.float32, np.int64) for x in found)))
+            if len(got) != low[0] or len(count) != len(other):
+                raise ValueError(f"a chunk asked for {low[0]} pairs and got {len(got)}")
+            index = np.cumsum(index)
+            score = np.concatenate([got, log_p[upper].astype(np.float64)])
+            more, bases = np.zeros(len(score), np.int64), np.zeros(len(score))
+            more[other], bases[other] = count > 0, on_grid(np.log10((count + 0.5) / z), FINE_GRID)
+            more, bases, score = (np.add.reduceat(x[index], off[:-1]) for x in (more, bases, score))
+            sums = known + more, base + bases, score
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(np.diff(off).astype(np.int64)), *map(pa.array, sums)], names)
+
+    both = records.unionByName(answered).repartition(F.col("chunk")).sortWithinPartitions("chunk", "bucket")
+    return both.mapInArrow(frugal(run), "doc_id long, n long, known long, base double, score double")
 
 
 def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: int = 2) -> DataFrame:
-    """(row, known, base, score) to be summed up by row: what a text's lower pairs add to its upper score. pairs: bucket, and a
+    """answers() for pairs that come with their rows, such as single ones; train_and_score does not send these. (row, known,
+    base, score) to be summed up by row: what a text's lower pairs add to its upper score. pairs: bucket, and a
     block of pairs of listed words, or one pair of another word: row, g, u, w, k, n, the word's count c and tables t. n:
     times in the row, negative if held out.
 
@@ -367,24 +566,12 @@ def score_lower(pairs: DataFrame, model, dishes: int, burn: int = 1, samples: in
             one = [alone.column(x).to_numpy() for x in ("g", "u", "w", "k", "n", "row")]
             g, u, w, k, n, row = (np.concatenate([x, y]) for x, y in zip((g, u, w, k, n, row), one))
             count, t = (np.concatenate([np.zeros(len(g) - len(alone), np.int64), alone.column(x).fill_null(0).to_numpy()]) for x in ("c", "t"))
-            order = np.lexsort((w, g))
-            g, u, w, k, n, row, count, t = (x[order] for x in (g, u, w, k, n, row, count, t))
-            new = runs_of(g, w)
-            pair = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(g))))
-            c = np.add.reduceat(np.maximum(n, 0).astype(np.int64), new)
-            g, u, w, k, count, t = (x[new] for x in (g, u, w, k, count, t))
+            first, pair = distinct(g, w)
+            c = np.bincount(pair, np.maximum(n, 0), len(first)).astype(np.int64)
+            g, u, w, k, count, t = (x[first] for x in (g, u, w, k, count, t))
             listed = w >= 0
             t[listed] = m["tables"][w[listed]]
-            rare = ~listed | (w >= dishes)
-            dish = np.where(rare, dishes + k, w)
-            inside = np.where(t > 0, t - m["disc"][k], m["fresh"][k]) / m["norm"][k]
-            p = np.where(g >= SPLIT, 1.0, m["prob"][u, dish]) * np.where(rare, inside, 1.0)
-            starts = runs_of(g)
-            at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
-            seen = np.flatnonzero(c)
-            own, mass = lower_model(at[seen], c[seen], len(starts), p[seen], m["d"], burn, samples, abs(int(g[0])))
-            ratio = mass[at]
-            ratio[seen] += own / p[seen]
+            _, inside, ratio = lower_values(g, u, w, k, c, t, m, dishes, burn, samples)
             add = np.log10(ratio) + np.where(listed, 0.0, np.log10(inside))
             base = np.where(listed, 0.0, np.log10((count + 0.5) / m["z"]))
             known = (~listed & (count > 0)).astype(np.int64)
@@ -647,96 +834,44 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_all, v_all, one, two = table.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c"), F.lit(1), (F.col("c") == 1).cast("int"), (F.col("c") == 2).cast("int")))).first()
     top_h, top_c = most_frequent(table, listed)
     top_k = classes_of(table, top_h)
-    shared = spark.sparkContext.broadcast(({h: i for i, h in enumerate(top_h.tolist())},))
+    z = n_all + 0.5 * (v_all + 1)
+    shared = spark.sparkContext.broadcast(({h: i for i, h in enumerate(top_h.tolist())}, on_grid(np.log10((top_c + 0.5) / z), FINE_GRID)))
     width, restaurants = dishes + CLASSES, contexts + CLASSES + 1
     class_n, class_v = np.zeros((2, CLASSES))
     for r in table.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         class_n[r.cls], class_v[r.cls] = r.n, r.v
     mean = (class_n - np.bincount(top_k, top_c, CLASSES)) / np.maximum(class_v - np.bincount(top_k, minlength=CLASSES), 1)
     class_n -= np.bincount(top_k[:dishes], top_c[:dishes], CLASSES)
-    start = spark.sparkContext.broadcast((top_c, n_all, class_n, mean, discount_of(one, two)))
-    buckets = n_all // BUCKET + 1
-    sent = materialize(lower_tables(pair_counts(train, shared, contexts, dishes, buckets), start, restaurants, dishes), "tables")
-    cells = sent.where("kind = 0").select("key", "t").toArrow()
+    start = spark.sparkContext.broadcast((top_c, top_k, n_all, class_n, mean, discount_of(one, two)))
+    buckets, parts = n_all // BUCKET + 1, n_all // WORDS + 1
+    discard(table)
+    asked = materialize(asked_pairs(d, shared, contexts, dishes, buckets), "lm", ROWS)
+    requests = asked.where("bucket >= 0")
+    sent = materialize(lower_tables(requests, start, restaurants, dishes, parts), "tables", ROWS)
+    sums = materialize(sent.where("kind <> 2").groupBy("kind", "key").agg(F.sum("t").alias("t")), "sums")
+    cells = sums.where("kind = 0").select("key", "t").toArrow()
     prob = sample_model(cells.column("key").to_numpy(), cells.column("t").to_numpy(), restaurants, width)
-    by_rank = sent.where("kind = 1").select("key", "t").toArrow()
+    by_rank = sums.where("kind = 1").select("key", "t").toArrow()
     top_t = np.zeros(len(top_h), np.int64)
     top_t[by_rank.column("key").to_numpy()] = by_rank.column("t").to_numpy()
-    ones = {r.key: r.t for r in sent.where("kind = 3").collect()}
+    ones = {r.key: r.t for r in sums.where("kind = 3").collect()}
     # a rare word has as many customers in its class as it has tables in lower restaurants
-    unlisted = materialize(table.join(sent.where("kind = 2").select(F.col("key").alias("h"), "t"), "h"), "unlisted")
-    discard(table), discard(sent)
+    totals = materialize(word_totals(sent.where("kind = 2")), "unlisted")
+    discard(sent), discard(sums)
     n, v, once, twice = np.zeros((4, CLASSES))
-    for r in unlisted.groupBy("cls").agg(F.sum("t").alias("n"), F.count("*").alias("v"), F.sum((F.col("t") == 1).cast("int")).alias("one"), F.sum((F.col("t") == 2).cast("int")).alias("two")).collect():
-        n[r.cls], v[r.cls], once[r.cls], twice[r.cls] = r.n, r.v, r.one, r.two
+    for r in totals.where("bucket = -1").select("block").collect():
+        for x, y in zip((n, v, once, twice), np.frombuffer(r.block, np.int64).reshape(4, CLASSES)):
+            x += y
     t = top_t[dishes:]
     for x, y in ((n, t), (v, t > 0), (once, t == 1), (twice, t == 2)):
         x += np.bincount(top_k[dishes:], y, CLASSES)
     disc = np.array([discount_of(x, y) if z else 0.5 for x, y, z in zip(once, twice, v)])
     norm, fresh = 1.0 + n, 1.0 + disc * v
-    z = n_all + 0.5 * (v_all + 1)
     prob = np.maximum(prob, 1e-300)
-    model = spark.sparkContext.broadcast((np.log10(prob).astype(np.float32), np.log10((top_c + 0.5) / z), top_t, disc, norm))
-    lower = spark.sparkContext.broadcast({"prob": prob, "tables": top_t, "disc": disc, "norm": norm, "fresh": fresh, "z": z, "d": discount_of(ones.get(0, 0), ones.get(1, 0))})
-
-    def encoded(batches):
-        codes, classes = Codes(shared.value[0]), Classes()
-        for b in batches:
-            for part in portions(b, 1, PART):
-                ids, texts, held = (part.column(i).to_pylist() for i in range(3))
-                c, k, off = encode(texts, codes, classes)
-                rows = np.array([xxhash.xxh64_intdigest(f"{x}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for x, t in zip(ids, texts)])
-                yield ids, rows, np.where(held, -1, 1), c, k, off, *restaurants_and_dishes(c, k, off, contexts, dishes)
-
-    def upper(batches):
-        log_p, log_base, tables, disc, norm = model.value
-        for ids, rows, sign, c, k, off, u, dish in encoded(batches):
-            s = log_p[u, dish].astype(np.float64)
-            known = c < UNLISTED
-            at = np.flatnonzero(known)
-            i = c[at].astype(np.int64)
-            base = np.zeros(len(c))
-            base[at] = log_base[i]
-            more = at[i >= dishes]  # listed, but with a class for a dish
-            s[more] += np.log10((tables[c[more].astype(np.int64)] - disc[k[more]]) / norm[k[more]])
-            sums = [np.add.reduceat(x, off[:-1]) for x in (s, base, known.astype(np.int64))]
-            whole = [rows, ids, None, None, None, None, None, np.diff(off), sums[2], sums[1], sums[0]]
-            at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
-            un = ~known[at]
-            at, g = at[un], g[un]
-            text_of, w = np.repeat(np.arange(len(rows)), np.diff(off))[at], w[at]
-            order = np.lexsort((w, g, text_of))
-            at, g, w, text_of = at[order], g[order], w[order], text_of[order]
-            new = runs_of(text_of, g, w)
-            n = np.diff(np.append(new, len(at))) * sign[text_of[new]]
-            at, g = at[new], g[new]
-            pairs = [rows[text_of[new]], None, bucket_of(g, buckets), g, u[at], w[new], k[at], n, None, None, None]
-            for columns, m in (whole, len(rows)), (pairs, len(at)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, y) if x is None else pa.array(x, y) for x, y in zip(columns, KINDS)], NAMES)
-
-    def listed_pairs(batches):
-        for _, rows, sign, c, k, off, u, dish in encoded(batches):
-            at, g, w = lower_pairs(c, u, dish, k, contexts, dishes)
-            keep = c[at] < UNLISTED
-            at, g = at[keep], g[keep]
-            text_of = np.repeat(np.arange(len(rows)), np.diff(off))[at]
-            found = list(blocks(buckets, g, u[at], w[at], k[at], sign[text_of], rows[text_of]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block"])
-
-    both = materialize(d.mapInArrow(frugal(upper), SCHEMA), "lm")
-    lookup = both.where("g is not null").select("row", "bucket", "g", "u", "w", "k", "n", F.col("w").bitwiseAND(UNLISTED - 1).alias("h"))
-    lookup = lookup.join(unlisted.select("h", "c", "t"), "h", "left").drop("h")
-    pairs = d.mapInArrow(frugal(listed_pairs), "bucket int, block binary")
-    found = score_lower(pairs.unionByName(lookup, allowMissingColumns=True), lower, dishes)
-    found = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))
-    own = both.where("g is null").select("row", "known", "base", "score", F.lit(1).cast("long").alias("copies"), "doc_id", "n")
-    total = own.unionByName(found).groupBy("row").agg(F.sum("copies").alias("copies"), F.max("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    # equal rows share a key: their sums are shared out, and each comes out again
-    each = total.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    per = lambda c: (F.col(c) / F.col("copies"))
-    return each.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score"))
-
-
-NAMES = ["row", "doc_id", "bucket", "g", "u", "w", "k", "n", "known", "base", "score"]
-KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-SCHEMA = "row long, doc_id long, bucket int, g long, u long, w long, k long, n long, known long, base double, score double"
+    upper = spark.sparkContext.broadcast((on_grid(np.log10(prob), GRID).astype(np.float32), z))
+    lower = spark.sparkContext.broadcast({"prob": prob, "tables": top_t, "classes": top_k, "disc": disc, "norm": norm, "fresh": fresh, "z": z, "d": discount_of(ones.get(0, 0), ones.get(1, 0))})
+    requests = requests.where("chunk is not null").unionByName(totals.where("bucket >= 0"), allowMissingColumns=True)
+    answered = materialize(answers(requests, lower, dishes, parts), "answers", ROWS)
+    discard(totals)
+    scores = text_scores(asked.where("bucket = -1"), answered, upper)
+    return scores.select("doc_id", held_out(F.col("doc_id"), mod).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

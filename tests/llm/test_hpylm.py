@@ -239,3 +239,50 @@ def test_a_task_gives_one_row_of_sums_for_each_text():
         for k in (1, 2):
             assert np.allclose(np.bincount(got[0], got[k], 200), sum(np.bincount(x[0], x[k], 200) for x in found))
     assert not list(summed(iter([])))
+
+
+def test_a_part_asks_once_for_each_pair(spark):
+    """However many texts a part has, a bucket gets one row of it; the part's record leads from its texts to what it asks."""
+    from pyspark.sql import functions as F
+
+    from driftlog.llm.hpylm import UPPER, asked_pairs, columns_of, word_class, word_hash
+
+    contexts, dishes, buckets = 20, 40, 5
+    tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    rows = toy(300)
+    top = [w for w, _ in Counter(w for _, t in rows for w in tok(t)).most_common(60)]
+    rank = {word_hash(w): i for i, w in enumerate(top)}
+
+    class Shared:
+        value = rank, np.full(60, -1.0)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("held", F.col("doc_id") % 5 == 1)
+    asked = asked_pairs(df.withColumn("held", F.coalesce("held", F.lit(False))), Shared, contexts, dishes, buckets).collect()
+    records = [r for r in asked if r.bucket == -1]
+    assert len(records) <= 3 and len([r for r in asked if r.chunk is not None]) <= len(records) * (1 + buckets)
+    code = lambda w: rank.get(word_hash(w), word_hash(w) - UNLISTED)
+    want, got, trained = Counter(), Counter(), 0
+    for i, t in rows:
+        before = None
+        for w in tok(t):
+            c, b = code(w), None if before is None else code(before)
+            if before is None or 0 <= b < contexts:
+                u = contexts + CLASSES if before is None else b
+                g = UPPER + u if 0 <= c < dishes else SPLIT + u * CLASSES + word_class(w)
+            else:
+                g = b
+            want[i, g, c] += 1
+            trained += g < UPPER and (i is None or i % 5 != 1)
+            before = w
+    for r in records:
+        found = sorted((x.bucket, bytes(x.block)) for x in asked if x.chunk == r.chunk and x.bucket >= 0)
+        g, _, w, _, n, _ = (np.concatenate(x).tolist() for x in zip(*(unpack(b) for _, b in found)))
+        low, other, upper, index, off, ids, null, known, base = columns_of(bytes(r.block), np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int8, np.int32, np.float64)
+        assert low[0] == len(g) == len(set(zip(g, w))) and [i for i, x in enumerate(w) if x < 0] == other.tolist()
+        trained -= sum(n)
+        pairs = [*zip(g, w), *((UPPER + x // (dishes + CLASSES), x % (dishes + CLASSES)) for x in upper.tolist())]
+        at = np.cumsum(index)
+        for i, lo, hi, no, k, s in zip(ids.tolist(), off, off[1:], null, known, base):
+            got.update((None if no else i, *pairs[x]) for x in at[lo:hi].tolist())
+            assert s == -k == -sum(pairs[x][1] >= 0 for x in at[lo:hi].tolist())
+    assert got == want and trained == 0
