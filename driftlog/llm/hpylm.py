@@ -822,8 +822,8 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows whose crc32(doc_id) mod 5 is 1 are held out; all others' whole texts are counted. A null text is empty: its one
     token is the end. A null id counts as the empty text in the hash and stays null. Equal rows get equal scores; an
-    empty table gives an empty result. Counts of the `listed` most frequent words, a fixed number, are broadcast; other
-    words meet their counts in a join. Every pair of words has a cell: in an upper restaurant, on the driver, if both are
+    empty table gives an empty result. Counts of the `listed` most frequent words, a fixed number, are broadcast; others
+    are summed up over buckets and sent back to them. Every pair of words has a cell: in an upper restaurant, on the driver, if both are
     frequent, else in a lower one, in a task.
     """
     spark = docs.sparkSession
